@@ -10,19 +10,33 @@ from pyspark.sql import functions as F
 # the mark is itself a separator and so is always followed by a second one.
 _MARK = "\u0001 "
 
+# Case changes map one character to one character, so the sharp s
+# has no capital, and a dotted I or a last sigma is lowered like any other. The
+# sharp s stands aside as a code point that is not for text.
+_LOWER_FIRST = ("İΣ", "iσ")
+_SHARP_S = ("ß", "\ufdd0")
+
 
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _lower(c: Column) -> Column:
+    return F.lower(F.translate(c, *_LOWER_FIRST))
+
+
+def _keep_sharp_s(change, c: Column) -> Column:
+    return F.translate(change(F.translate(c, *_SHARP_S)), *reversed(_SHARP_S))
+
+
 def clean_lower(c: Column | str) -> Column:
     """Lower case without leading and trailing spaces; tabs and newlines stay."""
-    return F.lower(F.trim(_column(c)))
+    return _lower(F.trim(_column(c)))
 
 
 def clean_upper(c: Column | str) -> Column:
     """Upper case without leading and trailing spaces; tabs and newlines stay."""
-    return F.upper(F.trim(_column(c)))
+    return _keep_sharp_s(F.upper, F.trim(_column(c)))
 
 
 def initcap_words(c: Column | str) -> Column:
@@ -33,11 +47,12 @@ def initcap_words(c: Column | str) -> Column:
     All expressions stay inside whole-stage codegen.
     """
     c = _column(c)
-    marked = F.regexp_replace(c, r"([^\p{L}\p{N} ])", f"$1{_MARK}")
+    text = F.translate(c, *_LOWER_FIRST)
+    marked = F.regexp_replace(text, r"([^\p{L}\p{N} ])", f"$1{_MARK}")
     return F.when(
         c.rlike(r"[^\p{L}\p{N} ]"),
-        F.replace(F.initcap(marked), F.lit(_MARK), F.lit("")),
-    ).otherwise(F.initcap(c))
+        F.replace(_keep_sharp_s(F.initcap, marked), F.lit(_MARK), F.lit("")),
+    ).otherwise(_keep_sharp_s(F.initcap, text))
 
 
 def full_name(first: Column | str, last: Column | str) -> Column:

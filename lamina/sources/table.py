@@ -89,7 +89,7 @@ class Table:
     ):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._key = (key,) if isinstance(key, str) else tuple(key)
+        self._key = tuple(filter(None, [key] if isinstance(key, str) else key))
         self._buckets = buckets if self._key else 0
 
     # -- state ---------------------------------------------------------------
