@@ -46,18 +46,21 @@ def whole_years(later: Column | str, earlier: Column | str) -> Column:
     """
     a = _column(later).cast("timestamp_ntz")
     b = _column(earlier).cast("timestamp_ntz")
-    forward = F.year(a) - F.year(b) - F.when(_place_before(a, b), 1).otherwise(0)
-    backward = F.year(a) - F.year(b) + F.when(_place_before(b, a), 1).otherwise(0)
-    return F.when(a >= b, forward).otherwise(backward).cast("bigint")
+    unfinished = F.when(
+        a >= b,
+        F.when(_earlier_in_year(a, b), -1).otherwise(0),
+    ).otherwise(F.when(_earlier_in_year(b, a), 1).otherwise(0))
+    return (F.year(a) - F.year(b) + unfinished).cast("bigint")
 
 
-def _place_before(a: Column, b: Column) -> Column:
-    return F.struct(*_place(a)) < F.struct(*_place(b))
+def _earlier_in_year(a: Column, b: Column) -> Column:
+    """Whether ``a`` lies before ``b`` within the year; the time counts on equal days only."""
+    return (_day(a) < _day(b)) | ((_day(a) == _day(b)) & (_seconds(a) < _seconds(b)))
 
 
-def _place(c: Column) -> list[Column]:
-    return [
-        (F.month(c) * 100 + F.dayofmonth(c)).alias("day"),
-        (F.hour(c) * 60 + F.minute(c)).alias("minute"),
-        F.extract(F.lit("SECOND"), c).alias("second"),
-    ]
+def _day(c: Column) -> Column:
+    return F.month(c) * 100 + F.dayofmonth(c)
+
+
+def _seconds(c: Column) -> Column:
+    return F.hour(c) * 3600 + F.minute(c) * 60 + F.extract(F.lit("SECOND"), c)

@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.dates import run_timestamp
+from lamina.operators.conform import require_not_null
 
 
 def unique(df: DataFrame, *columns: str) -> DataFrame:
     """Values that occur more than once, with their count. Nulls do not count."""
-    counted = df.select(*columns).na.drop().groupBy(*columns)
+    counted = require_not_null(df, list(columns)).groupBy(*columns)
     return counted.agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences > 1")
 
 
