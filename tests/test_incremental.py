@@ -1,0 +1,271 @@
+"""Stored tables and the incremental writers: reruns, null and duplicate keys, failures."""
+
+import random
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from lamina.operators.history import record_history
+from lamina.operators.incremental import (
+    DuplicateKeys,
+    append_incremental,
+    delete_insert,
+    merge_upsert,
+)
+from lamina.plans.pipeline import overwrite_load, write_table
+from lamina.sources import Table
+from lamina.sources.table import bucket_number
+
+DDL = "k int, v string"
+
+
+def rows_of(table):
+    return Counter(tuple(r) for r in table.read().collect())
+
+
+def make(spark, rows, ddl=DDL):
+    return spark.createDataFrame(rows, ddl)
+
+
+def test_rebuild_replaces(spark, base):
+    t = Table(spark, f"{base}/t")
+    assert not t.exists()
+    with pytest.raises(FileNotFoundError):
+        t.read()
+    write_table(make(spark, [(1, "a"), (2, "b")]), t)
+    write_table(make(spark, [(3, "c")]), t)
+    assert rows_of(t) == {(3, "c"): 1}
+    write_table(make(spark, []), t)
+    assert t.exists() and t.read().count() == 0
+
+
+def test_rebuild_from_itself(spark, base):
+    t = Table(spark, f"{base}/t")
+    write_table(make(spark, [(1, "a"), (2, "b")]), t)
+    write_table(t.read().where("k > 1"), t)
+    assert rows_of(t) == {(2, "b"): 1}
+
+
+def test_failed_write_leaves_the_old_content(spark, base):
+    t = Table(spark, f"{base}/t", key="k", buckets=4)
+    write_table(make(spark, [(1, "a")]), t)
+    broken = make(spark, [(1, "b")]).withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    for write in (write_table, delete_insert, merge_upsert):
+        with pytest.raises(Exception, match="lost"):
+            write(broken, t)
+        assert rows_of(t) == {(1, "a"): 1}
+    merge_upsert(make(spark, [(1, "c")]), t)
+    assert rows_of(t) == {(1, "c"): 1}
+
+
+def test_reader_of_an_old_snapshot(spark, base):
+    t = Table(spark, f"{base}/t", key="k", buckets=4)
+    write_table(make(spark, [(1, "a"), (2, "b")]), t)
+    before = t.read()
+    merge_upsert(make(spark, [(1, "x")]), t)
+    assert sorted(tuple(r) for r in before.collect()) == [(1, "a"), (2, "b")]
+    assert rows_of(t) == {(1, "x"): 1, (2, "b"): 1}
+
+
+def test_second_writer_of_one_state_fails(spark, base):
+    t = Table(spark, f"{base}/t")
+    write_table(make(spark, [(1, "a")]), t)
+    slow = t.overwrite(make(spark, [(2, "b")]), publish=False)
+    t.overwrite(make(spark, [(3, "c")]))
+    with pytest.raises(FileExistsError):
+        t.publish(slow)
+    assert rows_of(t) == {(3, "c"): 1}
+
+
+def test_expire_keeps_what_is_live(spark, base):
+    t = Table(spark, f"{base}/t", key="k", buckets=4)
+    write_table(make(spark, [(i, "a") for i in range(50)]), t)
+    for i in range(4):
+        merge_upsert(make(spark, [(i, "b")]), t)
+    expected = rows_of(t)
+    t.expire(keep=1)
+    assert rows_of(t) == expected
+    live = {p.split("/")[0] for p in t.snapshot().parts}
+    import os
+
+    assert {n for n in os.listdir(f"{base}/t") if n.startswith("load=")} == live
+
+
+def test_folder_names_are_reserved(spark, base):
+    with pytest.raises(ValueError):
+        write_table(spark.range(1).withColumnRenamed("id", "bucket"), Table(spark, f"{base}/t"))
+
+
+def test_bronze_load_twice(spark, base):
+    from tests.test_models import arrived
+
+    t = Table(spark, f"{base}/t")
+    for _ in range(2):
+        overwrite_load(arrived(spark), t)
+    assert t.read().count() == 1
+    assert dict(t.read().dtypes)["salary"] == "decimal(10,2)"
+
+
+def test_append(spark, base):
+    t = Table(spark, f"{base}/t")
+    df = make(spark, [(1, "2022-09-01"), (2, "2022-09-02"), (3, None)])
+    for run in range(1, 4):
+        append_incremental(df, t, "v", "2022-09-01")
+        assert rows_of(t) == {(1, "2022-09-01"): run, (2, "2022-09-02"): 1, (3, None): 1}
+
+
+def test_append_idempotent(spark, base):
+    t = Table(spark, f"{base}/t")
+    df = make(spark, [(1, "d1"), (2, "d2"), (3, None)])
+    append_incremental(df, t, "v", "d1")
+    append_incremental(df, t, "v", "d1")
+    append_incremental(df, t, "v", "d2", idempotent=True)
+    assert rows_of(t) == {(1, "d1"): 2, (2, "d2"): 1, (3, None): 1}
+    for _ in range(2):
+        append_incremental(make(spark, [(4, "d1"), (5, "d3")]), t, "v", "d1", idempotent=True)
+    assert rows_of(t) == {(4, "d1"): 1, (2, "d2"): 1, (3, None): 1}
+    append_incremental(make(spark, [(9, "d9")]), t, "v", "d9", idempotent=True)
+    before = t.snapshot().parts
+    append_incremental(make(spark, [(8, "d9")]), t, "v", "d9", idempotent=True)
+    assert set(before[:-1]) < set(t.snapshot().parts), "loads without the value stay as they are"
+    assert rows_of(t) == {(4, "d1"): 1, (2, "d2"): 1, (3, None): 1, (8, "d9"): 1}
+
+
+@pytest.mark.parametrize("write", [delete_insert, merge_upsert])
+def test_upsert(spark, base, write):
+    t = Table(spark, f"{base}/t", key="k", buckets=4)
+    write(make(spark, [(1, "a"), (2, "b"), (3, "c")]), t)
+    for _ in range(2):
+        write(make(spark, [(2, "B"), (4, "D")]), t)
+        assert rows_of(t) == {(1, "a"): 1, (2, "B"): 1, (3, "c"): 1, (4, "D"): 1}
+    write(make(spark, []), t)
+    assert t.read().count() == 4
+
+
+@pytest.mark.parametrize("write", [delete_insert, merge_upsert])
+def test_null_keys_are_added_again(spark, base, write):
+    t = Table(spark, f"{base}/t", key="k", buckets=4)
+    batch = make(spark, [(None, "n"), (1, "a")])
+    write(batch, t)
+    write(batch, t)
+    write(make(spark, [(None, "n")]), t)
+    assert rows_of(t) == {(None, "n"): 3, (1, "a"): 1}
+
+
+def test_duplicate_batch_keys(spark, base):
+    batch = make(spark, [(1, "x"), (1, "y")])
+    t = Table(spark, f"{base}/d", key="k", buckets=4)
+    delete_insert(make(spark, [(1, "a"), (2, "b")]), t)
+    delete_insert(batch, t)
+    assert rows_of(t) == {(1, "x"): 1, (1, "y"): 1, (2, "b"): 1}
+    delete_insert(make(spark, [(1, "z")]), t)
+    assert rows_of(t) == {(1, "z"): 1, (2, "b"): 1}
+
+    m = Table(spark, f"{base}/m", key="k", buckets=4)
+    with pytest.raises(DuplicateKeys):
+        merge_upsert(batch, m)
+    assert not m.exists()
+    merge_upsert(make(spark, [(1, "a")]), m)
+    with pytest.raises(DuplicateKeys):
+        merge_upsert(batch, m)
+    assert rows_of(m) == {(1, "a"): 1}
+    merge_upsert(make(spark, [(None, "n"), (None, "n")]), m)
+    assert rows_of(m) == {(1, "a"): 1, (None, "n"): 2}
+
+
+def test_batch_fits_the_stored_types(spark, base):
+    t = Table(spark, f"{base}/t", key="k", buckets=4)
+    merge_upsert(make(spark, [(1, "a")]), t)
+    merge_upsert(make(spark, [("b", 1)], "v string, k bigint"), t)
+    assert rows_of(t) == {(1, "b"): 1}
+    with pytest.raises(ValueError, match="extra"):
+        merge_upsert(make(spark, [(1, "a", 2)], DDL + ", extra int"), t)
+    with pytest.raises(ValueError, match="key"):
+        merge_upsert(make(spark, [(1, "a")]), Table(spark, f"{base}/plain"))
+
+
+def test_composite_key(spark, base):
+    t = Table(spark, f"{base}/t", key=("a", "b"), buckets=4)
+    ddl = "a int, b string, v int"
+    merge_upsert(make(spark, [(1, "x", 1), (1, "y", 1), (1, None, 1)], ddl), t)
+    merge_upsert(make(spark, [(1, "x", 2), (1, None, 2)], ddl), t)
+    assert rows_of(t) == {(1, "x", 2): 1, (1, "y", 1): 1, (1, None, 1): 1, (1, None, 2): 1}
+
+
+def test_only_touched_buckets_are_written(spark, base):
+    t = Table(spark, f"{base}/t", key="k", buckets=8)
+    merge_upsert(spark.range(1000).selectExpr("cast(id as int) k", "'a' v"), t)
+    snapshot = merge_upsert(make(spark, [(7, "b")]), t)
+    parts = t.bucket_parts(snapshot.parts)
+    rewritten = {bucket_number(p) for p in parts if not p.startswith("load=1/")}
+    untouched = {bucket_number(p) for p in parts if p.startswith("load=1/")}
+    assert len(rewritten) == 1 and untouched == set(range(8)) - rewritten
+    assert t.read().where("v = 'b'").count() == 1 and t.read().count() == 1000
+
+
+def brute(target, batch, unique):
+    keys = {k for k, _ in batch if k is not None}
+    return Counter([r for r in target if r[0] not in keys] + batch)
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_against_brute_force(spark, base, threshold):
+    """Random batches, with the keys broadcast and with a sort-merge join."""
+    rng = random.Random(7)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", threshold)
+    try:
+        t = Table(spark, f"{base}/t", key="k", buckets=3)
+        content = []
+        for step in range(5):
+            batch = [(rng.choice([None, 1, 1, 1, 2, *range(3, 30)]), f"{step}-{i}") for i in range(rng.randint(0, 40))]
+            delete_insert(make(spark, batch), t)
+            content = list(brute(content, batch, False).elements())
+            assert rows_of(t) == Counter(content)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_one_key_with_a_third_of_the_rows(spark, base):
+    """A hot target key and a hot null key, sort-merged and split by the runtime."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+    }
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        t = Table(spark, f"{base}/t", key="k", buckets=4)
+        hot = "case when id % 3 = 0 then 0 when id % 3 = 1 then null else cast(id as int) end k"
+        delete_insert(spark.range(90_000).selectExpr(hot, "uuid() v"), t)
+        # The hot bucket and the null bucket are written by several tasks each.
+        import glob
+
+        null_files = glob.glob(f"{base}/t/load=1/bucket=-1/*.parquet")
+        assert len(null_files) > 1
+        delete_insert(spark.range(1, 3000).selectExpr("cast(id * 3 + 2 as int) k", "'new' v"), t)
+        counts = {r.k: r["count"] for r in t.read().groupBy("k").count().where("k is null or k = 0").collect()}
+        assert counts == {0: 30_000, None: 30_000}
+        assert t.read().where("v = 'new'").count() == 2999
+        assert t.read().count() == 90_000 + sum(1 for i in range(1, 3000) if i * 3 + 2 >= 90_000)
+        delete_insert(make(spark, [(0, "one")]), t)
+        assert t.read().where("k = 0").count() == 1
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+
+
+def test_history(spark, base):
+    t = Table(spark, f"{base}/h", key=("k", "valid_from"), buckets=4)
+    days = [f"2026-01-0{d} 00:00:00" for d in (1, 2, 3)]
+    record_history(make(spark, [(1, "a"), (2, None), (3, "c")]), t, ["k"], days[0])
+    record_history(make(spark, [(1, "a"), (2, "b"), (4, "d")]), t, ["k"], days[1])
+    record_history(make(spark, [(1, "a"), (2, None), (3, "c"), (4, "d")]), t, ["k"], days[2])
+    got = {(r.k, r.v, r.f, r.t) for r in t.read().selectExpr("k", "v", "day(valid_from) f", "day(valid_to) t").collect()}
+    assert got == {(1, "a", 1, None), (2, None, 1, 2), (2, "b", 2, 3), (2, None, 3, None), (3, "c", 1, None), (4, "d", 2, None)}
+    with pytest.raises(DuplicateKeys):
+        record_history(make(spark, [(9, "a"), (9, "b")]), t, ["k"], "2026-01-04 00:00:00")
