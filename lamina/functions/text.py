@@ -5,33 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Put after each separator so that the next letter starts a word for initcap,
-# and removed again afterwards. An input that holds the mark survives, because
-# the mark is itself a separator and so is always followed by a second one.
+# Put between a separator and the letter or digit after it, so that initcap sees
+# the start of a word, and removed again afterwards. The mark's own character is
+# always followed by a second one, so an input that holds the mark survives.
 _MARK = "\u0001 "
+_SEPARATOR = r"[^\p{L}\p{N} ]"
+_BEFORE_WORD = rf"(\u0001|{_SEPARATOR}(?=[\p{{L}}\p{{N}}]))"
 
 # Case changes map one character to one character, so the sharp s
 # has no capital, and a dotted I or a last sigma is lowered like any other. The
 # sharp s stands aside as a code point that is not for text.
-_LOWER_FIRST = ("İΣ", "iσ")
-_SHARP_S = ("ß", "\ufdd0")
+_LOWER_FIRST = (("İ", "i"), ("Σ", "σ"))
+_SHARP_S, _ASIDE = "ß", "\ufdd0"
 
 
 def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _lower(c: Column) -> Column:
-    return F.lower(F.translate(c, *_LOWER_FIRST))
+def _swap(c: Column, old: str, new: str) -> Column:
+    # A byte search; translate() would look up every character.
+    return F.replace(c, F.lit(old), F.lit(new))
+
+
+def _prepared(c: Column) -> Column:
+    for old, new in _LOWER_FIRST:
+        c = _swap(c, old, new)
+    return c
 
 
 def _keep_sharp_s(change, c: Column) -> Column:
-    return F.translate(change(F.translate(c, *_SHARP_S)), *reversed(_SHARP_S))
+    return _swap(change(_swap(c, _SHARP_S, _ASIDE)), _ASIDE, _SHARP_S)
 
 
 def clean_lower(c: Column | str) -> Column:
     """Lower case without leading and trailing spaces; tabs and newlines stay."""
-    return _lower(F.trim(_column(c)))
+    return F.lower(_prepared(F.trim(_column(c))))
 
 
 def clean_upper(c: Column | str) -> Column:
@@ -47,11 +56,11 @@ def initcap_words(c: Column | str) -> Column:
     All expressions stay inside whole-stage codegen.
     """
     c = _column(c)
-    text = F.translate(c, *_LOWER_FIRST)
-    marked = F.regexp_replace(text, r"([^\p{L}\p{N} ])", f"$1{_MARK}")
+    text = _prepared(c)
+    marked = F.regexp_replace(text, _BEFORE_WORD, f"$1{_MARK}")
     return F.when(
-        c.rlike(r"[^\p{L}\p{N} ]"),
-        F.replace(_keep_sharp_s(F.initcap, marked), F.lit(_MARK), F.lit("")),
+        c.rlike(_SEPARATOR),
+        _swap(_keep_sharp_s(F.initcap, marked), _MARK, ""),
     ).otherwise(_keep_sharp_s(F.initcap, text))
 
 

@@ -112,6 +112,17 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("employee_sk"), F.col("c_name").alias("full_name")
+    )
+
+
+def starred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of a table and one more."""
+    return given(spark, sf_dir, "orders").select("*", F.year("o_orderdate").alias("order_year"))
+
+
 def inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five rows, for a look at the table."""
     return given(spark, sf_dir, "orders").orderBy("o_orderkey").select("o_orderkey", "o_custkey").limit(5)
@@ -145,6 +156,8 @@ QUERIES = {
     "latest_by_key": latest,
     "normalize_feed": normalized,
     "filter_run_date": filtered,
+    "projection_rename": renamed,
+    "projection_star": starred,
     "limit_for_inspection": inspected,
     "pipeline_end_to_end": whole_run,
 }
@@ -171,6 +184,8 @@ SQL = {
     "normalize_feed": FEED_SQL,
     "filter_run_date": f"""
         select tie, emp_id, record_date from ({EMP_FEED_SQL}) where record_date = '2001-07-28'""",
+    "projection_rename": "select c_custkey employee_sk, c_name full_name from customer",
+    "projection_star": "select *, cast(year(o_orderdate) as integer) order_year from orders",
     "limit_for_inspection": "select o_orderkey, o_custkey from orders order by o_orderkey limit 5",
     "pipeline_end_to_end": FCT_SQL,
 }

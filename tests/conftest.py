@@ -12,14 +12,13 @@ DATA = os.environ.get("LAMINA_TESTDATA", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = build_session(
         "tests",
         "local[8]",
         spark__sql__shuffle__partitions=8,
         spark__ui__enabled="false",
         spark__driver__memory="4g",
-        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

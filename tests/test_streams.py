@@ -49,6 +49,7 @@ def test_replayed_batch_is_left_out(spark, base):
         if os.path.exists(f"{base}/c/commits/{name}"):
             os.remove(f"{base}/c/commits/{name}")
     land_stream(stream, t, RAW_FEED, f"{base}/c").awaitTermination()
+    assert os.path.exists(f"{base}/c/commits/{last}"), "the batch ran again"
     assert t.snapshot() == state and t.read().count() == 2
 
 
