@@ -11,6 +11,11 @@ from lamina.session import work_dir
 from lamina.sources.table import BUCKET, LOAD, NULL_BUCKET, Snapshot, Table, bucket_number
 
 
+# Keys of one batch that every executor may hold, and the size that files should have.
+BROADCAST_KEYS = 1_000_000
+FILE_BYTES = 64 << 20
+
+
 class DuplicateKeys(ValueError):
     """A merge batch names one key more than once."""
 
@@ -103,9 +108,9 @@ def _replace_keys(
     matchable = [p for p in target.bucket_parts([staged]) if bucket_number(p) != NULL_BUCKET]
     batch_rows = target.scan(schema, matchable)
 
+    keys = _stored_keys(batch_rows, key, target) if matchable and (unique or before) else None
+    found = _count_keys(keys, unique) if keys else 0
     if before is None:
-        if unique:
-            _raise_on_duplicates(_stored_keys(batch_rows, key, target))
         made = target.marked(target.replaced(schema, staged), marks or {})
         return target.publish(made) if publish else made
 
@@ -113,16 +118,10 @@ def _replace_keys(
     parts = target.bucket_parts(before.parts)
     hit = [p for p in parts if bucket_number(p) in touched]
     result = [p for p in parts if bucket_number(p) not in touched]
-    if matchable:
-        keys = _stored_keys(batch_rows, key, target)
-        if unique:
-            _raise_on_duplicates(keys)
-        if hit:
-            # The keys lie in files of known size, so the optimizer broadcasts them
-            # below its threshold and otherwise sorts and merges, where the runtime
-            # splits a key that fills the target.
-            kept = target.scan(schema, hit).drop(LOAD, BUCKET).join(keys.select(*key), key, "left_anti")
-            result.append(target.write(target.fit(kept, schema)))
+    if hit:
+        old = target.scan(schema, hit)
+        kept, gather = _without_keys(old, keys.select(*key), found, key, len(touched))
+        result.append(target.write(target.fit(kept, schema), gather))
     result.append(staged)
     made = target.next(before, result, marks)
     return target.publish(made) if publish else made
@@ -135,7 +134,27 @@ def _stored_keys(rows: DataFrame, key: list[str], target: Table) -> DataFrame:
     return target.spark.read.parquet(path)
 
 
-def _raise_on_duplicates(keys: DataFrame) -> None:
-    found = keys.where("_rows > 1").drop("_rows").limit(1).collect()
-    if found:
-        raise DuplicateKeys(f"more than one batch row for {found[0].asDict()}")
+def _count_keys(keys: DataFrame, unique: bool) -> int:
+    found, most = keys.agg(F.count(F.lit(1)), F.max("_rows")).first()
+    if unique and most and most > 1:
+        example = keys.where("_rows > 1").drop("_rows").first()
+        raise DuplicateKeys(f"more than one batch row for {example.asDict()}")
+    return found
+
+
+def _without_keys(
+    old: DataFrame, keys: DataFrame, found: int, key: list[str], buckets: int
+) -> tuple[DataFrame, bool]:
+    """The old rows that stay, and whether to gather them by bucket for the write.
+
+    Few keys are broadcast, and the rows go from scan to write in one stage, file
+    by file; they are gathered only when the files have become too many for their
+    bytes. Many keys are sorted and merged, where the runtime splits a key that
+    fills the table; that spreads the rows by key, so they have to be gathered.
+    """
+    rows = old.drop(LOAD, BUCKET)
+    if found > BROADCAST_KEYS:
+        return rows.join(keys, key, "left_anti"), True
+    size = int(old._jdf.queryExecution().analyzed().stats().sizeInBytes())
+    enough = max(buckets, size // FILE_BYTES)
+    return rows.join(F.broadcast(keys), key, "left_anti"), len(old.inputFiles()) > 2 * enough

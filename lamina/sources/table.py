@@ -134,7 +134,7 @@ class Table:
 
     def overwrite(self, df: DataFrame, publish: bool = True) -> Snapshot:
         """Replace the whole content."""
-        made = self.replaced(df.schema, self.write(df, self._layout()))
+        made = self.replaced(df.schema, self.write(df))
         return self.publish(made) if publish else made
 
     def replaced(self, schema: T.StructType, load: str) -> Snapshot:
@@ -154,7 +154,7 @@ class Table:
         before = self.snapshot()
         if before is None:
             raise FileNotFoundError(f"no table at {self.path}")
-        load = self.write(self.fit(df, before.schema), self._layout())
+        load = self.write(self.fit(df, before.schema))
         made = self.next(before, before.parts + (load,), marks)
         return self.publish(made) if publish else made
 
@@ -174,24 +174,24 @@ class Table:
         files.write_once(self.spark, f"{self._log}/{snapshot.number:08d}.json", snapshot.to_json())
         return snapshot
 
-    def write(self, df: DataFrame, layout: Layout | None = None) -> str:
-        """Store ``df`` as a new load that no snapshot names yet."""
+    def write(self, df: DataFrame, gather: bool = True) -> str:
+        """Store ``df`` as a new load that no snapshot names yet.
+
+        ``gather`` brings the rows of one bucket together first: the runtime splits
+        a bucket that is too large for one task and joins those that are small.
+        """
         taken = {LOAD, BUCKET} & {c.lower() for c in df.columns}
         if taken:
             raise ValueError(f"column names {sorted(taken)} are used by the folders")
-        key, buckets = layout or self._layout()
+        layout = self._layout()
         part = f"{LOAD}={self._next_load()}"
-        if not key:
+        if not layout.key:
             df.write.parquet(f"{self.path}/{part}")
             return part
-        # Rows of one bucket come together before the write; the runtime splits a
-        # bucket that is too large for a task and joins those that are small.
-        (
-            df.withColumn(BUCKET, bucket_of(key, buckets))
-            .hint("rebalance", BUCKET)
-            .write.partitionBy(BUCKET)
-            .parquet(f"{self.path}/{part}")
-        )
+        placed = df.withColumn(BUCKET, bucket_of(layout.key, layout.buckets))
+        if gather:
+            placed = placed.hint("rebalance", BUCKET)
+        placed.write.partitionBy(BUCKET).parquet(f"{self.path}/{part}")
         return part
 
     def bucket_parts(self, parts: Iterable[str]) -> list[str]:

@@ -1,5 +1,6 @@
 """Assertions one by one, as a suite, and at the end of a run."""
 
+import os
 from datetime import datetime
 
 import pytest
@@ -103,8 +104,6 @@ def test_two_runs(spark, base):
             "raw_employees": 3, "stg_employees": 3, "dim_employee": 3, "fct_department_summary": 2,
             "raw_feed": 3, "replaced_feed": 3, "merged_feed": 3, "appended_feed": 3 * run,
         }
-    import os
-
     assert sorted(os.listdir(f"{base}/gold")) == ["dim_employee", "fct_department_summary", "inc_ap"]
     assert sorted(os.listdir(f"{base}/silver")) == ["del_ins", "merge_ins", "stg_employees"]
 

@@ -1,11 +1,14 @@
 """Stored tables and the incremental writers: reruns, null and duplicate keys, failures."""
 
+import glob
+import os
 import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.operators import incremental
 from lamina.operators.history import record_history
 from lamina.operators.incremental import (
     DuplicateKeys,
@@ -87,8 +90,6 @@ def test_expire_keeps_what_is_live(spark, base):
     t.expire(keep=1)
     assert rows_of(t) == expected
     live = {p.split("/")[0] for p in t.snapshot().parts}
-    import os
-
     assert {n for n in os.listdir(f"{base}/t") if n.startswith("load=")} == live
 
 
@@ -204,59 +205,83 @@ def test_only_touched_buckets_are_written(spark, base):
     assert t.read().where("v = 'b'").count() == 1 and t.read().count() == 1000
 
 
-def brute(target, batch, unique):
-    keys = {k for k, _ in batch if k is not None}
-    return Counter([r for r in target if r[0] not in keys] + batch)
-
-
-@pytest.mark.parametrize("threshold", ["10MB", "-1"])
-def test_against_brute_force(spark, base, threshold):
-    """Random batches, with the keys broadcast and with a sort-merge join."""
-    rng = random.Random(7)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", threshold)
-    try:
-        t = Table(spark, f"{base}/t", key="k", buckets=3)
-        content = []
-        for step in range(5):
-            batch = [(rng.choice([None, 1, 1, 1, 2, *range(3, 30)]), f"{step}-{i}") for i in range(rng.randint(0, 40))]
-            delete_insert(make(spark, batch), t)
-            content = list(brute(content, batch, False).elements())
-            assert rows_of(t) == Counter(content)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
-
-
-def test_one_key_with_a_third_of_the_rows(spark, base):
-    """A hot target key and a hot null key, sort-merged and split by the runtime."""
+@pytest.fixture
+def sort_merge(spark, monkeypatch):
+    """No broadcast, and partitions that count as skewed at test sizes."""
+    monkeypatch.setattr(incremental, "BROADCAST_KEYS", 0)
     conf = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
     }
     for name, value in conf.items():
         spark.conf.set(name, value)
-    try:
-        t = Table(spark, f"{base}/t", key="k", buckets=4)
-        hot = "case when id % 3 = 0 then 0 when id % 3 = 1 then null else cast(id as int) end k"
-        delete_insert(spark.range(90_000).selectExpr(hot, "uuid() v"), t)
-        # The hot bucket and the null bucket are written by several tasks each.
-        import glob
-
-        null_files = glob.glob(f"{base}/t/load=1/bucket=-1/*.parquet")
-        assert len(null_files) > 1
-        delete_insert(spark.range(1, 3000).selectExpr("cast(id * 3 + 2 as int) k", "'new' v"), t)
-        counts = {r.k: r["count"] for r in t.read().groupBy("k").count().where("k is null or k = 0").collect()}
-        assert counts == {0: 30_000, None: 30_000}
-        assert t.read().where("v = 'new'").count() == 2999
-        assert t.read().count() == 90_000 + sum(1 for i in range(1, 3000) if i * 3 + 2 >= 90_000)
-        delete_insert(make(spark, [(0, "one")]), t)
-        assert t.read().where("k = 0").count() == 1
-    finally:
-        for name in conf:
-            spark.conf.unset(name)
+    yield
+    for name in conf:
+        spark.conf.unset(name)
+
+
+def check_random_batches(spark, base):
+    rng = random.Random(7)
+    t = Table(spark, f"{base}/t", key="k", buckets=3)
+    content = []
+    for step in range(5):
+        batch = [(rng.choice([None, 1, 1, 1, 2, *range(3, 30)]), f"{step}-{i}") for i in range(rng.randint(0, 40))]
+        delete_insert(make(spark, batch), t)
+        keys = {k for k, _ in batch if k is not None}
+        content = [r for r in content if r[0] not in keys] + batch
+        assert rows_of(t) == Counter(content)
+
+
+def test_broadcast_against_brute_force(spark, base):
+    check_random_batches(spark, base)
+
+
+def test_sort_merge_against_brute_force(spark, base, sort_merge):
+    check_random_batches(spark, base)
+
+
+def test_files_stay_few(spark, base):
+    """Rows move file by file until a bucket has too many files, then together."""
+    t = Table(spark, f"{base}/t", key="k", buckets=2)
+    merge_upsert(spark.range(100).selectExpr("cast(id as int) k", "'a' v"), t)
+    counts = []
+    for i in range(8):
+        merge_upsert(spark.range(10).selectExpr("cast(id as int) k", f"'{i}' v"), t)
+        counts.append(len(t.read().inputFiles()))
+    assert max(counts) <= 8
+    assert rows_of(t) == Counter([(k, "7") for k in range(10)] + [(k, "a") for k in range(10, 100)])
+
+
+HOT = "case when id % 3 = 0 then 0 when id % 3 = 1 then null else cast(id as int) end k"
+
+
+def test_one_key_with_a_third_of_the_rows(spark, base, sort_merge):
+    """A hot target key and a hot null key, sort-merged and split by the runtime."""
+    t = Table(spark, f"{base}/t", key="k", buckets=4)
+    delete_insert(spark.range(90_000).selectExpr(HOT, "uuid() v"), t)
+    null_files = glob.glob(f"{base}/t/load=1/bucket=-1/*.parquet")
+    assert len(null_files) > 1, "several tasks write the null folder"
+    delete_insert(spark.range(1, 3000).selectExpr("cast(id * 3 + 2 as int) k", "'new' v"), t)
+    counts = {r.k: r["count"] for r in t.read().groupBy("k").count().where("k is null or k = 0").collect()}
+    assert counts == {0: 30_000, None: 30_000}
+    assert t.read().where("v = 'new'").count() == 2999
+    assert t.read().count() == 90_000
+    delete_insert(make(spark, [(0, "one")]), t)
+    assert t.read().where("k = 0").count() == 1
+
+
+def test_runtime_splits_a_hot_key(spark, base, sort_merge):
+    t = Table(spark, f"{base}/t", key="k", buckets=4)
+    delete_insert(spark.range(90_000).selectExpr("case when id % 3 = 0 then 0 else cast(id as int) end k", "uuid() v"), t)
+    spark.range(10_000).selectExpr("cast(id as int) k").write.parquet(f"{base}/keys")
+    old = t.scan(t.snapshot().schema, t.bucket_parts(t.snapshot().parts))
+    kept, gather = incremental._without_keys(old, spark.read.parquet(f"{base}/keys"), 10_000, ["k"], 4)
+    assert gather
+    kept.collect()
+    assert "SortMergeJoin(skew=true)" in kept._jdf.queryExecution().executedPlan().toString()
 
 
 def test_history(spark, base):
