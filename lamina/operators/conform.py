@@ -43,9 +43,8 @@ def _fit(field: T.StructField) -> Column:
             .when(F.length(F.rtrim(text)) <= length, F.substring(text, 1, length))
             .when(text.isNotNull(), _reject(field))
         )
-    value = c.cast(field.dataType)
     # NaN, for one, casts to a null decimal without an error.
-    return F.when(value.isNotNull() | c.isNull(), value).otherwise(_reject(field))
+    return F.coalesce(c.cast(field.dataType), F.when(c.isNotNull(), _reject(field)))
 
 
 def _reject(field: T.StructField) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.session import work_dir
+from lamina.sources import files
 from lamina.sources.table import BUCKET, LOAD, NULL_BUCKET, Snapshot, Table, bucket_number
 
 
@@ -108,10 +109,13 @@ def _replace_keys(
     matchable = [p for p in target.bucket_parts([staged]) if bucket_number(p) != NULL_BUCKET]
     batch_rows = target.scan(schema, matchable)
 
-    keys = _stored_keys(batch_rows, key, target) if matchable and (unique or before) else None
-    found = _count_keys(keys, unique) if keys else 0
+    scratch = work_dir(target.spark, "batch-keys")
+    if matchable and (unique or before):
+        keys = _stored_keys(batch_rows, key, scratch)
+        found = _count_keys(keys, unique)
     if before is None:
         made = target.marked(target.replaced(schema, staged), marks or {})
+        files.delete(target.spark, scratch)
         return target.publish(made) if publish else made
 
     touched = {bucket_number(p) for p in matchable}
@@ -124,14 +128,14 @@ def _replace_keys(
         result.append(target.write(target.fit(kept, schema), gather))
     result.append(staged)
     made = target.next(before, result, marks)
+    files.delete(target.spark, scratch)
     return target.publish(made) if publish else made
 
 
-def _stored_keys(rows: DataFrame, key: list[str], target: Table) -> DataFrame:
+def _stored_keys(rows: DataFrame, key: list[str], path: str) -> DataFrame:
     """Each key of the batch once, with its count, as a written table."""
-    path = work_dir(target.spark, "batch-keys")
     rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).write.parquet(path)
-    return target.spark.read.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def _count_keys(keys: DataFrame, unique: bool) -> int:

@@ -118,12 +118,14 @@ def run_pipeline(
     checks: Sequence[Check] | None = None,
     publish_after_checks: bool = False,
     buckets: int = 16,
+    keep: int | None = None,
 ) -> PipelineRun:
     """Load bronze, build every model from the stored ones before it, then check.
 
     A step that raises stops the later ones. The gold tables are already visible
     when the checks run; with ``publish_after_checks=True`` every table keeps its
-    former content until all checks have passed.
+    former content until all checks have passed. ``keep`` states of each table stay
+    readable; the files of older ones are deleted at the end of a run that passed.
     """
     warehouse = Warehouse(spark, base, buckets)
     run = PipelineRun()
@@ -164,4 +166,7 @@ def run_pipeline(
     if publish_after_checks:
         for name, snapshot in run.snapshots.items():
             warehouse.table(name).publish(snapshot)
+    if keep is not None:
+        for name in run.snapshots:
+            warehouse.table(name).expire(keep)
     return run

@@ -8,7 +8,7 @@ sys.path.insert(0, ROOT)
 
 from lamina.session import build_session  # noqa: E402
 
-DATA = os.environ.get("LAMINA_TESTDATA", "/root/testdata")
+SF_DIR = os.environ.get("LAMINA_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="session")
@@ -30,6 +30,6 @@ def base(tmp_path):
     return str(tmp_path)
 
 
-@pytest.fixture
+@pytest.fixture(scope="session")
 def sf_dir():
-    return f"{DATA}/sf0.01"
+    return SF_DIR

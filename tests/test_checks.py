@@ -96,7 +96,7 @@ def people(spark, **change):
 
 def test_two_runs(spark, base):
     for run in (1, 2):
-        done = run_pipeline(spark, people(spark), base, RUN)
+        done = run_pipeline(spark, people(spark), base, RUN, keep=1)
         assert {r.status for r in done.checks.collect()} == {"pass"}
         warehouse = Warehouse(spark, base)
         counts = {name: warehouse.read(name).count() for name in done.snapshots}
@@ -104,6 +104,7 @@ def test_two_runs(spark, base):
             "raw_employees": 3, "stg_employees": 3, "dim_employee": 3, "fct_department_summary": 2,
             "raw_feed": 3, "replaced_feed": 3, "merged_feed": 3, "appended_feed": 3 * run,
         }
+    assert len([n for n in os.listdir(f"{base}/gold/dim_employee") if n.startswith("load=")]) == 1
     assert sorted(os.listdir(f"{base}/gold")) == ["dim_employee", "fct_department_summary", "inc_ap"]
     assert sorted(os.listdir(f"{base}/silver")) == ["del_ins", "merge_ins", "stg_employees"]
 
