@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,11 +12,23 @@ def latest_by(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence
     """The row of each key with the greatest ``order``; a null order wins.
 
     Equal orders fall to the greatest ``tiebreak``, so a retried task picks the
-    same row. Each task keeps one row per key before the shuffle, which makes
-    a key with most of the rows as cheap as any other.
+    same row. The result is that of ``row_number() = 1``, taken as an aggregate:
+    tasks sort by key alone and keep one row per key before the shuffle, so a key
+    with most of the rows costs no more than any other. (``max_by`` skips null
+    orders; the struct it is given here is never null.)
     """
     if not tiebreak:
         raise ValueError("latest_by needs at least one tiebreak column")
-    newest_first = [F.col(c).desc_nulls_first() for c in (order, *tiebreak)]
-    window = Window.partitionBy(*keys).orderBy(*newest_first)
-    return df.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
+    named = {k.lower() for k in keys}
+    others = [c for c in df.columns if c.lower() not in named]
+    best = F.max_by(F.struct(*others), _rank([order, *tiebreak])).alias("_latest")
+    columns = [F.col(c) if c.lower() in named else F.col(f"_latest.{c}") for c in df.columns]
+    return df.groupBy(*keys).agg(best).select(columns)
+
+
+def _rank(columns: Sequence[str]) -> Column:
+    """Orders like the columns themselves, with null above every value."""
+    parts = []
+    for i, c in enumerate(columns):
+        parts += [F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")]
+    return F.struct(*parts)

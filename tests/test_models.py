@@ -1,9 +1,13 @@
 """Cleaning, dimension, summary, feed and the latest row per key."""
 
+from collections import Counter
 from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lamina.operators.conform import conform, require_not_null
@@ -120,9 +124,27 @@ def test_latest_takes_null_then_text_order(spark):
 
 def test_latest_keeps_one_row_per_key_before_the_shuffle(spark, base):
     spark.range(1000).selectExpr("id % 3 k", "id d").write.parquet(f"{base}/r")
-    df = latest_by(spark.read.parquet(f"{base}/r"), ["k"], "d", ["d"])
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("Exchange") < plan.index("Partial")
+    df = latest_by(spark.read.parquet(f"{base}/r"), ["K"], "d", ["d"])
+    assert df.columns == ["k", "d"] and {r.d for r in df.collect()} == {997, 998, 999}
+    plan = latest_by(spark.read.parquet(f"{base}/r"), ["k"], "d", ["d"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.index("partial_max_by")
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(
+        st.tuples(
+            st.sampled_from([None, 1, 2, 3]), st.sampled_from([None, "", "2021", "2022"]), st.sampled_from([None, 1, 2])
+        ),
+        max_size=40,
+    )
+)
+def test_latest_equals_row_number(spark, rows):
+    df = spark.createDataFrame(rows, "k int, d string, t int")
+    newest = Window.partitionBy("k").orderBy(F.col("d").desc_nulls_first(), F.col("t").desc_nulls_first())
+    expected = df.withColumn("rn", F.row_number().over(newest)).where("rn = 1").drop("rn")
+    got = latest_by(df, ["k"], "d", ["t"])
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, expected.collect()))
 
 
 def test_feed_default_tie(spark):
