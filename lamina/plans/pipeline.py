@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +35,7 @@ class Model:
         return f"{self.layer}/{self.target or self.name}"
 
 
+# In dependency order.
 MODELS = {
     m.name: m
     for m in (
@@ -73,23 +74,6 @@ def employee_checks(departments: Sequence[str] = DEPARTMENTS) -> list[Check]:
     ]
 
 
-class Warehouse:
-    """The stored tables below one folder, by model name."""
-
-    def __init__(self, spark: SparkSession, base: str, buckets: int = 16):
-        self.spark = spark
-        self.base = base.rstrip("/")
-        self.buckets = buckets
-
-    def table(self, name: str) -> Table:
-        model = MODELS[name]
-        return Table(self.spark, f"{self.base}/{model.folder}", model.key, self.buckets)
-
-    def read(self, name: str) -> DataFrame:
-        """Another model's stored rows, never its plan."""
-        return self.table(name).read()
-
-
 def write_table(df: DataFrame, target: Table, publish: bool = True) -> Snapshot:
     """Rebuild the whole table from ``df``."""
     return target.overwrite(df, publish)
@@ -100,12 +84,74 @@ def overwrite_load(df: DataFrame, target: Table, schema=RAW_EMPLOYEES, publish:
     return target.overwrite(conform(df, schema), publish)
 
 
-@dataclass
-class PipelineRun:
-    """What a run stored, and the checks' result when they were run."""
+class Warehouse:
+    """The stored tables below one folder, by model name.
+
+    With ``publish=False`` what is built stays invisible to others until
+    ``publish()``, while this object already reads it.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, buckets: int = 16, publish: bool = True):
+        self.spark = spark
+        self.base = base.rstrip("/")
+        self.buckets = buckets
+        self.live = publish
+        self.built: dict[str, Snapshot] = {}
+
+    def table(self, name: str) -> Table:
+        model = MODELS[name]
+        return Table(self.spark, f"{self.base}/{model.folder}", model.key, self.buckets)
 
-    snapshots: dict[str, Snapshot] = field(default_factory=dict)
-    checks: DataFrame | None = None
+    def read(self, name: str) -> DataFrame:
+        """A model's stored rows, never its plan."""
+        return self.table(name).read(None if self.live else self.built.get(name))
+
+    def load(self, raw_df: DataFrame) -> None:
+        """Replace the raw employees."""
+        self.built["raw_employees"] = overwrite_load(raw_df, self.table("raw_employees"), publish=self.live)
+
+    def build(
+        self,
+        name: str,
+        run_ts: datetime | str,
+        execution_date: str = EXECUTION_DATE,
+        feed_df: DataFrame | None = None,
+    ) -> None:
+        """Build one model from the stored ones before it."""
+        target, live = self.table(name), self.live
+        if name == "raw_feed":
+            made = write_table(raw_feed(self.spark) if feed_df is None else feed_df, target, live)
+        elif name == "stg_employees":
+            made = write_table(stg_employees(self.read("raw_employees"), run_ts), target, live)
+        elif name == "dim_employee":
+            made = write_table(dim_employee(self.read("stg_employees"), run_ts), target, live)
+        elif name == "fct_department_summary":
+            made = write_table(fct_department_summary(self.read("stg_employees"), run_ts), target, live)
+        elif name == "replaced_feed":
+            made = delete_insert(normalize_feed(self.read("raw_feed")), target, live)
+        elif name == "merged_feed":
+            made = merge_upsert(normalize_feed(self.read("raw_feed")), target, live)
+        elif name == "appended_feed":
+            rows = feed_columns(self.read("merged_feed"))
+            made = append_incremental(rows, target, "record_date", execution_date, publish=live)
+        else:
+            raise KeyError(f"no model {name!r} to build")
+        self.built[name] = made
+
+    def check(self, checks: Sequence[Check]) -> DataFrame:
+        """Run the checks once; the result holds one row per check."""
+        tables = {model: self.read(model) for model in dict.fromkeys(c.model for c in checks)}
+        found = run_checks(tables, checks)
+        return self.spark.createDataFrame(found.collect(), found.schema)
+
+    def publish(self) -> None:
+        """Show what was built with ``publish=False``, table by table."""
+        for name, snapshot in self.built.items():
+            self.table(name).publish(snapshot)
+
+    def expire(self, keep: int) -> None:
+        for name in self.built:
+            self.table(name).expire(keep)
 
 
 def run_pipeline(
@@ -119,54 +165,26 @@ def run_pipeline(
     publish_after_checks: bool = False,
     buckets: int = 16,
     keep: int | None = None,
-) -> PipelineRun:
+) -> DataFrame | None:
     """Load bronze, build every model from the stored ones before it, then check.
 
-    A step that raises stops the later ones. The gold tables are already visible
-    when the checks run; with ``publish_after_checks=True`` every table keeps its
-    former content until all checks have passed. ``keep`` states of each table stay
-    readable; the files of older ones are deleted at the end of a run that passed.
+    Returns the checks' result. A step that raises stops the later ones. The gold
+    tables are already visible when the checks run; with ``publish_after_checks``
+    every table keeps its former content until all checks have passed. ``keep``
+    states of each table stay readable; the files of older ones are deleted at the
+    end of a run that passed.
     """
-    warehouse = Warehouse(spark, base, buckets)
-    run = PipelineRun()
-
-    def store(name: str, write: Callable[[Table], Snapshot]) -> None:
-        run.snapshots[name] = write(warehouse.table(name))
-
-    def stored(name: str) -> DataFrame:
-        return warehouse.table(name).read(run.snapshots[name])
-
-    live = not publish_after_checks
-    feed = raw_feed(spark) if feed_df is None else feed_df
-
-    store("raw_employees", lambda t: overwrite_load(raw_df, t, publish=live))
-    store("raw_feed", lambda t: write_table(feed, t, live))
-    store("stg_employees", lambda t: write_table(stg_employees(stored("raw_employees"), run_ts), t, live))
-    store("dim_employee", lambda t: write_table(dim_employee(stored("stg_employees"), run_ts), t, live))
-    store(
-        "fct_department_summary",
-        lambda t: write_table(fct_department_summary(stored("stg_employees"), run_ts), t, live),
-    )
-    store("replaced_feed", lambda t: delete_insert(normalize_feed(stored("raw_feed")), t, live))
-    store("merged_feed", lambda t: merge_upsert(normalize_feed(stored("raw_feed")), t, live))
-    store(
-        "appended_feed",
-        lambda t: append_incremental(
-            feed_columns(stored("merged_feed")), t, "record_date", execution_date, publish=live
-        ),
-    )
-
+    warehouse = Warehouse(spark, base, buckets, publish=not publish_after_checks)
+    warehouse.load(raw_df)
+    for name in MODELS:
+        if name != "raw_employees":
+            warehouse.build(name, run_ts, execution_date, feed_df)
     wanted = employee_checks() if checks is None else list(checks)
-    if wanted:
-        # Sixteen rows at most per table go to the driver, so the checks run once.
-        tables = {c.model: stored(c.model) for c in wanted}
-        found = run_checks(tables, wanted)
-        run.checks = spark.createDataFrame(found.collect(), found.schema)
-        assert_checks(run.checks)
+    result = warehouse.check(wanted) if wanted else None
+    if result is not None:
+        assert_checks(result)
     if publish_after_checks:
-        for name, snapshot in run.snapshots.items():
-            warehouse.table(name).publish(snapshot)
+        warehouse.publish()
     if keep is not None:
-        for name in run.snapshots:
-            warehouse.table(name).expire(keep)
-    return run
+        warehouse.expire(keep)
+    return result

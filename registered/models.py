@@ -159,7 +159,7 @@ QUERIES = {
     "projection_rename": renamed,
     "projection_star": starred,
     "limit_for_inspection": inspected,
-    "pipeline_end_to_end": whole_run,
+    "batch_run": whole_run,
 }
 
 SQL = {
@@ -187,5 +187,5 @@ SQL = {
     "projection_rename": "select c_custkey employee_sk, c_name full_name from customer",
     "projection_star": "select *, cast(year(o_orderdate) as integer) order_year from orders",
     "limit_for_inspection": "select o_orderkey, o_custkey from orders order by o_orderkey limit 5",
-    "pipeline_end_to_end": FCT_SQL,
+    "batch_run": FCT_SQL,
 }

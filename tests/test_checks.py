@@ -5,6 +5,7 @@ from datetime import datetime
 
 import pytest
 
+from lamina.__main__ import main
 from lamina.operators.checks import (
     Check,
     ChecksFailed,
@@ -17,7 +18,7 @@ from lamina.operators.checks import (
     run_checks,
     unique,
 )
-from lamina.plans.pipeline import Warehouse, employee_checks, run_pipeline
+from lamina.plans.pipeline import MODELS, Warehouse, employee_checks, run_pipeline
 from tests.test_models import raw
 
 RUN = "2026-01-01 00:00:00"
@@ -96,10 +97,10 @@ def people(spark, **change):
 
 def test_two_runs(spark, base):
     for run in (1, 2):
-        done = run_pipeline(spark, people(spark), base, RUN, keep=1)
-        assert {r.status for r in done.checks.collect()} == {"pass"}
+        result = run_pipeline(spark, people(spark), base, RUN, keep=1)
+        assert {r.status for r in result.collect()} == {"pass"} and result.count() == 16
         warehouse = Warehouse(spark, base)
-        counts = {name: warehouse.read(name).count() for name in done.snapshots}
+        counts = {name: warehouse.read(name).count() for name in MODELS}
         assert counts == {
             "raw_employees": 3, "stg_employees": 3, "dim_employee": 3, "fct_department_summary": 2,
             "raw_feed": 3, "replaced_feed": 3, "merged_feed": 3, "appended_feed": 3 * run,
@@ -127,6 +128,34 @@ def test_publish_after_checks(spark, base):
     assert warehouse.read("appended_feed").count() == 6
 
 
+def test_one_model_and_the_checks_on_their_own(spark, base):
+    run_pipeline(spark, people(spark), base, RUN)
+    warehouse = Warehouse(spark, base)
+    warehouse.load(people(spark, last_name=None))
+    warehouse.build("stg_employees", RUN)
+    assert warehouse.read("dim_employee").where("full_name is null").count() == 0
+    warehouse.build("dim_employee", RUN)
+    failed = [(r.model, r.column) for r in warehouse.check(employee_checks()).where("status = 'fail'").collect()]
+    assert failed == [("dim_employee", "full_name")]
+    with pytest.raises(KeyError):
+        warehouse.build("raw_employees", RUN)
+
+
+def test_command_line(spark, base, capsys):
+    people(spark).write.parquet(f"{base}/raw")
+    main(["run", "--base", f"{base}/w", "--raw", f"{base}/raw", "--run-ts", RUN])
+    assert capsys.readouterr().out.count("|pass") == 16
+    main(["build", "appended_feed", "--base", f"{base}/w", "--run-ts", RUN])
+    assert Warehouse(spark, f"{base}/w").read("appended_feed").count() == 6
+    main(["show", "dim_employee", "--base", f"{base}/w", "--rows", "2"])
+    assert capsys.readouterr().out.count("ana silva") == 2
+    people(spark, department="space").write.mode("overwrite").parquet(f"{base}/raw")
+    with pytest.raises(ChecksFailed):
+        main(["run", "--base", f"{base}/w", "--raw", f"{base}/raw", "--run-ts", RUN])
+    with pytest.raises(ChecksFailed):
+        main(["check", "--base", f"{base}/w"])
+
+
 def test_a_failed_step_stops_the_later_ones(spark, base):
     run_pipeline(spark, people(spark), base, RUN)
     with pytest.raises(Exception):
