@@ -109,12 +109,12 @@ def _replace_keys(
     matchable = [p for p in target.bucket_parts([staged]) if bucket_number(p) != NULL_BUCKET]
     batch_rows = target.scan(schema, matchable)
 
-    scratch = work_dir(target.spark, "batch-keys")
+    scratch = work_dir(target.spark, "keys")
     if matchable and (unique or before):
-        keys = _stored_keys(batch_rows, key, scratch)
+        keys = _stored_keys(batch_rows, key, f"{scratch}/batch")
         found = _count_keys(keys, unique)
     if before is None:
-        made = target.marked(target.replaced(schema, staged), marks or {})
+        made = target.marked(target.replaced(before, schema, staged), marks or {})
         files.delete(target.spark, scratch)
         return target.publish(made) if publish else made
 
@@ -124,7 +124,7 @@ def _replace_keys(
     result = [p for p in parts if bucket_number(p) not in touched]
     if hit:
         old = target.scan(schema, hit)
-        kept, gather = _without_keys(old, keys.select(*key), found, key, len(touched))
+        kept, gather = _without_keys(old, keys.select(*key), found, len(touched), f"{scratch}/kept")
         result.append(target.write(target.fit(kept, schema), gather))
     result.append(staged)
     made = target.next(before, result, marks)
@@ -147,18 +147,29 @@ def _count_keys(keys: DataFrame, unique: bool) -> int:
 
 
 def _without_keys(
-    old: DataFrame, keys: DataFrame, found: int, key: list[str], buckets: int
+    old: DataFrame, keys: DataFrame, found: int, buckets: int, scratch: str
 ) -> tuple[DataFrame, bool]:
     """The old rows that stay, and whether to gather them by bucket for the write.
 
-    Few keys are broadcast, and the rows go from scan to write in one stage, file
-    by file; they are gathered only when the files have become too many for their
-    bytes. Many keys are sorted and merged, where the runtime splits a key that
-    fills the table; that spreads the rows by key, so they have to be gathered.
+    With few batch keys, or few old keys that stay, those are broadcast, and the
+    rows go from scan to write in one stage, file by file; they are gathered only
+    when the files have become too many for their bytes. Otherwise rows and keys
+    are sorted and merged, where the runtime splits a key that fills the table;
+    that spreads the rows by key, so they have to be gathered.
     """
+    key = keys.columns
     rows = old.drop(LOAD, BUCKET)
-    if found > BROADCAST_KEYS:
-        return rows.join(keys, key, "left_anti"), True
+    if found <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(keys), key, "left_anti"), _too_many_files(old, buckets)
+    # A batch that may cover nearly the whole table: compare the key columns first.
+    if old.count() - found <= BROADCAST_KEYS:
+        rows.select(*key).distinct().join(keys, key, "left_anti").write.parquet(scratch)
+        staying = old.sparkSession.read.parquet(scratch)
+        if staying.count() <= BROADCAST_KEYS:
+            return rows.join(F.broadcast(staying), key, "left_semi"), _too_many_files(old, buckets)
+    return rows.join(keys, key, "left_anti"), True
+
+
+def _too_many_files(old: DataFrame, buckets: int) -> bool:
     size = int(old._jdf.queryExecution().analyzed().stats().sizeInBytes())
-    enough = max(buckets, size // FILE_BYTES)
-    return rows.join(F.broadcast(keys), key, "left_anti"), len(old.inputFiles()) > 2 * enough
+    return len(old.inputFiles()) > 2 * max(buckets, size // FILE_BYTES)

@@ -134,12 +134,13 @@ class Table:
 
     def overwrite(self, df: DataFrame, publish: bool = True) -> Snapshot:
         """Replace the whole content."""
-        made = self.replaced(df.schema, self.write(df))
+        before = self.snapshot()
+        made = self.replaced(before, df.schema, self.write(df))
         return self.publish(made) if publish else made
 
-    def replaced(self, schema: T.StructType, load: str) -> Snapshot:
-        """The state in which one written load is the whole table."""
-        before, layout = self.snapshot(), self._layout()
+    def replaced(self, before: Snapshot | None, schema: T.StructType, load: str) -> Snapshot:
+        """The state after ``before`` in which one written load is the whole table."""
+        layout = self._layout()
         return Snapshot(
             number=before.number + 1 if before else 1,
             schema=schema,
@@ -159,6 +160,7 @@ class Table:
         return self.publish(made) if publish else made
 
     def next(self, before: Snapshot, parts: Iterable[str], marks: Mapping[str, int] | None = None) -> Snapshot:
+        """The state after ``before`` that consists of ``parts``."""
         return replace(
             before,
             number=before.number + 1,
@@ -167,6 +169,7 @@ class Table:
         )
 
     def marked(self, snapshot: Snapshot, marks: Mapping[str, int]) -> Snapshot:
+        """The same state with the last micro-batch numbers of streams."""
         return replace(snapshot, marks={**snapshot.marks, **marks})
 
     def publish(self, snapshot: Snapshot) -> Snapshot:

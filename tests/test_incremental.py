@@ -243,6 +243,18 @@ def test_sort_merge_against_brute_force(spark, base, sort_merge):
     check_random_batches(spark, base)
 
 
+@pytest.mark.parametrize("batch", [range(2, 40), range(6, 80), range(39, 80)])
+def test_batch_over_nearly_the_whole_table(spark, base, monkeypatch, batch):
+    """Few old keys stay, or more than expected; rows of a key that occurs often stay or go together."""
+    monkeypatch.setattr(incremental, "BROADCAST_KEYS", 8)
+    t = Table(spark, f"{base}/t", key="k", buckets=4)
+    old = [(k, f"{k}-{i}") for k in range(40) for i in range(3 if k in (1, 9) else 1)] + [(None, "n")]
+    new = [(k, "new") for k in batch] + [(None, "m")]
+    delete_insert(make(spark, old), t)
+    merge_upsert(make(spark, new), t)
+    assert rows_of(t) == Counter([r for r in old if r[0] not in batch] + new)
+
+
 def test_files_stay_few(spark, base):
     """Rows move file by file until a bucket has too many files, then together."""
     t = Table(spark, f"{base}/t", key="k", buckets=2)
@@ -278,7 +290,7 @@ def test_runtime_splits_a_hot_key(spark, base, sort_merge):
     delete_insert(spark.range(90_000).selectExpr("case when id % 3 = 0 then 0 else cast(id as int) end k", "uuid() v"), t)
     spark.range(10_000).selectExpr("cast(id as int) k").write.parquet(f"{base}/keys")
     old = t.scan(t.snapshot().schema, t.bucket_parts(t.snapshot().parts))
-    kept, gather = incremental._without_keys(old, spark.read.parquet(f"{base}/keys"), 10_000, ["k"], 4)
+    kept, gather = incremental._without_keys(old, spark.read.parquet(f"{base}/keys"), 10_000, 4, f"{base}/kept")
     assert gather
     kept.collect()
     assert "SortMergeJoin(skew=true)" in kept._jdf.queryExecution().executedPlan().toString()
