@@ -4,31 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def latest_by(df: DataFrame, keys: Sequence[str], order: str, tiebreak: Sequence[str]) -> DataFrame:
     """The row of each key with the greatest ``order``; a null order wins.
 
-    Equal orders fall to the greatest ``tiebreak``, so a retried task picks the
-    same row. The result is that of ``row_number() = 1``, taken as an aggregate:
-    tasks sort by key alone and keep one row per key before the shuffle, so a key
-    with most of the rows costs no more than any other. (``max_by`` skips null
-    orders; the struct it is given here is never null.)
+    Equal orders fall to the greatest ``tiebreak`` and then to the other columns,
+    so a retried task picks the same row. The result is that of
+    ``row_number() = 1``, taken as the greatest struct per key: tasks sort by key
+    alone and keep one row per key before the shuffle, so a key with most of the
+    rows costs no more than any other.
     """
     if not tiebreak:
         raise ValueError("latest_by needs at least one tiebreak column")
-    named = {k.lower() for k in keys}
-    others = [c for c in df.columns if c.lower() not in named]
-    best = F.max_by(F.struct(*others), _rank([order, *tiebreak])).alias("_latest")
-    columns = [F.col(c) if c.lower() in named else F.col(f"_latest.{c}") for c in df.columns]
-    return df.groupBy(*keys).agg(best).select(columns)
-
-
-def _rank(columns: Sequence[str]) -> Column:
-    """Orders like the columns themselves, with null above every value."""
+    ranked = list(dict.fromkeys([order, *tiebreak]))
     parts = []
-    for i, c in enumerate(columns):
-        parts += [F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")]
-    return F.struct(*parts)
+    for c in ranked:
+        # Struct comparison puts null below every value, the flag puts it above.
+        parts += [F.col(c).isNull().alias(f"_no_{c}"), F.col(c)]
+    used = {c.lower() for c in (*keys, *ranked)}
+    parts += [F.col(c) for c in df.columns if c.lower() not in used]
+    named = {k.lower() for k in keys}
+    columns = [F.col(c) if c.lower() in named else F.col(f"_latest.{c}").alias(c) for c in df.columns]
+    return df.groupBy(*keys).agg(F.max(F.struct(*parts)).alias("_latest")).select(columns)

@@ -127,7 +127,7 @@ def test_latest_keeps_one_row_per_key_before_the_shuffle(spark, base):
     df = latest_by(spark.read.parquet(f"{base}/r"), ["K"], "d", ["d"])
     assert df.columns == ["k", "d"] and {r.d for r in df.collect()} == {997, 998, 999}
     plan = latest_by(spark.read.parquet(f"{base}/r"), ["k"], "d", ["d"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("Exchange") < plan.index("partial_max_by")
+    assert plan.index("Exchange") < plan.index("partial_max")
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
