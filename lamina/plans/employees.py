@@ -71,12 +71,16 @@ def dim_employee(stg: DataFrame, run_ts: datetime | str) -> DataFrame:
     return require_schema(dimension, DIM_EMPLOYEE)
 
 
-def fct_department_summary(stg: DataFrame, run_ts: datetime | str) -> DataFrame:
+def fct_department_summary(
+    stg: DataFrame, run_ts: datetime | str, approximate_cities: bool = False
+) -> DataFrame:
     """Counts, salary figures, service and cities per department and silver build.
 
     The rows of a department combine per city before the first shuffle and per
     department before the second, so few rows move whatever the input's size.
+    ``approximate_cities=True`` estimates the cities and saves the first shuffle.
     """
+    cities = F.approx_count_distinct("city") if approximate_cities else F.count_distinct("city")
     years = whole_years(run_timestamp(run_ts), "hire_date").cast("decimal(10,0)")
     summary = (
         stg.groupBy("department", "processed_at")
@@ -86,7 +90,7 @@ def fct_department_summary(stg: DataFrame, run_ts: datetime | str) -> DataFrame:
             F.min("salary").alias("min_salary"),
             F.max("salary").alias("max_salary"),
             exact_avg(years, 1).cast("decimal(12,1)").alias("avg_years_of_service"),
-            F.count_distinct("city").alias("cities_count"),
+            cities.alias("cities_count"),
         )
         .select(FCT_DEPARTMENT_SUMMARY.names)
     )

@@ -96,6 +96,9 @@ def test_summary(spark):
     assert eng.cities_count == 1
     assert eng.avg_years_of_service == Decimal("2.3")  # 5, 5, -3
     assert found[None].employee_count == 1 and found[None].avg_salary is None
+    stg = stg_employees(rows, RUN)
+    exact, estimate = fct_department_summary(stg, RUN), fct_department_summary(stg, RUN, approximate_cities=True)
+    assert sorted(exact.collect(), key=str) == sorted(estimate.collect(), key=str)
 
 
 def test_literal_feed(spark):
