@@ -26,14 +26,15 @@ def run_timestamp(run_ts: datetime | str) -> Column:
 def parse_date(c: Column | str, pattern: str = "d-M-yyyy", on_error: str = "raise") -> Column:
     """Date from text. One- and two-digit days and months are read.
 
-    An impossible date raises (under ANSI mode) or, with ``on_error="null"``,
-    gives null.
+    An impossible date raises or, with ``on_error="null"``, gives null.
     """
+    c = _column(c)
+    parsed = F.try_to_date(c, pattern)
     if on_error == "null":
-        return F.try_to_date(_column(c), pattern)
+        return parsed
     if on_error != "raise":
         raise ValueError(f"on_error must be 'raise' or 'null', not {on_error!r}")
-    return F.to_date(_column(c), pattern)
+    return F.coalesce(parsed, F.when(c.isNotNull(), F.raise_error(F.concat(F.lit("not a date: "), c))))
 
 
 def whole_years(later: Column | str, earlier: Column | str) -> Column:

@@ -12,8 +12,9 @@ from lamina.sources import files
 from lamina.sources.table import BUCKET, LOAD, NULL_BUCKET, Snapshot, Table, bucket_number
 
 
-# Keys of one batch that every executor may hold, and the size that files should have.
+# Keys that every executor may hold, and the size that files should have.
 BROADCAST_KEYS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 FILE_BYTES = 64 << 20
 
 
@@ -159,17 +160,25 @@ def _without_keys(
     """
     key = keys.columns
     rows = old.drop(LOAD, BUCKET)
-    if found <= BROADCAST_KEYS:
+    if _fits_everywhere(keys, found):
         return rows.join(F.broadcast(keys), key, "left_anti"), _too_many_files(old, buckets)
     # A batch that may cover nearly the whole table: compare the key columns first.
     if old.count() - found <= BROADCAST_KEYS:
         rows.select(*key).distinct().join(keys, key, "left_anti").write.parquet(scratch)
         staying = old.sparkSession.read.parquet(scratch)
-        if staying.count() <= BROADCAST_KEYS:
+        if _fits_everywhere(staying, staying.count()):
             return rows.join(F.broadcast(staying), key, "left_semi"), _too_many_files(old, buckets)
     return rows.join(keys, key, "left_anti"), True
 
 
+def _fits_everywhere(keys: DataFrame, rows: int) -> bool:
+    return rows <= BROADCAST_KEYS and _stored_bytes(keys) <= BROADCAST_BYTES
+
+
 def _too_many_files(old: DataFrame, buckets: int) -> bool:
-    size = int(old._jdf.queryExecution().analyzed().stats().sizeInBytes())
-    return len(old.inputFiles()) > 2 * max(buckets, size // FILE_BYTES)
+    # The list of files stays in the JVM, only its length is asked for.
+    return len(old._jdf.inputFiles()) > 2 * max(buckets, _stored_bytes(old) // FILE_BYTES)
+
+
+def _stored_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().analyzed().stats().sizeInBytes())

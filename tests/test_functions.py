@@ -105,7 +105,7 @@ def test_parse_date(spark):
     bad = ["31-02-1969", "1969-08-21", "x", "", "0-1-2000"]
     assert values(spark, bad, "c string", parse_date("c", on_error="null")) == [None] * len(bad)
     for text in bad:
-        with pytest.raises(Exception, match="CANNOT_PARSE_TIMESTAMP|CAST_INVALID|fields"):
+        with pytest.raises(Exception, match="not a date"):
             values(spark, [text], "c string", parse_date("c"))
     with pytest.raises(ValueError):
         parse_date("c", on_error="skip")
