@@ -7,9 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _column(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+from lamina.functions.columns import as_column
 
 
 def run_timestamp(run_ts: datetime | str) -> Column:
@@ -28,7 +26,7 @@ def parse_date(c: Column | str, pattern: str = "d-M-yyyy", on_error: str = "rais
 
     An impossible date raises or, with ``on_error="null"``, gives null.
     """
-    c = _column(c)
+    c = as_column(c)
     parsed = F.try_to_date(c, pattern)
     if on_error == "null":
         return parsed
@@ -45,8 +43,8 @@ def whole_years(later: Column | str, earlier: Column | str) -> Column:
     midnight. With the arguments the other way round in time, the same number
     comes out negative.
     """
-    a = _column(later).cast("timestamp_ntz")
-    b = _column(earlier).cast("timestamp_ntz")
+    a = as_column(later).cast("timestamp_ntz")
+    b = as_column(earlier).cast("timestamp_ntz")
     unfinished = F.when(
         a >= b,
         F.when(_earlier_in_year(a, b), -1).otherwise(0),

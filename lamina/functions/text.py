@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lamina.functions.columns import as_column
+
 # Put between a separator and the letter or digit after it, so that initcap sees
 # the start of a word, and removed again afterwards. The mark's own character is
 # always followed by a second one, so an input that holds the mark survives.
@@ -19,10 +21,6 @@ _LOWER_FIRST = (("İ", "i"), ("Σ", "σ"))
 _SHARP_S, _ASIDE = "ß", "\ufdd0"
 
 
-def _column(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def _swap(c: Column, old: str, new: str) -> Column:
     # A byte search; translate() would look up every character.
     return F.replace(c, F.lit(old), F.lit(new))
@@ -40,12 +38,12 @@ def _keep_sharp_s(change, c: Column) -> Column:
 
 def clean_lower(c: Column | str) -> Column:
     """Lower case without leading and trailing spaces; tabs and newlines stay."""
-    return F.lower(_prepared(F.trim(_column(c))))
+    return F.lower(_prepared(F.trim(as_column(c))))
 
 
 def clean_upper(c: Column | str) -> Column:
     """Upper case without leading and trailing spaces; tabs and newlines stay."""
-    return _keep_sharp_s(F.upper, F.trim(_column(c)))
+    return _keep_sharp_s(F.upper, F.trim(as_column(c)))
 
 
 def initcap_words(c: Column | str) -> Column:
@@ -55,7 +53,7 @@ def initcap_words(c: Column | str) -> Column:
     separator takes it directly; the rest gets a mark after each separator.
     All expressions stay inside whole-stage codegen.
     """
-    c = _column(c)
+    c = as_column(c)
     text = _prepared(c)
     marked = F.regexp_replace(text, _BEFORE_WORD, f"$1{_MARK}")
     return F.when(
@@ -66,4 +64,4 @@ def initcap_words(c: Column | str) -> Column:
 
 def full_name(first: Column | str, last: Column | str) -> Column:
     """``first last``; null when either part is null."""
-    return F.concat(_column(first), F.lit(" "), _column(last))
+    return F.concat(as_column(first), F.lit(" "), as_column(last))
