@@ -43,6 +43,7 @@ CAPITALS = [
     ("são josé-dos d'ávila RIO de janeiro 3rd", "São José-Dos D'Ávila Rio De Janeiro 3rd"),
     ("rio de janeiro", "Rio De Janeiro"),
     ("  BELO  horizonte", "  Belo  Horizonte"),
+    ("o'neil--smith,jr. a.b.c.", "O'Neil--Smith,Jr. A.B.C."),
     ("a\tb\nc_d.e,f", "A\tB\nC_D.E,F"),
     ("3rd 3RD x3y", "3rd 3rd X3y"),
     ("\u0001 \u0001a \u0001", "\u0001 \u0001A \u0001"),
@@ -59,7 +60,7 @@ def test_initcap_words(spark):
 
 
 @settings(max_examples=40, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text(alphabet=" aZé3-'.\u0001\t_ç", max_size=30), min_size=1, max_size=50))
+@given(st.lists(st.text(alphabet=" aZé3-'.,\u0001\t_ç", max_size=30), min_size=1, max_size=50))
 def test_initcap_words_against_brute_force(spark, texts):
     def brute(text):
         out, inside = [], False
