@@ -42,14 +42,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether decoding them gives the text back."""
     importable(spark)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text")))
+    texts = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256))
+    coded = bpe.encode_and_decode(texts, ["doc_id", "lang", "source", "text_sha256"])
     return coded.select(
         "doc_id",
         "lang",
         "source",
         "ids",
         F.size("ids").cast("long").alias("n_tokens"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"),
     )
 
 

@@ -33,9 +33,11 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -43,7 +45,9 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SLICE = 32_768
 HELD = 4_096
 #: Chunks, and as many words, whose ids a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
+#: Texts whose ids a worker holds at once.
+STEP = 500
 #: Characters that are neither letters, digits nor white space, without the apostrophe.
 MARKS = "!#$%&*+,-./:;<=>?@|"
 
@@ -395,10 +399,36 @@ def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", vocabulary: s
     return df.withColumn(text, text_of(F.col(ids)))
 
 
+def encode_and_decode(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """The columns to keep, the text's ids, and the text ``decoded`` from them, in one pass.
+
+    Rows leave in slices, so a worker holds the ids of STEP texts, not of a whole batch.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = encoder_of(vocabulary), Decoder(merges_of(vocabulary))
+        for batch in batches:
+            for start in range(0, batch.num_rows, STEP):
+                rows = batch.slice(start, STEP)
+                ids = [
+                    np.frombuffer(b"".join(encoder.encode(t)), np.int32) for t in rows.column(len(keep)).to_pylist()
+                ]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                decoded = pa.array([decoder.decode(row) for row in ids], pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*rows.columns[: len(keep)], lists, decoded], [*keep, "ids", "decoded"]
+                )
+
+    rows = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("text to encode"))
+    schema = T.StructType(df.select(*keep).schema.fields)
+    schema = schema.add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
+    return rows.mapInArrow(of, schema)
+
+
 def round_trip(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The digests of each text's ids and of the text decoded from them."""
-    coded = decode(encode(documents.select("doc_id", "text"), vocabulary=vocabulary), vocabulary=vocabulary)
-    return coded.select(
+    return encode_and_decode(documents, ["doc_id"], vocabulary=vocabulary).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         ids_digest(F.col("ids")).alias("ids_sha256"),
