@@ -273,7 +273,8 @@ def sample(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [agreed.where(F.col("quality") == q).orderBy(*order).limit(per_class).collect() for q in (0, 1)]
     rows = [(int(r.doc_id), r.quality) for part in chosen for r in part]
-    few = documents.sparkSession.createDataFrame(rows, "doc_id long, quality int")
+    # 2 * per_class ids, whatever the input's size: small enough to send to every task.
+    few = F.broadcast(documents.sparkSession.createDataFrame(rows, "doc_id long, quality int"))
     return documents.select("doc_id", "text").join(few, "doc_id").where(F.octet_length("text") <= MAX_BYTES)
 
 
