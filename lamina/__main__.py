@@ -51,7 +51,7 @@ def main(argv: Sequence[str] | None = None) -> None:
 def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
     shared = argparse.ArgumentParser(add_help=False)
     shared.add_argument("--base", required=True, help="folder of the stored tables")
-    shared.add_argument("--buckets", type=int, default=16, help="folders of a new keyed table")
+    shared.add_argument("--buckets", type=int, help="folders of a new keyed table")
     shared.add_argument("--run-ts", default=datetime.now(timezone.utc).isoformat(" ", "seconds"))
     shared.add_argument("--execution-date", default=EXECUTION_DATE)
     shared.add_argument("--departments", nargs="+", default=DEPARTMENTS)

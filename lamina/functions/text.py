@@ -14,11 +14,10 @@ _MARK = "\u0001 "
 _SEPARATOR = r"[^\p{L}\p{N} ]"
 _BEFORE_WORD = rf"(\u0001|{_SEPARATOR}(?=[\p{{L}}\p{{N}}]))"
 
-# Case changes map one character to one character, so the sharp s
-# has no capital, and a dotted I or a last sigma is lowered like any other. The
-# sharp s stands aside as a code point that is not for text.
+# A dotted I or a last sigma is lowered like any other letter, one to one.
 _LOWER_FIRST = (("İ", "i"), ("Σ", "σ"))
-_SHARP_S, _ASIDE = "ß", "\ufdd0"
+# Fixed value: the letters that stand for two and have a title form between small and capital.
+_TWO_LETTERS = "[\u01c4-\u01cc\u01f1-\u01f3]"
 
 
 def _swap(c: Column, old: str, new: str) -> Column:
@@ -32,8 +31,9 @@ def _prepared(c: Column) -> Column:
     return c
 
 
-def _keep_sharp_s(change, c: Column) -> Column:
-    return _swap(change(_swap(c, _SHARP_S, _ASIDE)), _ASIDE, _SHARP_S)
+def _capital(letter: Column) -> Column:
+    """The capital of one character; the character itself where that takes several."""
+    return F.when(F.length(F.upper(letter)) == 1, F.upper(letter)).otherwise(letter)
 
 
 def clean_lower(c: Column | str) -> Column:
@@ -42,24 +42,40 @@ def clean_lower(c: Column | str) -> Column:
 
 
 def clean_upper(c: Column | str) -> Column:
-    """Upper case without leading and trailing spaces; tabs and newlines stay."""
-    return _keep_sharp_s(F.upper, F.trim(as_column(c)))
+    """Upper case without leading and trailing spaces; tabs and newlines stay.
+
+    Each character becomes one character. Capitals are never fewer characters than
+    the text, so equal lengths mean that none became several.
+    """
+    text = F.trim(as_column(c))
+    upper = F.upper(text)
+    one_by_one = F.array_join(F.transform(F.split(text, ""), _capital), "")
+    return F.when(F.length(upper) == F.length(text), upper).when(text.isNotNull(), one_by_one)
 
 
 def initcap_words(c: Column | str) -> Column:
     """Capitalize each run of letters and digits: ``d'ávila`` becomes ``D'Ávila``.
 
-    The built-in initcap starts words at spaces only. Text with no other
-    separator takes it directly; the rest gets a mark after each separator.
-    All expressions stay inside whole-stage codegen.
+    The built-in initcap starts words at spaces only. Text with no other separator
+    takes it directly; the rest gets a mark after each separator. Where a word
+    begins with a character whose capital is several, or that is a capital or title
+    form which initcap would change, the words are taken one by one.
     """
     c = as_column(c)
     text = _prepared(c)
-    marked = F.regexp_replace(text, _BEFORE_WORD, f"$1{_MARK}")
-    return F.when(
-        c.rlike(_SEPARATOR),
-        _swap(_keep_sharp_s(F.initcap, marked), _MARK, ""),
-    ).otherwise(_keep_sharp_s(F.initcap, text))
+    marked = F.when(c.rlike(_SEPARATOR), F.regexp_replace(text, _BEFORE_WORD, f"$1{_MARK}")).otherwise(text)
+    capitalized = F.initcap(marked)
+    words = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
+    one_by_one = F.array_join(
+        F.transform(
+            words, lambda w: F.concat(_capital(F.left(w, F.lit(1))), F.lower(_prepared(F.substring(w, 2, 2**31 - 1))))
+        ),
+        "",
+    )
+    special = (F.length(capitalized) != F.length(marked)) | c.contains("İ") | c.rlike(_TWO_LETTERS)
+    return F.when(special, one_by_one).otherwise(
+        F.when(c.rlike(_SEPARATOR), _swap(capitalized, _MARK, "")).otherwise(capitalized)
+    )
 
 
 def full_name(first: Column | str, last: Column | str) -> Column:

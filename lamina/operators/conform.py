@@ -15,9 +15,13 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
     A value that its type cannot hold raises; none turns into null. Decimals
     round half away from zero. Text longer than a ``varchar(n)`` raises unless
-    only spaces are cut off.
+    only spaces are cut off. Columns that have their type already are taken as they
+    are, so filters on them still reach the scan.
     """
-    return df.select([_fit(f).alias(f.name) for f in schema])
+    stored = {f.name.lower(): f.dataType for f in df.schema}
+    return df.select(
+        [F.col(f.name) if stored.get(f.name.lower()) == f.dataType else _fit(f).alias(f.name) for f in schema]
+    )
 
 
 def plain_type(dtype: T.DataType) -> T.DataType:

@@ -91,7 +91,7 @@ class Warehouse:
     ``publish()``, while this object already reads it.
     """
 
-    def __init__(self, spark: SparkSession, base: str, buckets: int = 16, publish: bool = True):
+    def __init__(self, spark: SparkSession, base: str, buckets: int | None = None, publish: bool = True):
         self.spark = spark
         self.base = base.rstrip("/")
         self.buckets = buckets
@@ -163,7 +163,7 @@ def run_pipeline(
     feed_df: DataFrame | None = None,
     checks: Sequence[Check] | None = None,
     publish_after_checks: bool = False,
-    buckets: int = 16,
+    buckets: int | None = None,
     keep: int | None = None,
 ) -> DataFrame | None:
     """Load bronze, build every model from the stored ones before it, then check.

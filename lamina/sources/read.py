@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lamina.operators.conform import conform, plain_type
+from lamina.operators.conform import conform
 
 
 @dataclass(frozen=True)
@@ -21,11 +21,13 @@ class Source:
 
 
 def read_source(spark: SparkSession, source: Source) -> DataFrame:
-    """The declared columns of a source: Parquet at its path, or a catalog table."""
-    if source.path is None:
-        return conform(spark.table(source.name), source.schema)
-    stored = T.StructType([T.StructField(f.name, plain_type(f.dataType)) for f in source.schema])
-    return spark.read.schema(stored).parquet(source.path)
+    """The declared columns of a source: Parquet at its path, or a catalog table.
+
+    The files' own schema is read, so a declared column that they lack raises, as does
+    a value that its declared type cannot hold.
+    """
+    stored = spark.table(source.name) if source.path is None else spark.read.parquet(source.path)
+    return conform(stored, source.schema)
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:

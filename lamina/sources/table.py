@@ -17,6 +17,7 @@ never read.
 from __future__ import annotations
 
 import json
+import random
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
@@ -30,6 +31,10 @@ from lamina.sources import files
 LOAD = "load"
 BUCKET = "bucket"
 NULL_BUCKET = -1
+BUCKETS = 16
+#: Load numbers count in steps of this; the rest is random, so that two writers which
+#: saw the same loads never write into one folder.
+LOAD_STEP = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -76,7 +81,8 @@ class Layout(NamedTuple):
 class Table:
     """A stored table at ``path``.
 
-    ``key`` and ``buckets`` count at the first write and stay as they were then.
+    ``key`` and ``buckets`` count at the first write and stay as they were then;
+    asking for another number of buckets later raises.
     About one gigabyte of the table per bucket is a good size.
     """
 
@@ -85,12 +91,13 @@ class Table:
         spark: SparkSession,
         path: str,
         key: str | Sequence[str] = (),
-        buckets: int = 16,
+        buckets: int | None = None,
     ):
         self.spark = spark
         self.path = path.rstrip("/")
         self._key = tuple(filter(None, [key] if isinstance(key, str) else key))
-        self._buckets = buckets if self._key else 0
+        self._asked = buckets
+        self._buckets = (BUCKETS if buckets is None else buckets) if self._key else 0
 
     # -- state ---------------------------------------------------------------
 
@@ -110,7 +117,11 @@ class Table:
 
     def _layout(self) -> Layout:
         before = self.snapshot()
-        return Layout(before.key, before.buckets) if before else Layout(self._key, self._buckets)
+        if before is None:
+            return Layout(self._key, self._buckets)
+        if self._asked is not None and before.buckets and before.buckets != self._asked:
+            raise ValueError(f"the table at {self.path} has {before.buckets} buckets, not {self._asked}")
+        return Layout(before.key, before.buckets)
 
     # -- reading -------------------------------------------------------------
 
@@ -130,6 +141,14 @@ class Table:
             return self.spark.createDataFrame([], full)
         return self.spark.read.schema(full).option("basePath", self.path).parquet(*paths)
 
+    def rows_beside(self, batch: DataFrame) -> DataFrame:
+        """The stored rows of the buckets that the batch's keys fall into."""
+        state = self.snapshot()
+        numbers = batch.select(bucket_of(state.key, state.buckets)).distinct().collect()
+        touched = {row[0] for row in numbers} - {NULL_BUCKET}
+        hit = [p for p in self.bucket_parts(state.parts) if bucket_number(p) in touched]
+        return self.scan(state.schema, hit).drop(LOAD, BUCKET)
+
     # -- writing -------------------------------------------------------------
 
     def overwrite(self, df: DataFrame, publish: bool = True) -> Snapshot:
@@ -229,7 +248,7 @@ class Table:
         for name in numbers[:-keep]:
             files.delete(self.spark, f"{self._log}/{name}")
         for name in files.names(self.spark, self.path):
-            if name.startswith(f"{LOAD}=") and name not in live and _load_number(name) < newest:
+            if name.startswith(f"{LOAD}=") and name not in live and _load_number(name) // LOAD_STEP < newest // LOAD_STEP:
                 files.delete(self.spark, f"{self.path}/{name}")
 
     # -- names ---------------------------------------------------------------
@@ -240,7 +259,7 @@ class Table:
 
     def _next_load(self) -> int:
         loads = [_load_number(n) for n in files.names(self.spark, self.path) if n.startswith(f"{LOAD}=")]
-        return max(loads, default=0) + 1
+        return (max(loads, default=0) // LOAD_STEP + 1) * LOAD_STEP + random.randrange(LOAD_STEP)
 
 
 def bucket_of(key: Sequence[str], buckets: int) -> Column:

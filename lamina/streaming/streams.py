@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -38,18 +39,38 @@ def merge_stream(
     tiebreak: Sequence[str],
     checkpoint: str,
 ) -> StreamingQuery:
-    """Merge change records: within a micro-batch the latest of each key counts.
+    """Merge change records: of all records of a key that have arrived, the latest counts.
 
-    As with any merge, a later micro-batch replaces what an earlier one wrote.
+    It does not matter which micro-batch brings a record: a batch's latest records are
+    compared with the stored rows of their keys, by ``order`` (null wins), then by
+    ``tiebreak``, then by the other columns, and the winners are merged. Only the
+    buckets that the batch falls into are read.
+
+    A record of a deletion is a row like any other, with a flag that the stream's
+    source sets; it stays stored, so that an older record which comes later does not
+    bring its key back. ``without_deleted`` leaves such rows out.
     """
 
     def store(batch: DataFrame, mark: dict[str, int]) -> Snapshot:
-        latest = latest_by(batch, target.key, order, tiebreak)
-        return merge_upsert(latest, target, marks=mark)
+        batch = batch.persist()
+        try:
+            latest = latest_by(batch, target.key, order, tiebreak)
+            if target.exists():
+                stored = target.rows_beside(batch)
+                same = stored.join(latest.select(*target.key), list(target.key), "left_semi")
+                latest = latest_by(target.fit(latest, stored.schema).unionAll(same), target.key, order, tiebreak)
+            return merge_upsert(latest, target, marks=mark)
+        finally:
+            batch.unpersist()
 
     return _start(stream, target, checkpoint, store)
 
 
+def without_deleted(rows: DataFrame, deleted: str) -> DataFrame:
+    """The rows that are not records of a deletion, without the flag; a null flag deletes nothing."""
+    return rows.where(~F.coalesce(F.col(deleted), F.lit(False))).drop(deleted)
+
+
 def _start(
     stream: DataFrame,
     target: Table,

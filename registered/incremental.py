@@ -23,7 +23,8 @@ def early(feed: DataFrame) -> DataFrame:
 
 
 def late(feed: DataFrame) -> DataFrame:
-    return feed.where(F.col("record_date") >= SPLIT)
+    """The rest, rows without a date included: they win over any date."""
+    return feed.where((F.col("record_date") >= SPLIT) | F.col("record_date").isNull())
 
 
 def _upsert(write: Callable, runs: int) -> Callable:
@@ -45,7 +46,7 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     target = Table(spark, work_dir(spark, "lines"), key="l_partkey")
     delete_insert(lines.where("l_shipdate < '1999-01-01'"), target)
-    delete_insert(lines.where("l_shipdate >= '1999-01-01'"), target)
+    delete_insert(lines.where("l_shipdate is null or l_shipdate >= '1999-01-01'"), target)
     return target.read()
 
 
@@ -76,7 +77,7 @@ def _latest_sql(condition: str) -> str:
 
 
 _EARLY = _latest_sql(f"record_date < '{SPLIT}'")
-_LATE = _latest_sql(f"record_date >= '{SPLIT}'")
+_LATE = _latest_sql(f"record_date is null or record_date >= '{SPLIT}'")
 _UPSERT_SQL = f"""
     with old as ({_EARLY}), batch as ({_LATE})
     select * from old where emp_id not in (select emp_id from batch)
@@ -99,7 +100,7 @@ SQL = {
     "delete_insert_rerun": _UPSERT_SQL,
     "delete_insert_duplicate_keys": """
         with lines as (select l_partkey, l_orderkey, l_linenumber, cast(l_shipdate as date) l_shipdate from lineitem),
-             batch as (select * from lines where l_shipdate >= date '1999-01-01')
+             batch as (select * from lines where l_shipdate is null or l_shipdate >= date '1999-01-01')
         select * from lines
         where l_shipdate < date '1999-01-01' and l_partkey not in (select l_partkey from batch)
         union all select * from batch""",

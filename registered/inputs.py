@@ -35,7 +35,7 @@ def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def emp_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with an order, as raw employee records."""
+    """Customers as raw employee records; those without an order have no hire date."""
     customer = given(spark, sf_dir, "customer")
     nation = given(spark, sf_dir, "nation")
     region = given(spark, sf_dir, "region")
@@ -48,7 +48,7 @@ def emp_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .join(first_order, "c_custkey")
+        .join(first_order, "c_custkey", "left")
         .select(
             F.col("c_custkey").cast("string").alias("employee_id"),
             F.when(F.col("c_custkey") % 97 != 0, F.concat(F.lit(" "), F.upper(segment), F.lit(" "))).alias(
@@ -78,7 +78,7 @@ EMP_RAW_SQL = """
     from customer
     join nation on c_nationkey = n_nationkey
     join region on n_regionkey = r_regionkey
-    join (select o_custkey, min(o_orderdate) h from orders group by o_custkey) on o_custkey = c_custkey
+    left join (select o_custkey, min(o_orderdate) h from orders group by o_custkey) on o_custkey = c_custkey
 """
 
 

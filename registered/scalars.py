@@ -19,8 +19,8 @@ from registered.inputs import EMP_FEED_SQL, EMP_RAW_SQL, emp_feed, emp_raw, give
 
 # The sharp s has no simple capital; DuckDB's upper() gives it one.
 CAPITALS_SQL = (
-    r"array_to_string(list_transform(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), "
-    r"lambda w: case when w[1] = 'ß' then w[1] else upper(w[1]) end || w[2:]), '')"
+    r"array_to_string(list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+'), "
+    r"lambda w: case when w[1] = 'ß' then w[1] else upper(w[1]) end || lower(w[2:])), '')"
 )
 
 

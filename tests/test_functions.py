@@ -36,6 +36,7 @@ def test_trim_takes_spaces_only(spark):
         None,
     ]
     assert values(spark, [" São ", "straße", "é "], "c string", clean_upper("c")) == ["SÃO", "STRAßE", "É"]
+    assert values(spark, ["ﬁnance", "ŉ", "a\ufdd0ß🙂é"], "c string", clean_upper("c")) == ["ﬁNANCE", "ŉ", "A\ufdd0ß🙂É"]
     assert values(spark, ["İZMİR", "ΣΟΦΟΣ", "JOSÉ"], "c string", clean_lower("c")) == ["izmir", "σοφοσ", "josé"]
 
 
@@ -49,6 +50,9 @@ CAPITALS = [
     ("\u0001 \u0001a \u0001", "\u0001 \u0001A \u0001"),
     ("x\u0001 y", "X\u0001 Y"),
     ("ßart-ßart", "ßart-ßart"),
+    ("İstanbul İZMİR-x", "İstanbul İzmir-X"),
+    ("ǆep ǆEP", "Ǆep Ǆep"),
+    ("ﬁnance ŉ ß\ufdd0ß", "ﬁnance ŉ ß\ufdd0ß"),
     ("$1 \\x $0a", "$1 \\X $0a"),
     ("", ""),
     (None, None),

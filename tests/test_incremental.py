@@ -196,15 +196,28 @@ def test_composite_key(spark, base):
 
 def test_only_touched_buckets_are_written(spark, base):
     t = Table(spark, f"{base}/t", key="k", buckets=8)
-    merge_upsert(spark.range(1000).selectExpr("cast(id as int) k", "'a' v"), t)
+    first = merge_upsert(spark.range(1000).selectExpr("cast(id as int) k", "'a' v"), t).parts[0] + "/"
     snapshot = merge_upsert(make(spark, [(7, "b")]), t)
     parts = t.bucket_parts(snapshot.parts)
-    rewritten = {bucket_number(p) for p in parts if not p.startswith("load=1/")}
-    untouched = {bucket_number(p) for p in parts if p.startswith("load=1/")}
+    rewritten = {bucket_number(p) for p in parts if not p.startswith(first)}
+    untouched = {bucket_number(p) for p in parts if p.startswith(first)}
     assert len(rewritten) == 1 and untouched == set(range(8)) - rewritten
     assert t.read().where("v = 'b'").count() == 1 and t.read().count() == 1000
 
 
+def test_another_number_of_buckets_is_an_error(spark, base):
+    merge_upsert(make(spark, [(7, "b")]), Table(spark, f"{base}/t", key="k", buckets=2))
+    with pytest.raises(ValueError, match="2 buckets"):
+        merge_upsert(make(spark, [(7, "c")]), Table(spark, f"{base}/t", key="k", buckets=64))
+    merge_upsert(make(spark, [(7, "c")]), Table(spark, f"{base}/t", key="k"))
+
+
+def test_writers_of_one_state_write_into_different_folders(spark, base):
+    t = Table(spark, f"{base}/t")
+    t.overwrite(make(spark, [(1, "a")]))
+    assert len({t._next_load() for _ in range(50)}) > 45
+
+
 @pytest.fixture
 def sort_merge(spark, monkeypatch):
     """No broadcast, and partitions that count as skewed at test sizes."""
@@ -273,8 +286,8 @@ HOT = "case when id % 3 = 0 then 0 when id % 3 = 1 then null else cast(id as int
 def test_one_key_with_a_third_of_the_rows(spark, base, sort_merge):
     """A hot target key and a hot null key, sort-merged and split by the runtime."""
     t = Table(spark, f"{base}/t", key="k", buckets=4)
-    delete_insert(spark.range(90_000).selectExpr(HOT, "uuid() v"), t)
-    null_files = glob.glob(f"{base}/t/load=1/bucket=-1/*.parquet")
+    first = delete_insert(spark.range(90_000).selectExpr(HOT, "uuid() v"), t).parts[0]
+    null_files = glob.glob(f"{base}/t/{first}/bucket=-1/*.parquet")
     assert len(null_files) > 1, "several tasks write the null folder"
     delete_insert(spark.range(1, 3000).selectExpr("cast(id * 3 + 2 as int) k", "'new' v"), t)
     counts = {r.k: r["count"] for r in t.read().groupBy("k").count().where("k is null or k = 0").collect()}

@@ -208,6 +208,24 @@ def test_sources(spark, base):
     assert read_source(spark, Source("raw_employees_view", RAW_EMPLOYEES)).first().city == " rio de janeiro "
 
 
+def test_a_source_must_hold_what_it_declares(spark, base):
+    raw(spark).drop("salary").write.parquet(f"{base}/less")
+    raw(spark).withColumn("employee_id", F.lit("x" * 300)).write.parquet(f"{base}/long")
+    for name in ("less", "long"):
+        with pytest.raises(Exception, match="salary|does not fit"):
+            read_source(spark, Source("raw", RAW_EMPLOYEES, f"{base}/{name}")).collect()
+        spark.read.parquet(f"{base}/{name}").createOrReplaceTempView(f"raw_{name}")
+        with pytest.raises(Exception, match="salary|does not fit"):
+            read_source(spark, Source(f"raw_{name}", RAW_EMPLOYEES)).collect()
+
+
+def test_every_customer_is_a_record(spark, sf_dir):
+    from registered.inputs import emp_raw, given
+
+    assert emp_raw(spark, sf_dir).count() == given(spark, sf_dir, "customer").count()
+    assert emp_raw(spark, "/root/testdata/sf0.1").count() == given(spark, "/root/testdata/sf0.1", "customer").count()
+
+
 def test_seed(spark, base):
     with open(f"{base}/seed.csv", "w") as f:
         f.write("emp_id,first_name,last_name,dob,doj,record_date\n1,Ron,,21-08-1969,x,\n")

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from lamina.schemas import RAW_FEED
 from lamina.sources import Table
-from lamina.streaming.streams import land_stream, merge_stream
+from lamina.streaming.streams import land_stream, merge_stream, without_deleted
 
 TEXT = T.StructType([T.StructField(f.name, T.StringType()) for f in RAW_FEED])
 
@@ -64,7 +64,46 @@ def test_changes(spark, base):
     arrive(base, "a", "1,old,x,d,j,2021", "1,new,x,d,j,2022", "2,two,x,d,j,2022")
     assert run() == {(1, "new"), (2, "two")}
     arrive(base, "b", "2,again,x,d,j,2020", "3,three,x,d,j,2022")
-    assert run() == {(1, "new"), (2, "again"), (3, "three")}
+    assert run() == {(1, "new"), (2, "two"), (3, "three")}
+    arrive(base, "c", "2,later,x,d,j,2023", "3,tie,x,d,k,2022", "1,no date,x,d,j,")
+    assert run() == {(1, "no date"), (2, "later"), (3, "tie")}
+
+
+def test_order_of_arrival_does_not_matter(spark, base):
+    """One file per micro-batch, newest record first, and again oldest first."""
+    lines = [f"{k},v{n},x,d,j{n},20{n:02d}" for n in range(6) for k in range(4)]
+    expected = {(k, "v5") for k in range(4)}
+    for way, ordered in (("down", lines[::-1]), ("up", lines)):
+        folder = f"{base}/{way}"
+        import os
+
+        os.makedirs(f"{folder}/in")
+        for i in range(0, len(ordered), 5):
+            arrive(folder, f"{i:03d}", *ordered[i : i + 5])
+            os.utime(f"{folder}/in/{i:03d}.csv", (1_700_000_000 + i, 1_700_000_000 + i))
+        stream = spark.readStream.schema(RAW_FEED).option("maxFilesPerTrigger", 1).csv(f"{folder}/in")
+        t = Table(spark, f"{folder}/t", key="emp_id", buckets=2)
+        merge_stream(stream, t, "record_date", ["doj"], f"{folder}/c").awaitTermination()
+        assert {(r.emp_id, r.first_name) for r in t.read().collect()} == expected
+
+
+def test_deleted_keys_stay_deleted(spark, base):
+    shape = T.StructType([*RAW_FEED.fields, T.StructField("gone", T.BooleanType())])
+    stream = spark.readStream.schema(shape).csv(f"{base}/in")
+    t = Table(spark, f"{base}/t", key="emp_id", buckets=2)
+
+    def run():
+        merge_stream(stream, t, "record_date", ["doj"], f"{base}/c").awaitTermination()
+        return {(r.emp_id, r.first_name) for r in without_deleted(t.read(), "gone").collect()}
+
+    arrive(base, "a", "1,one,x,d,j,2021,false", "2,two,x,d,j,2021,")
+    assert run() == {(1, "one"), (2, "two")}
+    arrive(base, "b", "1,one,x,d,j,2023,true")
+    assert run() == {(2, "two")}
+    arrive(base, "c", "1,older,x,d,j,2022,false")
+    assert run() == {(2, "two")}
+    arrive(base, "d", "1,newer,x,d,j,2024,false")
+    assert run() == {(1, "newer"), (2, "two")}
 
 
 def test_bad_value_stops_the_stream(spark, base):
