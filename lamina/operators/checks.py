@@ -65,18 +65,43 @@ def query_test(spark: SparkSession, sql: str, args: Mapping | None = None) -> Da
     return spark.sql(sql, args=dict(args or {}))
 
 
+KINDS = ("unique", "not_null", "accepted_values", "relationships", "freshness", "query")
+
+
 @dataclass(frozen=True)
 class Check:
-    """One assertion on one column of one table."""
+    """One assertion on one table.
+
+    ``column`` names one column, for ``unique`` also several. ``relationships`` looks
+    for the values in ``parent_column`` of the table ``parent``; ``freshness`` wants the
+    newest value at most ``max_age_hours`` before ``run_ts``; ``query`` names tables in
+    braces in ``sql`` and should return no row.
+    """
 
     test: str
     model: str
-    column: str
+    column: str | tuple[str, ...] = ""
     values: tuple = ()
+    parent: str = ""
+    parent_column: str = ""
+    run_ts: datetime | str = ""
+    max_age_hours: int = 0
+    sql: str = ""
 
     def __post_init__(self):
-        if self.test not in ("unique", "not_null", "accepted_values"):
+        if self.test not in KINDS:
             raise ValueError(f"unknown test {self.test!r}")
+        if self.test != "unique" and not isinstance(self.column, str):
+            raise ValueError(f"{self.test} takes one column")
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return (self.column,) if isinstance(self.column, str) else tuple(self.column)
+
+    @property
+    def tables(self) -> tuple[str, ...]:
+        """The names that the check reads."""
+        return (self.model, self.parent) if self.parent else (self.model,)
 
 
 class ChecksFailed(AssertionError):
@@ -86,20 +111,21 @@ class ChecksFailed(AssertionError):
 def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> DataFrame:
     """All checks as one query: test, model, column, failures, status.
 
-    ``failures`` counts what the single check would return: duplicated values,
-    null rows, or distinct values outside the list. The null and value checks of
-    a table share one scan; each uniqueness check groups its own column.
+    ``failures`` counts what the single check would return: duplicated values, null
+    rows, distinct values outside the list or without a parent, stale tables, rows of
+    a query. The null checks of a table share one scan; each other check groups its own
+    column. No checks, no rows.
     """
     results = []
     for model in dict.fromkeys(c.model for c in checks):
-        df = tables[model]
-        scanned = [c for c in checks if c.model == model and c.test != "unique"]
-        if scanned:
-            results.append(_one_scan(df, scanned))
-        for check in checks:
-            if check.model == model and check.test == "unique":
-                counted = unique(df, check.column).agg(F.count(F.lit(1)).alias("failures"))
-                results.append(counted.select(*_labels(check), "failures"))
+        own = [c for c in checks if c.model == model]
+        nulls = [c for c in own if c.test == "not_null"]
+        if nulls:
+            results.append(_null_counts(tables[model], nulls))
+        results += [_violations(tables, c) for c in own if c.test != "not_null"]
+    if not results:
+        spark = SparkSession.getActiveSession()
+        return spark.createDataFrame([], "test string, model string, column string, failures bigint, status string")
     status = F.when(F.col("failures") > 0, "fail").otherwise("pass")
     return reduce(DataFrame.unionAll, results).withColumn("status", status)
 
@@ -112,22 +138,30 @@ def assert_checks(results: DataFrame) -> None:
         raise ChecksFailed("; ".join(sorted(lines)))
 
 
-def _one_scan(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    counts = [_failures(c).alias(f"f{i}") for i, c in enumerate(checks)]
+def _null_counts(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
+    counts = [F.count_if(F.col(c.column).isNull()).alias(f"f{i}") for i, c in enumerate(checks)]
     rows = [F.struct(*_labels(c), F.col(f"f{i}").alias("failures")) for i, c in enumerate(checks)]
     return df.agg(*counts).select(F.inline(F.array(*rows)))
 
 
-def _failures(check: Check) -> Column:
-    c = F.col(check.column)
-    if check.test == "not_null":
-        return F.count_if(c.isNull())
-    return F.count_distinct(F.when(~c.isin(list(check.values)), c))
+def _violations(tables: Mapping[str, DataFrame], check: Check) -> DataFrame:
+    df = tables[check.model]
+    if check.test == "unique":
+        found = unique(df, *check.columns)
+    elif check.test == "accepted_values":
+        found = accepted_values(df, check.column, check.values)
+    elif check.test == "relationships":
+        found = relationships(df, check.column, tables[check.parent], check.parent_column)
+    elif check.test == "freshness":
+        found = freshness(df, check.column, check.run_ts, check.max_age_hours).where("status = 'fail'")
+    else:
+        found = df.sparkSession.sql(check.sql, **tables)
+    return found.agg(F.count(F.lit(1)).alias("failures")).select(*_labels(check), "failures")
 
 
 def _labels(check: Check) -> list[Column]:
     return [
         F.lit(check.test).alias("test"),
         F.lit(check.model).alias("model"),
-        F.lit(check.column).alias("column"),
+        F.lit(", ".join(check.columns)).alias("column"),
     ]

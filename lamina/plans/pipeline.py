@@ -140,7 +140,7 @@ class Warehouse:
 
     def check(self, checks: Sequence[Check]) -> DataFrame:
         """Run the checks once; the result holds one row per check."""
-        tables = {model: self.read(model) for model in dict.fromkeys(c.model for c in checks)}
+        tables = {model: self.read(model) for model in dict.fromkeys(t for c in checks for t in c.tables)}
         found = run_checks(tables, checks)
         return self.spark.createDataFrame(found.collect(), found.schema)
 

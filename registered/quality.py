@@ -102,7 +102,49 @@ _MODEL_SQL = f"""
     with stg_employees as ({STG_SQL}), dim_employee as ({DIM_SQL}), fct_department_summary as ({FCT_SQL})
 """
 
+def full_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every kind of check in one verdict."""
+    tables = {name: given(spark, sf_dir, name) for name in ("lineitem", "orders", "customer", "events")}
+    return run_checks(
+        tables,
+        [
+            Check("unique", "lineitem", ("l_orderkey", "l_linenumber")),
+            Check("unique", "lineitem", ("l_partkey", "l_suppkey")),
+            Check("not_null", "lineitem", "l_shipdate"),
+            Check("accepted_values", "lineitem", "l_returnflag", ("A", "N")),
+            Check("accepted_values", "lineitem", "l_linestatus", ("O", "F")),
+            Check("relationships", "lineitem", "l_orderkey", parent="orders", parent_column="o_orderkey"),
+            Check("relationships", "customer", "c_custkey", parent="orders", parent_column="o_custkey"),
+            Check("freshness", "events", "ts", run_ts=RUN_TS, max_age_hours=24),
+            Check("query", "orders", sql="select o_orderkey from {orders} where o_totalprice > 400000"),
+        ],
+    )
+
+
+FULL_SUITE_SQL = f"""
+    with found as (
+        select 'unique' test, 'lineitem' model, 'l_orderkey, l_linenumber' "column", (select count(*) from (
+            select 1 from lineitem where l_orderkey is not null and l_linenumber is not null
+            group by l_orderkey, l_linenumber having count(*) > 1)) failures
+        union all select 'unique', 'lineitem', 'l_partkey, l_suppkey', (select count(*) from (
+            select 1 from lineitem where l_partkey is not null and l_suppkey is not null
+            group by l_partkey, l_suppkey having count(*) > 1))
+        union all select 'not_null', 'lineitem', 'l_shipdate', (select count(*) from lineitem where l_shipdate is null)
+        union all select 'accepted_values', 'lineitem', 'l_returnflag',
+            (select count(distinct l_returnflag) from lineitem where l_returnflag not in ('A', 'N'))
+        union all select 'accepted_values', 'lineitem', 'l_linestatus',
+            (select count(distinct l_linestatus) from lineitem where l_linestatus not in ('O', 'F'))
+        union all select 'relationships', 'lineitem', 'l_orderkey',
+            (select count(distinct l_orderkey) from lineitem where l_orderkey not in (select o_orderkey from orders))
+        union all select 'relationships', 'customer', 'c_custkey',
+            (select count(distinct c_custkey) from customer where c_custkey not in (select o_custkey from orders))
+        union all select 'freshness', 'events', 'ts',
+            (select case when max(ts) >= timestamp '{RUN_TS}' - interval 25 hour + interval 1 microsecond then 0 else 1 end from events)
+        union all select 'query', 'orders', '', (select count(*) from orders where o_totalprice > 400000))
+    select *, case when failures > 0 then 'fail' else 'pass' end status from found"""
+
 QUERIES = {
+    "dq_full_suite": full_suite,
     "dq_unique": duplicates,
     "dq_not_null": nulls,
     "dq_accepted_values": outside,
@@ -114,6 +156,7 @@ QUERIES = {
 }
 
 SQL = {
+    "dq_full_suite": FULL_SUITE_SQL,
     "dq_unique": """
         select l_orderkey, l_linenumber, count(*) occurrences from lineitem
         where l_orderkey is not null and l_linenumber is not null

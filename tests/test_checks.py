@@ -161,3 +161,34 @@ def test_a_failed_step_stops_the_later_ones(spark, base):
     with pytest.raises(Exception):
         run_pipeline(spark, people(spark).withColumn("hire_date", people(spark).city), base, RUN)
     assert Warehouse(spark, base).read("appended_feed").count() == 3
+
+
+def test_no_checks_no_rows(spark):
+    assert run_checks({}, []).collect() == []
+
+
+def test_value_checks_do_not_copy_rows(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "k int, x string, y string")
+    checks = [Check("accepted_values", "t", "x", ("a",)), Check("accepted_values", "t", "y", ("a",)), Check("not_null", "t", "k")]
+    result = run_checks({"t": df}, checks)
+    assert "Expand" not in result._jdf.queryExecution().executedPlan().toString()
+    assert {(r.column, r.failures) for r in result.collect()} == {("x", 0), ("y", 1), ("k", 0)}
+
+
+def test_every_kind_in_one_suite(spark):
+    df = spark.createDataFrame([(1, 2, "2026-01-01 00:00:00"), (1, 2, None), (3, None, None)], "a int, b int, at string")
+    tables = {"t": df.withColumn("at", df["at"].cast("timestamp_ntz")), "p": spark.createDataFrame([(1,)], "k int")}
+    checks = [
+        Check("unique", "t", ("a", "b")),
+        Check("relationships", "t", "a", parent="p", parent_column="k"),
+        Check("freshness", "t", "at", run_ts="2026-01-02 00:00:00", max_age_hours=24),
+        Check("freshness", "t", "at", run_ts="2026-01-03 00:00:00", max_age_hours=24),
+        Check("query", "t", sql="select a from {t} join {p} on a = k"),
+    ]
+    found = [(r.test, r.column, r.failures, r.status) for r in run_checks(tables, checks).collect()]
+    assert sorted(found) == [
+        ("freshness", "at", 0, "pass"), ("freshness", "at", 1, "fail"), ("query", "", 2, "fail"),
+        ("relationships", "a", 1, "fail"), ("unique", "a, b", 1, "fail"),
+    ]
+    with pytest.raises(ChecksFailed):
+        assert_checks(run_checks(tables, checks))
