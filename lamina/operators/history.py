@@ -26,7 +26,8 @@ def history_changes(
     """Rows to merge on ``keys`` and ``valid_from``: closed old versions, new versions.
 
     Values are compared, nulls included. Keys the source no longer has stay open.
-    A source key that is null opens a row on every run.
+    A source key that is null opens a row on every run. A row that was opened at
+    this same run time is replaced, so a run can be repeated with corrected values.
     """
     columns = list(source.columns)
     at = run_timestamp(run_ts)
@@ -52,7 +53,7 @@ def history_changes(
         F.col("o.valid_from").alias("valid_from"),
         at.alias("valid_to"),
     )
-    rows = F.array(opened, F.when(F.col("o.valid_from").isNotNull(), closed))
+    rows = F.array(opened, F.when(F.col("o.valid_from") != at, closed))
     return pairs.select(F.inline(rows)).where(F.col("valid_from").isNotNull())
 
 

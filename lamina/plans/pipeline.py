@@ -145,9 +145,23 @@ class Warehouse:
         return self.spark.createDataFrame(found.collect(), found.schema)
 
     def publish(self) -> None:
-        """Show what was built with ``publish=False``, table by table."""
+        """Show what was built with ``publish=False``: all tables, or none if another run came first.
+
+        Every table's state is looked at before the first switch. A run that publishes
+        between that look and the last switch still stops the rest; the error then says
+        which tables were switched.
+        """
+        for name, snapshot in self.built.items():
+            now = self.table(name).snapshot()
+            if (now.number if now else 0) != snapshot.number - 1:
+                raise FileExistsError(f"{name} was written by another run; nothing was published")
+        switched: list[str] = []
         for name, snapshot in self.built.items():
-            self.table(name).publish(snapshot)
+            try:
+                self.table(name).publish(snapshot)
+            except FileExistsError as other:
+                raise FileExistsError(f"{other}; already published: {', '.join(switched) or 'none'}") from other
+            switched.append(name)
 
     def expire(self, keep: int) -> None:
         for name in self.built:

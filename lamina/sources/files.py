@@ -43,6 +43,12 @@ def write_once(spark: SparkSession, path: str, text: str) -> None:
         raise FileExistsError(f"{path} was written by another run")
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below ``path``."""
+    fs, target = _locate(spark, path)
+    return fs.getContentSummary(target).getLength()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, target = _locate(spark, path)
     fs.delete(target, True)

@@ -32,6 +32,7 @@ LOAD = "load"
 BUCKET = "bucket"
 NULL_BUCKET = -1
 BUCKETS = 16
+COMPACT_BYTES = 64 << 20
 #: Load numbers count in steps of this; the rest is random, so that two writers which
 #: saw the same loads never write into one folder.
 LOAD_STEP = 1_000_000
@@ -234,6 +235,23 @@ class Table:
             raise ValueError(f"columns differ from the stored table: {sorted(extra)}")
         return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
+    def compact(self, below: int = COMPACT_BYTES) -> Snapshot | None:
+        """Rewrite the loads of fewer bytes than ``below`` as one; the rows stay the same.
+
+        Appends and micro-batches leave a load each. Readers and the snapshot file then
+        carry a few large loads instead. Run it between writes: it publishes a state
+        like any writer and fails if another came first.
+        """
+        before = self.snapshot()
+        if before is None:
+            return None
+        small = [p for p in before.parts if files.size(self.spark, f"{self.path}/{p}") < below]
+        if len(small) < 2:
+            return before
+        load = self.write(self.scan(before.schema, small).drop(LOAD, BUCKET))
+        kept = set(small)
+        return self.publish(self.next(before, [p for p in before.parts if p not in kept] + [load]))
+
     def expire(self, keep: int = 2) -> None:
         """Delete the snapshots before the last ``keep`` and the loads only they name.
 

@@ -33,6 +33,18 @@ def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read()
 
 
+def landing_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as CSV files of text, landed with the declared types, then compacted."""
+    base = work_dir(spark, "landing-csv")
+    columns = [f.name for f in LANDED]
+    given(spark, sf_dir, "events").select(columns).write.option("header", True).csv(f"{base}/in")
+    text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    target = Table(spark, f"{base}/table")
+    stream = spark.readStream.schema(text).option("header", True).csv(f"{base}/in")
+    land_stream(stream, target, LANDED, f"{base}/checkpoint").awaitTermination()
+    return target.read(target.compact())
+
+
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_dir(spark, "changes")
     target = Table(spark, f"{base}/table", key="o_custkey")
@@ -43,11 +55,13 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target.read()
 
 
-QUERIES = {"landing_stream": landing, "change_merge_stream": changes}
+QUERIES = {"landing_stream": landing, "landing_csv_stream": landing_csv, "change_merge_stream": changes}
 
 SQL = {
     "landing_stream": """
         select event_id, user_id, event_type, cast(value as decimal(18,2)) "value" from events""",
+    "landing_csv_stream": """
+        select event_id, user_id, event_type, cast(value as decimal(18,2)) "value" from events""",
     "change_merge_stream": """
         select o_custkey, o_orderkey, cast(o_orderdate as date) o_orderdate, o_orderstatus
         from orders

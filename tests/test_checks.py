@@ -192,3 +192,18 @@ def test_every_kind_in_one_suite(spark):
     ]
     with pytest.raises(ChecksFailed):
         assert_checks(run_checks(tables, checks))
+
+
+def test_a_conflict_leaves_all_tables_as_they_were(spark, base):
+    from lamina.sources import Table
+
+    rows = spark.createDataFrame([(1,)], "a int")
+    warehouse = Warehouse(spark, base, publish=False)
+    names = ("stg_employees", "dim_employee", "fct_department_summary")
+    for name in names:
+        warehouse.built[name] = warehouse.table(name).overwrite(rows, publish=False)
+    warehouse.table(names[-1]).overwrite(rows)
+    with pytest.raises(FileExistsError, match="nothing was published"):
+        warehouse.publish()
+    assert [warehouse.table(n).exists() for n in names] == [False, False, True]
+    assert Table(spark, warehouse.table(names[-1]).path).read().count() == 1

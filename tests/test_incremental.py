@@ -319,3 +319,24 @@ def test_history(spark, base):
     assert got == {(1, "a", 1, None), (2, None, 1, 2), (2, "b", 2, 3), (2, None, 3, None), (3, "c", 1, None), (4, "d", 2, None)}
     with pytest.raises(DuplicateKeys):
         record_history(make(spark, [(9, "a"), (9, "b")]), t, ["k"], "2026-01-04 00:00:00")
+
+
+def test_many_small_loads_become_one(spark, base):
+    t = Table(spark, f"{base}/t")
+    t.overwrite(make(spark, [(0, "a")]))
+    for i in range(1, 25):
+        t.append(make(spark, [(i, "a")]))
+    before = rows_of(t)
+    made = t.compact()
+    assert len(made.parts) == 1 and rows_of(t) == before
+    assert t.compact() == made
+    t.expire(1)
+    assert rows_of(t) == before
+    keyed = Table(spark, f"{base}/keyed", key="k", buckets=2)
+    for i in range(3):
+        merge_upsert(make(spark, [(i, "a"), (9, str(i))]), keyed)
+    before = rows_of(keyed)
+    keyed.compact()
+    assert rows_of(keyed) == before
+    merge_upsert(make(spark, [(9, "last")]), keyed)
+    assert rows_of(keyed) == {**{k: v for k, v in before.items() if k[0] != 9}, (9, "last"): 1}
