@@ -45,7 +45,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 SLICE = 32_768
 HELD = 4_096
 #: Chunks, and as many words, whose ids a worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 #: Texts whose ids a worker holds at once.
 STEP = 500
 #: Characters that are neither letters, digits nor white space, without the apostrophe.
