@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.session import work_dir
 from lamina.sources import files
-from lamina.sources.table import BUCKET, LOAD, NULL_BUCKET, Snapshot, Table, bucket_number
+from lamina.sources.table import BUCKET, LOAD, NULL_BUCKET, Snapshot, Table, bucket_number, with_file
 
 
-# Keys that every executor may hold, and the size that files should have.
+# Keys that every executor may hold, by number and by the bytes of their values in memory,
+# and the size that files should have. They choose the plan, never the result.
 BROADCAST_KEYS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 FILE_BYTES = 64 << 20
@@ -22,6 +24,16 @@ class DuplicateKeys(ValueError):
     """A merge batch names one key more than once."""
 
 
+class Size(NamedTuple):
+    """Of a set of keys: how many, and the bytes of their values, not as compressed on disk."""
+
+    rows: int
+    bytes: int
+
+    def fits_everywhere(self) -> bool:
+        return self.rows <= BROADCAST_KEYS and self.bytes <= BROADCAST_BYTES
+
+
 def append_incremental(
     df: DataFrame,
     target: Table,
@@ -34,7 +46,7 @@ def append_incremental(
 
     Nothing is compared with the target, so running the same value twice adds
     its rows twice. ``idempotent=True`` first takes the target's rows of that
-    value away, rewriting only the loads that hold some.
+    value away, rewriting only the files that hold some.
     """
     if not target.exists():
         return target.overwrite(df, publish)
@@ -42,20 +54,14 @@ def append_incremental(
     if not idempotent:
         return target.append(batch, publish)
     before = target.snapshot()
-    # The filter is tested against row-group statistics; one number per load returns.
-    hit = [
-        row[LOAD]
-        for row in target.scan(before.schema, before.parts)
-        .where(F.col(column) == F.lit(value))
-        .select(LOAD)
-        .distinct()
-        .collect()
-    ]
-    hit_parts = [p for p in before.parts if int(p.split("/")[0].split("=")[1]) in hit]
-    parts = [p for p in before.parts if p not in hit_parts]
-    if hit_parts:
+    # The filter is tested against row-group statistics; the names of files return.
+    stored = with_file(target.scan(before.schema, before.parts))
+    held = target.files_of(stored.where(F.col(column) == F.lit(value)))
+    parts = list(before.parts)
+    if held:
+        parts = target.parts_beside(before.schema, parts, held)
         others = (
-            target.scan(before.schema, hit_parts)
+            target.scan(before.schema, sorted(held))
             .drop(LOAD, BUCKET)
             .where(~F.col(column).eqNullSafe(F.lit(value)))
         )
@@ -110,26 +116,24 @@ def _replace_keys(
     matchable = [p for p in target.bucket_parts([staged]) if bucket_number(p) != NULL_BUCKET]
     batch_rows = target.scan(schema, matchable)
 
-    scratch = work_dir(target.spark, "keys")
-    if matchable and (unique or before):
-        keys = _stored_keys(batch_rows, key, f"{scratch}/batch")
-        found = _count_keys(keys, unique)
-    if before is None:
-        made = target.marked(target.replaced(before, schema, staged), marks or {})
+    # Keys lie below the table, on storage that all executors share, until the write is done.
+    scratch = f"{target.path}/_scratch/{uuid.uuid4().hex}"
+    try:
+        if matchable and (unique or before):
+            keys = _stored_keys(batch_rows, key, f"{scratch}/batch")
+            size = _measured(keys, unique)
+        if before is None:
+            made = target.marked(target.replaced(before, schema, staged), marks or {})
+        else:
+            touched = {bucket_number(p) for p in matchable}
+            parts = target.bucket_parts(before.parts)
+            hit = [p for p in parts if bucket_number(p) in touched]
+            result = [p for p in parts if bucket_number(p) not in touched]
+            if hit:
+                result += _rewritten(target, schema, hit, keys.select(*key), size, len(touched), scratch)
+            made = target.next(before, [*result, staged], marks)
+    finally:
         files.delete(target.spark, scratch)
-        return target.publish(made) if publish else made
-
-    touched = {bucket_number(p) for p in matchable}
-    parts = target.bucket_parts(before.parts)
-    hit = [p for p in parts if bucket_number(p) in touched]
-    result = [p for p in parts if bucket_number(p) not in touched]
-    if hit:
-        old = target.scan(schema, hit)
-        kept, gather = _without_keys(old, keys.select(*key), found, len(touched), f"{scratch}/kept")
-        result.append(target.write(target.fit(kept, schema), gather))
-    result.append(staged)
-    made = target.next(before, result, marks)
-    files.delete(target.spark, scratch)
     return target.publish(made) if publish else made
 
 
@@ -139,16 +143,43 @@ def _stored_keys(rows: DataFrame, key: list[str], path: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
-def _count_keys(keys: DataFrame, unique: bool) -> int:
-    found, most = keys.agg(F.count(F.lit(1)), F.max("_rows")).first()
-    if unique and most and most > 1:
+def _measured(keys: DataFrame, unique: bool = False) -> Size:
+    names = [c for c in keys.columns if c != "_rows"]
+    # A broadcast row also has a header, offsets and its place in the hash table.
+    width = sum((F.octet_length(F.col(c).cast("string")) for c in names), F.lit(32 + 8 * len(names)))
+    most = F.max("_rows") if unique else F.lit(1)
+    found, width_sum, most_rows = keys.agg(F.count(F.lit(1)), F.sum(width.cast("long")), most).first()
+    if most_rows and most_rows > 1:
         example = keys.where("_rows > 1").drop("_rows").first()
         raise DuplicateKeys(f"more than one batch row for {example.asDict()}")
-    return found
+    return Size(found, width_sum or 0)
+
+
+def _rewritten(
+    target: Table, schema, hit: list[str], keys: DataFrame, size: Size, touched: int, scratch: str
+) -> list[str]:
+    """The parts that replace the touched buckets ``hit``, without the rows of ``keys``.
+
+    If the keys can be broadcast, a scan of the key columns finds the files that hold
+    some; only those are rewritten, and the others keep their place. Where the buckets
+    have too many files for their bytes, or one file each, they are rewritten whole.
+    """
+    old = target.scan(schema, hit)
+    count, crowded = _files(old), _too_many_files(old, touched)
+    stay: list[str] = []
+    if size.fits_everywhere() and not crowded and count > touched:
+        places = with_file(old).join(F.broadcast(keys), keys.columns, "left_semi")
+        held = target.files_of(places)
+        stay = target.parts_beside(schema, hit, held)
+        if not held:
+            return stay
+        old = target.scan(schema, sorted(held))
+    kept, gather = _without_keys(old, keys, size, crowded, f"{scratch}/kept")
+    return [*stay, target.write(target.fit(kept, schema), gather)]
 
 
 def _without_keys(
-    old: DataFrame, keys: DataFrame, found: int, buckets: int, scratch: str
+    old: DataFrame, keys: DataFrame, size: Size, crowded: bool, scratch: str
 ) -> tuple[DataFrame, bool]:
     """The old rows that stay, and whether to gather them by bucket for the write.
 
@@ -160,24 +191,24 @@ def _without_keys(
     """
     key = keys.columns
     rows = old.drop(LOAD, BUCKET)
-    if _fits_everywhere(keys, found):
-        return rows.join(F.broadcast(keys), key, "left_anti"), _too_many_files(old, buckets)
+    if size.fits_everywhere():
+        return rows.join(F.broadcast(keys), key, "left_anti"), crowded
     # A batch that may cover nearly the whole table: compare the key columns first.
-    if old.count() - found <= BROADCAST_KEYS:
+    if old.count() - size.rows <= BROADCAST_KEYS:
         rows.select(*key).distinct().join(keys, key, "left_anti").write.parquet(scratch)
         staying = old.sparkSession.read.parquet(scratch)
-        if _fits_everywhere(staying, staying.count()):
-            return rows.join(F.broadcast(staying), key, "left_semi"), _too_many_files(old, buckets)
+        if _measured(staying).fits_everywhere():
+            return rows.join(F.broadcast(staying), key, "left_semi"), crowded
     return rows.join(keys, key, "left_anti"), True
 
 
-def _fits_everywhere(keys: DataFrame, rows: int) -> bool:
-    return rows <= BROADCAST_KEYS and _stored_bytes(keys) <= BROADCAST_BYTES
+def _files(old: DataFrame) -> int:
+    # The list of files stays in the JVM, only its length is asked for.
+    return len(old._jdf.inputFiles())
 
 
 def _too_many_files(old: DataFrame, buckets: int) -> bool:
-    # The list of files stays in the JVM, only its length is asked for.
-    return len(old._jdf.inputFiles()) > 2 * max(buckets, _stored_bytes(old) // FILE_BYTES)
+    return _files(old) > 2 * max(buckets, _stored_bytes(old) // FILE_BYTES)
 
 
 def _stored_bytes(df: DataFrame) -> int:

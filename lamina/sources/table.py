@@ -9,15 +9,17 @@ file. Readers see the old content or the new one. A job that dies leaves a load
 that no snapshot names, and the rerun writes another.
 
 A keyed table spreads its rows over ``buckets`` folders by a hash of the key, so
-an upsert reads and rewrites only the folders its batch falls into. Rows with a
-null in the key match nothing and lie in a folder of their own, which upserts
-never read.
+an upsert looks only into the folders its batch falls into. Rows with a null in
+the key match nothing and lie in a folder of their own, which upserts never read.
+A snapshot names whole folders, and single files where others of their folder
+have been replaced.
 """
 
 from __future__ import annotations
 
 import json
 import random
+from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
@@ -30,8 +32,12 @@ from lamina.sources import files
 
 LOAD = "load"
 BUCKET = "bucket"
+FILE = "_stored_file"
 NULL_BUCKET = -1
+#: Buckets of a new keyed table that asks for no number, and the bytes that a bucket may
+#: have before a first write takes more of them.
 BUCKETS = 16
+BUCKET_BYTES = 1 << 30
 COMPACT_BYTES = 64 << 20
 #: Load numbers count in steps of this; the rest is random, so that two writers which
 #: saw the same loads never write into one folder.
@@ -83,8 +89,8 @@ class Table:
     """A stored table at ``path``.
 
     ``key`` and ``buckets`` count at the first write and stay as they were then;
-    asking for another number of buckets later raises.
-    About one gigabyte of the table per bucket is a good size.
+    asking for another number of buckets later raises. Without a number the first write
+    takes one bucket per gigabyte and at least 16; ``rebucket`` changes it later.
     """
 
     def __init__(
@@ -150,6 +156,24 @@ class Table:
         hit = [p for p in self.bucket_parts(state.parts) if bucket_number(p) in touched]
         return self.scan(state.schema, hit).drop(LOAD, BUCKET)
 
+    def files_of(self, rows: DataFrame) -> set[str]:
+        """The stored files that scanned ``rows`` come from, which keep their ``FILE`` column."""
+        return {_below(row[0]) for row in rows.select(FILE).distinct().collect()}
+
+    def parts_beside(self, schema: T.StructType, parts: Sequence[str], held: set[str]) -> list[str]:
+        """What stays of ``parts`` without the files ``held``: whole folders if none of their files is."""
+        folders, inside = set(parts), defaultdict(list)
+        for name in map(_below, self.scan(schema, parts).inputFiles()):
+            part = name
+            while part not in folders:
+                part = part.rsplit("/", 1)[0]
+            inside[part].append(name)
+        stay = []
+        for part in parts:
+            mine = inside[part]
+            stay += [name for name in mine if name not in held] if held.intersection(mine) else [part]
+        return stay
+
     # -- writing -------------------------------------------------------------
 
     def overwrite(self, df: DataFrame, publish: bool = True) -> Snapshot:
@@ -202,11 +226,42 @@ class Table:
 
         ``gather`` brings the rows of one bucket together first: the runtime splits
         a bucket that is too large for one task and joins those that are small.
+
+        The first write of a keyed table without a number of buckets is measured; if its
+        buckets came out too large, the stored rows are spread again over enough of them.
         """
+        layout = self._layout()
+        load = self._store(df, layout, gather)
+        if layout.key and self._asked is None and self.snapshot() is None:
+            enough = -(-files.size(self.spark, f"{self.path}/{load}") // BUCKET_BYTES)
+            if enough > layout.buckets:
+                self._buckets = enough
+                spread = self._store(self.scan(df.schema, [load]).drop(LOAD, BUCKET), self._layout(), True)
+                files.delete(self.spark, f"{self.path}/{load}")
+                return spread
+        return load
+
+    def rebucket(self, buckets: int | None = None) -> Snapshot:
+        """Spread a keyed table over another number of buckets; by default one per gigabyte.
+
+        This rewrites the whole table, for one that has outgrown its first number. It
+        publishes a state like any writer and fails if another came first.
+        """
+        before = self.snapshot()
+        if before is None or not before.key:
+            raise ValueError(f"no keyed table at {self.path}")
+        if buckets is None:
+            stored = sum(files.size(self.spark, f"{self.path}/{part}") for part in before.parts)
+            buckets = max(BUCKETS, -(-stored // BUCKET_BYTES))
+        load = self._store(self.read(before), Layout(before.key, buckets), True)
+        made = self.publish(replace(self.next(before, [load]), buckets=buckets))
+        self._asked = self._asked and buckets
+        return made
+
+    def _store(self, df: DataFrame, layout: Layout, gather: bool) -> str:
         taken = {LOAD, BUCKET} & {c.lower() for c in df.columns}
         if taken:
             raise ValueError(f"column names {sorted(taken)} are used by the folders")
-        layout = self._layout()
         part = f"{LOAD}={self._next_load()}"
         if not layout.key:
             df.write.parquet(f"{self.path}/{part}")
@@ -290,7 +345,17 @@ def bucket_of(key: Sequence[str], buckets: int) -> Column:
 
 
 def bucket_number(part: str) -> int:
-    return int(part.rsplit(f"{BUCKET}=", 1)[1])
+    return int(part.rsplit(f"{BUCKET}=", 1)[1].split("/")[0])
+
+
+def with_file(rows: DataFrame) -> DataFrame:
+    """Scanned rows with the file that each lies in."""
+    return rows.withColumn(FILE, rows.metadataColumn("_metadata").getField("file_path"))
+
+
+def _below(uri: str) -> str:
+    """A stored file as a part: its path from the load folder on."""
+    return uri[uri.rindex(f"/{LOAD}=") + 1 :]
 
 
 def _load_number(part: str) -> int:

@@ -17,8 +17,8 @@ from lamina.operators.incremental import (
     merge_upsert,
 )
 from lamina.plans.pipeline import overwrite_load, write_table
-from lamina.sources import Table
-from lamina.sources.table import bucket_number
+from lamina.sources import Table, table
+from lamina.sources.table import FILE, bucket_number, with_file
 
 DDL = "k int, v string"
 
@@ -212,6 +212,97 @@ def test_another_number_of_buckets_is_an_error(spark, base):
     merge_upsert(make(spark, [(7, "c")]), Table(spark, f"{base}/t", key="k"))
 
 
+def many_files(spark, base, files=30, rows=4000):
+    """One bucket, 30 files; each file holds a range of the keys."""
+    t = Table(spark, f"{base}/t", key="k", buckets=1)
+    t.overwrite(spark.range(1).selectExpr("cast(-1 as int) k", "'a' v"))
+    load = f"load={t._next_load()}"
+    wide = spark.range(rows).selectExpr("cast(id as int) k", "repeat(uuid(), 20) v")
+    wide.repartitionByRange(files, "k").write.parquet(f"{base}/t/{load}/bucket=0")
+    t.publish(t.next(t.snapshot(), [load]))
+    return t
+
+
+def stored_files(t):
+    return {f.rsplit("/load=", 1)[1] for f in t.read().inputFiles()}
+
+
+def test_scattered_keys_rewrite_only_the_files_that_hold_them(spark, base, monkeypatch):
+    monkeypatch.setattr(incremental, "FILE_BYTES", 1 << 10)
+    t = many_files(spark, base)
+    first = stored_files(t)
+    per_file = with_file(t.scan(t.snapshot().schema, t.snapshot().parts)).select("k", FILE).collect()
+    keys = [5, 6, 1700, 3999]
+    holders = {r[FILE].rsplit("/load=", 1)[1] for r in per_file if r.k in keys}
+    assert len(first) >= 25 and 2 <= len(holders) <= 4
+    before = rows_of(t)
+    for write in (merge_upsert, delete_insert):
+        write(make(spark, [(k, "new") for k in keys] + [(9999, "added")]), t)
+        expected = {r: n for r, n in before.items() if r[0] not in keys}
+        assert rows_of(t) == {**expected, **{(k, "new"): 1 for k in keys}, (9999, "added"): 1}
+        assert first - stored_files(t) == holders
+    # Keys that no file holds rewrite nothing, and single files are read, compacted and kept.
+    files = stored_files(t)
+    merge_upsert(make(spark, [(12345, "x")]), t)
+    assert files < stored_files(t)
+    before = rows_of(t)
+    t.compact()
+    t.expire(1)
+    assert rows_of(t) == before
+
+
+def test_idempotent_append_rewrites_only_files_with_the_value(spark, base):
+    t = Table(spark, f"{base}/t")
+    days = spark.range(300).selectExpr("cast(id as int) k", "concat('d', 100 + id div 10) v")
+    t.overwrite(days.repartitionByRange(10, "v"))
+    first, before = stored_files(t), rows_of(t)
+    for _ in range(2):
+        append_incremental(make(spark, [(1000, "d105")]), t, "v", "d105", idempotent=True)
+        assert len(first - stored_files(t)) == 1
+        assert rows_of(t) == {**{r: n for r, n in before.items() if r[1] != "d105"}, (1000, "d105"): 1}
+
+
+def test_rebucket(spark, base):
+    t = Table(spark, f"{base}/t", key="k", buckets=2)
+    merge_upsert(make(spark, [(i, "a") for i in range(100)] + [(None, "n")]), t)
+    merge_upsert(make(spark, [(1, "b")]), t)
+    before = rows_of(t)
+    assert t.rebucket(8).buckets == 8 and rows_of(t) == before
+    merge_upsert(make(spark, [(1, "c")]), t)
+    assert rows_of(t) == {**{r: n for r, n in before.items() if r[0] != 1}, (1, "c"): 1}
+    assert len({bucket_number(p) for p in t.bucket_parts(t.snapshot().parts)}) == 9
+    assert Table(spark, f"{base}/t").rebucket().buckets == table.BUCKETS
+    with pytest.raises(ValueError, match="no keyed table"):
+        Table(spark, f"{base}/none").rebucket(4)
+
+
+@pytest.mark.parametrize("write", [merge_upsert, write_table])
+def test_first_write_takes_enough_buckets(spark, base, monkeypatch, write):
+    monkeypatch.setattr(table, "BUCKET_BYTES", 2000)
+    t = Table(spark, f"{base}/t", key="k")
+    write(spark.range(3000).selectExpr("cast(id as int) k", "uuid() v"), t)
+    assert t.snapshot().buckets > table.BUCKETS and t.read().count() == 3000
+    merge_upsert(make(spark, [(1, "b"), (None, "n")]), t)
+    assert t.read().count() == 3001 and t.read().where("v = 'b'").count() == 1
+    assert len([n for n in os.listdir(f"{base}/t") if n.startswith("load=")]) <= 3
+
+
+def test_wide_keys_are_not_broadcast_for_being_small_on_disk(spark, base):
+    spark.range(100_000).selectExpr("concat(repeat('k', 400), id) k").write.parquet(f"{base}/keys")
+    keys = spark.read.parquet(f"{base}/keys")
+    size = incremental._measured(keys)
+    assert incremental._stored_bytes(keys) < incremental.BROADCAST_BYTES < size.bytes
+    assert not size.fits_everywhere()
+
+
+def test_no_scratch_is_left(spark, base):
+    t = Table(spark, f"{base}/t", key="k", buckets=2)
+    merge_upsert(make(spark, [(1, "a")]), t)
+    with pytest.raises(DuplicateKeys):
+        merge_upsert(make(spark, [(1, "x"), (1, "y")]), t)
+    assert not glob.glob(f"{base}/t/_scratch/*")
+
+
 def test_writers_of_one_state_write_into_different_folders(spark, base):
     t = Table(spark, f"{base}/t")
     t.overwrite(make(spark, [(1, "a")]))
@@ -303,7 +394,8 @@ def test_runtime_splits_a_hot_key(spark, base, sort_merge):
     delete_insert(spark.range(90_000).selectExpr("case when id % 3 = 0 then 0 else cast(id as int) end k", "uuid() v"), t)
     spark.range(10_000).selectExpr("cast(id as int) k").write.parquet(f"{base}/keys")
     old = t.scan(t.snapshot().schema, t.bucket_parts(t.snapshot().parts))
-    kept, gather = incremental._without_keys(old, spark.read.parquet(f"{base}/keys"), 10_000, 4, f"{base}/kept")
+    keys = spark.read.parquet(f"{base}/keys")
+    kept, gather = incremental._without_keys(old, keys, incremental.Size(10_000, 400_000), False, f"{base}/kept")
     assert gather
     kept.collect()
     assert "SortMergeJoin(skew=true)" in kept._jdf.queryExecution().executedPlan().toString()
