@@ -13,8 +13,8 @@ at a time, with one vectorised step per line position.
 
 Edge cases: a null text is the empty one, which is one empty line, scored like any other;
 a document with contradicting labels is not learned from; without labels of both kinds
-every score is the share of label 1, or 0.5 without any; ids of repeated rows are scored
-row by row.
+every score is the share of label 1, or 0.5 without any; rows that repeat an id are scored
+one by one, and learned from once, by the least of their texts.
 """
 
 from __future__ import annotations
@@ -275,7 +275,9 @@ def sample(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
     rows = [(int(r.doc_id), r.quality) for part in chosen for r in part]
     # 2 * per_class ids, whatever the input's size: small enough to send to every task.
     few = F.broadcast(documents.sparkSession.createDataFrame(rows, "doc_id long, quality int"))
-    return documents.select("doc_id", "text").join(few, "doc_id").where(F.octet_length("text") <= MAX_BYTES)
+    taken = documents.select("doc_id", "text").join(few, "doc_id").where(F.octet_length("text") <= MAX_BYTES)
+    # An id may stand on any number of rows; combined before the few texts are shuffled.
+    return taken.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
 
 def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:

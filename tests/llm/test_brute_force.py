@@ -346,6 +346,15 @@ def test_labels_of_held_out_rows_do_not_matter(spark, sf_dir):
     assert np.array_equal(line_crf.fit(documents, labels, 40).weights, line_crf.fit(documents, turned, 40).weights)
 
 
+def test_an_id_on_many_rows_is_learned_from_once(spark):
+    documents = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    rows = line_crf.sample(documents, labels).collect()
+    again = documents.withColumn("text", F.concat("text", F.lit(" again")))
+    many = documents.unionByName(documents).unionByName(again)
+    assert sorted(line_crf.sample(many, labels).collect()) == sorted(rows)
+
+
 def test_every_line_has_a_marginal(spark, sf_dir, documents):
     model = line_crf.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 40)
     rows = line_crf.labelled_lines(table(spark, sf_dir, "documents"), model).collect()
