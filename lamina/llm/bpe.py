@@ -44,8 +44,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Characters read per step, and the longest end of text kept for the fast path.
 SLICE = 32_768
 HELD = 4_096
-#: Chunks, and as many words, whose ids a worker remembers in each of two generations.
-REMEMBERED = 120_000
+#: Chunks, and words that are no chunk, whose ids a worker remembers in each of two generations.
+CHUNKS, WORDS = 200_000, 20_000
 #: Texts whose ids a worker holds at once.
 STEP = 500
 #: Characters that are neither letters, digits nor white space, without the apostrophe.
@@ -121,6 +121,8 @@ class Merges:
         self.ranked = {
             vocabulary[a] << 32 | vocabulary[b]: rank << 32 | vocabulary[a + b] for rank, (a, b) in enumerate(pairs)
         }
+        # The same for two single bytes, by both as one number.
+        self.of_bytes = [self.ranked.get(a << 32 | b, NONE) for a in self.single for b in self.single]
         self.bytes_of = {i: b for b, i in vocabulary.items()}
         self.special = {t["content"]: t["id"] for t in stored["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
@@ -130,11 +132,11 @@ class Merges:
     def split(self, data: bytes) -> list[int]:
         """The ids of some bytes, all at once: lowest rank first, leftmost first."""
         ids = [self.single[b] for b in data]
-        return self._split_short(ids) if len(ids) <= 40 else self._split_long(ids)
+        return self._split_short(data, ids) if len(ids) <= 40 else self._split_long(ids)
 
-    def _split_short(self, ids: list[int]) -> list[int]:
-        ranked = self.ranked.get
-        found = [ranked(a << 32 | b, NONE) for a, b in pairwise(ids)]
+    def _split_short(self, data: bytes, ids: list[int]) -> list[int]:
+        ranked, of_bytes = self.ranked.get, self.of_bytes
+        found = [of_bytes[a << 8 | b] for a, b in pairwise(data)]
         while found and (best := min(found)) < NONE:
             i = found.index(best)
             ids[i] = joined = best & ID
@@ -210,12 +212,12 @@ class Remembered(dict):
     met again moves over, so frequent strings stay and the size stays bounded.
     """
 
-    def __init__(self, find):
+    def __init__(self, find, size: int):
         super().__init__()
-        self.find, self.old = find, {}
+        self.find, self.size, self.old = find, size, {}
 
     def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = found = self.old.get(key) or self.find(key)
@@ -232,8 +234,8 @@ class Encoder:
     def __init__(self, merges: Merges, held: int = HELD):
         self.merges, self.held = merges, held
         self.patterns = _patterns()
-        self.words = Remembered(self._word)
-        self.chunks = Remembered(self._chunk)
+        self.words = Remembered(self._word, WORDS)
+        self.chunks = Remembered(self._chunk, CHUNKS)
         self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
         self.longest = max(map(len, merges.special), default=1)
         self.rest, self.run = "", None
@@ -251,7 +253,7 @@ class Encoder:
         letters = chunk.rstrip(MARKS)
         if letters.isalpha():
             marks = chunk[len(letters) :]
-            return self.words[" " + letters] + (self.words[marks] if marks else b"")
+            return self.chunks[letters] + self.words[marks] if marks else self._word(" " + letters)
         return self._joined(" " + chunk)
 
     def _joined(self, text: str) -> bytes:
