@@ -14,12 +14,15 @@ Targets are either given per margin, as weights by value, or follow from the dat
 value's tokens to a power below one, which raises small sources. A value without a given
 target keeps its own share. A null source, language, topic or text is a value of its own;
 a document without words has no tokens and its cell's probability, zero if the cell has
-no tokens. Margins that cannot all be met at once end as near as the last round comes,
-the last margin exactly. Documents draw by a hash of their id, so repeated ids go together.
+no tokens. Margins that cannot all be met at once, as when a value has fewer tokens than it
+should give, end as near as the last round comes, and a warning names the largest miss;
+``misses`` gives each value's. Documents draw by a hash of their id, so repeated ids go together.
 """
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,6 +39,11 @@ SEED = 42
 #: Steps that find the scale once some cells are kept whole.
 FILLS = 8
 
+#: Rounds within the bounds, at most, as long as one still moves a cell by more than MOVED of its weight.
+MOST_ROUNDS, MOVED = 2 * ROUNDS, 1e-7
+#: Part of its target that a value may miss without a warning.
+MISS = 1e-6
+
 #: Topics in order of precedence, each with what its texts contain.
 TOPICS = {
     "legal": ("License", "Copyright", "rights reserved"),
@@ -97,6 +105,65 @@ def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return raked
 
 
+def rake_within(cells: DataFrame, keep: float = KEEP, rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Adds ``weight`` as ``rake`` does, but never more than ``keep`` lets the cell's own tokens give.
+
+    A cell at its bound keeps the share that it would have without, so that a later step may take it down again.
+    """
+    sums = cells.agg(F.sum("tokens")).first()[0] or 0.0
+    bound = F.col("tokens") / F.lit(keep * sums) if keep * sums > 0 else F.lit(0.0)
+    raked = cells.withColumn("bound", bound).withColumns({"free": F.col("tokens"), "before": F.col("tokens")})
+    totals = [
+        cells.groupBy(margin).agg(F.first(f"{margin}_target").alias("t")).agg(F.sum("t")).first()[0]
+        for margin in MARGINS
+    ]
+    for _ in range(rounds):
+        for margin, total in zip(MARGINS, totals):
+            share = F.col(f"{margin}_target") / F.lit(total) if total else F.lit(0.0)
+            raked = _step_within(raked, margin, share)
+        raked = settle(raked.withColumn("moved", F.when(F.col("before") > 0, F.abs(F.col("free") / F.col("before") - 1))), "raking")
+        moved = raked.agg(F.max("moved")).first()[0]
+        raked = raked.drop("before", "moved").withColumn("before", F.col("free"))
+        if moved is None or moved <= MOVED:
+            break
+    return raked.withColumn("weight", F.least("bound", "free")).drop("bound", "free", "before")
+
+
+def _step_within(raked: DataFrame, margin: str, share: Column) -> DataFrame:
+    """Scales ``free`` within each value so that the bounded cells sum to the value's share."""
+    value = Window.partitionBy(margin)
+    reached = value.orderBy("growth")
+    grown = raked.withColumn("growth", F.when(F.col("free") > 0, F.col("bound") / F.col("free")))
+    # What the value gives when it has grown until this cell reaches its bound.
+    open_then = F.sum("free").over(value) - F.sum("free").over(reached)
+    given = F.sum(F.when(F.col("growth").isNotNull(), F.col("bound")).otherwise(0.0)).over(reached)
+    grown = grown.withColumn("full", F.coalesce(given + F.col("growth") * open_then <= share, F.lit(False)))
+    left = share - F.sum(F.when(F.col("full"), F.col("bound")).otherwise(0.0)).over(value)
+    open_free = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("free"))).over(value)
+    least = F.max(F.when(F.col("full"), F.col("growth"))).over(value)
+    scale = F.greatest(F.when(open_free > 0, left / open_free), least)
+    return grown.withColumn("free", F.coalesce(F.col("free") * scale, F.lit(0.0))).drop("growth", "full")
+
+
+def misses(rated: DataFrame) -> DataFrame:
+    """``margin, value, target, expected``: each value's share of the tokens as wanted and as the probabilities give."""
+    of_margins = []
+    for margin in MARGINS:
+        values = rated.groupBy(F.col(margin).alias("value")).agg(
+            F.first(f"{margin}_target").alias("target"), F.sum(F.col("probability") * F.col("tokens")).alias("expected")
+        )
+        sums = values.agg(F.sum("target").alias("all_target"), F.sum("expected").alias("all_expected"))
+        of_margins.append(
+            values.crossJoin(sums).select(
+                F.lit(margin).alias("margin"),
+                "value",
+                F.when(F.col("all_target") > 0, F.col("target") / F.col("all_target")).alias("target"),
+                F.when(F.col("all_expected") > 0, F.col("expected") / F.col("all_expected")).alias("expected"),
+            )
+        )
+    return of_margins[0].unionByName(of_margins[1]).unionByName(of_margins[2])
+
+
 def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
     """Adds ``probability``: a cell's wanted tokens over its own, at most one.
 
@@ -128,14 +195,23 @@ def _marked(documents: DataFrame) -> DataFrame:
     return documents.withColumns({"topic": topic_of(F.col("text")), "tokens": tokens_of(F.col("text"))})
 
 
-def calibrate(cells: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def calibrate(
+    cells: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None, bounded: bool = True
+) -> DataFrame:
     """``source, lang, topic, weight, probability`` of the cells, as a stored table.
 
     The planner broadcasts it to the documents only if its files are small enough.
     """
     prepared = settle(targets(settle(cells, "cells"), given), "cell-targets")
-    rated = probabilities(rake(prepared), keep)
-    return settle(rated.select(*MARGINS, "weight", "probability"), "cell-probabilities")
+    rated = probabilities(rake_within(prepared, keep) if bounded else rake(prepared), keep)
+    if not bounded:
+        return settle(rated.select(*MARGINS, "weight", "probability"), "cell-probabilities")
+    wanted = [f"{margin}_target" for margin in MARGINS]
+    rated = settle(rated.select(*MARGINS, "weight", "probability", "tokens", *wanted), "cell-probabilities")
+    miss = misses(rated).where("target > 0").agg(F.max(F.abs(F.col("expected") / F.col("target") - 1))).first()[0]
+    if miss is not None and miss > MISS:
+        logging.getLogger(__name__).warning("a value's expected share misses its target by %.3g of it", miss)
+    return rated.drop("tokens", *wanted)
 
 
 def _with_cell(marked: DataFrame, cells: DataFrame) -> DataFrame:
@@ -144,11 +220,13 @@ def _with_cell(marked: DataFrame, cells: DataFrame) -> DataFrame:
     return marked.join(renamed, same).drop(*[f"cell_{m}" for m in MARGINS])
 
 
-def mix(documents: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
+def mix(
+    documents: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None, bounded: bool = True
+) -> DataFrame:
     """Every document with its cell, the cell's weight and probability, and whether it is drawn."""
     marked = settle(_marked(documents).select("doc_id", *MARGINS, "tokens"), "marked")
     drawn = draw(F.col("doc_id")) < F.col("probability")
-    return _with_cell(marked, calibrate(cells_of(marked), keep, given)).withColumn("sampled", drawn)
+    return _with_cell(marked, calibrate(cells_of(marked), keep, given, bounded)).withColumn("sampled", drawn)
 
 
 def sample(documents: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -166,7 +244,7 @@ def _quoted(value: str) -> str:
 
 
 def sql(table: str, keep: float = KEEP, rounds: int = ROUNDS) -> str:
-    """The same for DuckDB, with the rounds written out; ``table`` is a query or name with the columns of documents."""
+    """``mix`` without ``bounded`` for DuckDB, with the rounds written out; ``table`` is a query or name with the columns of documents."""
     cases = " ".join(
         "when " + " or ".join(f"contains(text, {_quoted(p)})" for p in parts) + f" then {_quoted(name)}"
         for name, parts in TOPICS.items()

@@ -94,7 +94,7 @@ def _op1_sql(levels: int = 6) -> str:
 
 
 def op2_target_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).withColumns(
+    return mixing.mix(table(spark, sf_dir, "documents"), bounded=False).withColumns(
         {c: F.round(c, 9) for c in ("weight", "probability")}
     )
 

@@ -291,6 +291,31 @@ def test_sample_size(spark, sf_dir):
     assert sum(r.tokens for r in rows if r.sampled) == pytest.approx(expected, rel=0.1)
 
 
+def test_a_sample_with_whole_cells_meets_its_targets(spark):
+    # The targets are the margins of rates that are products, cut at one: these alone meet them as raking does.
+    rows, rates = [], {}
+    for i, j, k in product(range(4), range(3), range(2)):
+        rows.append((f"s{i}", f"l{j}", f"t{k}", float(7 ** (i + 3 * j + k) % 97 + 5)))
+        rates[rows[-1][:3]] = min(1.0, 0.08 * 2**i * 1.7**j * 1.3**k)
+    given = {
+        m: {v: sum(rates[r[:3]] * r[3] for r in rows if r[n] == v) for v in {r[n] for r in rows}}
+        for n, m in enumerate(mixing.MARGINS)
+    }
+    keep = sum(rates[r[:3]] * r[3] for r in rows) / sum(r[3] for r in rows)
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    found = mixing.calibrate(cells, keep, given).collect()
+    assert 2 < sum(rate == 1 for rate in rates.values()) < len(rows)
+    assert {(r.source, r.lang, r.topic): r.probability for r in found} == pytest.approx(rates, rel=1e-4)
+
+
+def test_a_target_beyond_a_value_s_tokens_is_named(spark, caplog):
+    rows = [("a", "l", "t", 10.0), ("b", "l", "t", 90.0), (None, "l", "t", 0.0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    found = {r.source: r.probability for r in mixing.calibrate(cells, 0.5, {"source": {"a": 1.0, "b": 1.0}}).collect()}
+    assert found["a"] == pytest.approx(1) and found["b"] == pytest.approx(40 / 90) and found[None] == 0
+    assert "misses its target by 0.6" in caplog.text
+
+
 # Fixity
 
 
