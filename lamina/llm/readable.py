@@ -6,7 +6,11 @@ menus, page headers and footers, sidebars, notices, adverts, reader comments. Ea
 paragraph then passes points to its ancestors, one for itself, one for each comma and up
 to three for its length: all to the parent, half to the grandparent, a third to the next.
 A container's points are discounted by its share of link text. The container with most
-points is kept, and with it its siblings that score well or read like prose.
+points is kept, and with it what stands beside it and beside each container around it, up to
+the outermost article, else the main element or the body: headings, paragraphs, containers
+and loose text, unless much of it is links. Outside of an article or main element a
+container needs the points of one paragraph, and loose text a paragraph's length. How long
+the best container is does not matter.
 
 All of the kept elements' text is returned, block by block: character references are
 decoded, white space inside a block becomes one space, blocks are joined by a line break.
@@ -315,22 +319,55 @@ def main_text(page: str | None) -> str:
         return "\n".join(blocks_of(root))
     if best.parent is None:
         return "\n".join(blocks_of(best))
-    least = max(2.0, 0.2 * measures.score(best))
-    kept = []
-    for sibling in best.parent.children:
-        if sibling is best:
-            kept.append(best)
-        elif isinstance(sibling, Element) and _belongs(sibling, measures, least):
-            kept.append(sibling)
-    return "\n".join(block for element in kept for block in blocks_of(element))
+    top, inside = _top_of(best)
+    node = best
+    while node is not top:
+        node.parent.children = _reading(node.parent.children, node, measures, inside)
+        node = node.parent
+    return "\n".join(blocks_of(top))
+
+
+def _top_of(best: Element) -> tuple[Element, bool]:
+    """The outermost article around the container, else its main element or body, and whether it is not the body."""
+    around = [best]
+    while around[-1].parent is not None:
+        around.append(around[-1].parent)
+    for name in ("article", "main"):
+        if found := [e for e in around if e.name == name]:
+            return found[-1], True
+    found = [e for e in around if e.name == "body"]
+    return (found or [e for e in around if e.name not in ("html", "")] or around)[-1], False
+
+
+def _reading(children: list[Element | str], best: Element, measures: Measures, inside: bool) -> list[Element | str]:
+    """The children without those that do not belong to the one given; text and inline elements in a row are one."""
+    kept, row = [], []
+    for child in [*children, None]:
+        if isinstance(child, str) or child is not None and child is not best and child.name not in BLOCKS:
+            row.append(child)
+            continue
+        if _row_belongs(row, measures, inside):
+            kept += row
+        row = []
+        if child is best or child is not None and _belongs(child, measures, inside):
+            kept.append(child)
+    return kept
+
+
+def _row_belongs(row: list[Element | str], measures: Measures, inside: bool) -> bool:
+    text = sum(len(" ".join(c.split())) if isinstance(c, str) else measures.text[id(c)] for c in row)
+    links = sum(measures.links[id(c)] for c in row if isinstance(c, Element))
+    return text >= (1 if inside else 80) and links < (0.5 if inside else 0.25) * text
 
 
-def _belongs(sibling: Element, measures: Measures, least: float) -> bool:
+def _belongs(sibling: Element, measures: Measures, inside: bool) -> bool:
     if sibling.name in HEADINGS:
         return measures.density(sibling) < 0.5
-    if sibling.name in SCORED:
+    if sibling.name in SCORED and not inside:
         return measures.density(sibling) < 0.25 and measures.text[id(sibling)] > 0
-    return measures.score(sibling) >= least and measures.density(sibling) < 0.5
+    if inside:
+        return measures.density(sibling) < 0.5 and measures.text[id(sibling)] > 0
+    return measures.score(sibling) >= 2 and measures.density(sibling) < 0.5
 
 
 def extracted(pages: DataFrame, html: str = "html", text: str = "text") -> DataFrame:

@@ -471,6 +471,33 @@ def test_junk_goes(junk):
         assert readable.main_text(page) == expected
 
 
+LINKS = "<ul>" + "".join(f'<li><a href="/{i}">Another page, number {i}</a></li>' for i in range(9)) + "</ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><h1>T</h1><p>{0} Lead.</p><div><div>{1}</div></div></article>",
+        "<body><article><h1>T</h1>{2}<div><p>{0} Lead.</p></div><section>{1}</section></article>{2}</body>",
+        "<body>{2}<main><div><h1>T</h1><div><p>{0} Lead.</p></div></div><div><div><div>{1}</div></div>{2}</div></main></body>",
+        "<body><div><h1>T</h1><div><p>{0} Lead.</p></div><div><div>{1}</div></div></div>{2}</body>",
+        "<article><h1>T</h1>{0} <b>Lead.</b><div><div>{1}</div></div></article>",
+    ],
+)
+def test_what_is_around_the_best_container_stays(page):
+    body = [f"{PROSE} {i}" for i in range(30)]
+    text = readable.main_text(page.format(PROSE, "".join(f"<p>{p}</p>" for p in body), LINKS))
+    assert text.split("\n") == ["T", f"{PROSE} Lead.", *body]
+
+
+def test_sections_of_uneven_length_stay():
+    sizes = (1, 30, 2, 1)
+    sections = [[f"{PROSE} {k} {i}" for i in range(n)] for k, n in enumerate(sizes)]
+    page = "".join("<section>" + "".join(f"<p>{p}</p>" for p in s) + "</section>" for s in sections)
+    for around in ("<article>{0}</article>", "<body><div>{0}</div></body>"):
+        assert readable.main_text(around.format(page)).split("\n") == sum(sections, [])
+
+
 # Tool calls
 
 
