@@ -2,8 +2,11 @@
 
 The page is read into a tree that forgives missing and stray end tags. Elements that are
 not reading matter by their name, role or class are cut out: scripts, styles, forms,
-menus, page headers and footers, sidebars, notices, adverts, reader comments. Each
-paragraph then passes points to its ancestors, one for itself, one for each comma and up
+menus, page headers and footers, sidebars, notices, adverts, reader comments. A class or id
+cuts by itself only if all its words say so, as in ``cookie-notice``; one word of several
+(``related-work``, ``ad-hoc-tests``), or an id that may be a section's subject
+(``discussion``), needs more: that much of the element is links or that it stands outside of
+the page's article. Headings are not cut by class or id. Each paragraph then passes points to its ancestors, one for itself, one for each comma and up
 to three for its length: all to the parent, half to the grandparent, a third to the next.
 A container's points are discounted by its share of link text. The container with most
 points is kept, and with it what stands beside it and beside each container around it, up to
@@ -41,7 +44,7 @@ BLOCKS = frozenset(
 )
 CUT = frozenset(
     "script style noscript template head title nav aside footer form button select option textarea input iframe "
-    "object embed applet canvas svg math audio video dialog menu noembed noframes xmp".split()
+    "object embed applet canvas svg annotation annotation-xml audio video dialog menu noembed noframes xmp".split()
 )
 CUT_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split()
@@ -55,6 +58,19 @@ CUT_WORDS = frozenset(
     "recommendations comment comments commentlist disqus reply replies respond discussion pagination pager "
     "widget widgets toolbar search copyright skip hidden alert disclaimer".split()
 )
+#: Words beside the above that only tell where or what kind of box an element is.
+BOX_WORDS = frozenset(
+    "main top left right bottom list box bar container wrapper wrap section area block site page global item items "
+    "unit slot inner outer primary secondary mobile desktop form link links button buttons icon icons post entry "
+    "article story the in".split()
+)
+#: Words above that are subjects of articles too, so that they may be a section's id.
+SUBJECTS = frozenset(
+    "ad ads advert adverts advertisement advertising banner banners sponsor sponsors promotion menu menus navigation "
+    "header cookie cookies consent gdpr notice notices notification notifications newsletter subscription share "
+    "sharing shares social related recommended recommendations comment reply replies discussion search copyright "
+    "alert login overlay hidden disclaimer".split()
+)
 #: Words that speak for an element although others speak against it, if most text is in it.
 KEEP_WORDS = frozenset("article body content main post entry story text page".split())
 #: Elements that an opening element of the given name ends, up to the nearest boundary.
@@ -181,9 +197,35 @@ def text_of(root: Element) -> int:
     return sum(len(node.strip()) for node, _ in walk(root) if isinstance(node, str))
 
 
+def words_of(token: str) -> set[str]:
+    return {word.lower() for word in WORDS.findall(token)}
+
+
 def marks_of(element: Element) -> set[str]:
-    named = f"{element.attributes.get('class', '')} {element.attributes.get('id', '')}"
-    return {word.lower() for word in WORDS.findall(named)}
+    return words_of(f"{element.attributes.get('class', '')} {element.attributes.get('id', '')}")
+
+
+def _says_so(element: Element) -> bool:
+    """Whether a whole token of the class, or the id, names what is cut, and not only one word of it."""
+    for token in element.attributes.get("class", "").split():
+        words = words_of(token)
+        if words & CUT_WORDS and words <= CUT_WORDS | BOX_WORDS:
+            return True
+    words = words_of(element.attributes.get("id", ""))
+    cut = words & CUT_WORDS
+    return words <= CUT_WORDS | BOX_WORDS and (len(cut) > 1 or bool(cut - SUBJECTS))
+
+
+def _mostly_links(element: Element) -> bool:
+    text, links, depth = 0, 0, 0
+    for node, entering in walk(element):
+        if isinstance(node, str):
+            length = len(node.strip())
+            text += length
+            links += length if depth else 0
+        elif node.name == "a":
+            depth += 1 if entering else -1
+    return 2 * links >= text
 
 
 def prune(root: Element) -> None:
@@ -191,20 +233,28 @@ def prune(root: Element) -> None:
     for element in [n for n, entering in walk(root) if entering and isinstance(n, Element) and n.name in CUT]:
         element.parent.children = [c for c in element.parent.children if c is not element]
     total = text_of(root)
+    articles = [n for n, entering in walk(root) if entering and isinstance(n, Element) and n.name == "article"]
+    holders = set()
+    for article in articles:
+        node = article
+        while node is not None and id(node) not in holders:
+            holders.add(id(node))
+            node = node.parent
     pending = [root]
     while pending:
         parent = pending.pop()
         kept = []
         for child in parent.children:
             if isinstance(child, Element):
-                if _unwanted(child, total):
+                if _unwanted(child, total, holders):
                     continue
                 pending.append(child)
             kept.append(child)
         parent.children = kept
 
 
-def _unwanted(element: Element, total: int) -> bool:
+def _unwanted(element: Element, total: int, holders: set[int]) -> bool:
+    """``holders`` are the page's articles and what is around them."""
     given = element.attributes
     if element.name in ("html", "body", "main", "article"):
         return False
@@ -217,7 +267,10 @@ def _unwanted(element: Element, total: int) -> bool:
     if given.get("role", "").lower() in CUT_ROLES:
         return True
     words = marks_of(element)
-    if not words & CUT_WORDS:
+    if element.name in HEADINGS or not words & CUT_WORDS:
+        return False
+    outside = holders and id(element) not in holders and not _inside(element, "article")
+    if not (_says_so(element) or outside or _mostly_links(element)):
         return False
     return not (words & KEEP_WORDS and 2 * text_of(element) > total)
 

@@ -490,6 +490,25 @@ def test_what_is_around_the_best_container_stays(page):
     assert text.split("\n") == ["T", f"{PROSE} Lead.", *body]
 
 
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<section id='discussion'>{0}</section>", "<section id='related-work'>{0}</section>", "<h2 id='search-algorithms'>H</h2>{0}",
+        "<h2 id='social-history'>H</h2>{0}", "<div class='ad-hoc-tests'>{0}</div>", "<div id='copyright'>{0}</div>",
+        "<h2 class='comments'>H</h2>{0}", "<section id='discussion'><h2>H</h2>{0}</section>",
+        "<p>For all <math><mi>x</mi><annotation>x^2</annotation></math> it holds.</p>{0}",
+    ],
+)
+def test_sections_named_for_their_subject_stay(part):
+    paragraphs = f"<p>{PROSE}</p><p>{PROSE[::-1]}</p>"
+    article = f"<h1>T</h1>{part.format(paragraphs)}{paragraphs}"
+    head = ["H"] if "<h2" in part else ["For all x it holds."] if "math" in part else []
+    expected = ["T", *head, PROSE, PROSE[::-1], PROSE, PROSE[::-1]]
+    related = f"<div id='related-links'>{LINKS}</div><div class='social-history'>{LINKS}</div>"
+    for around in ("<body>{1}<article>{0}{1}</article>{1}</body>", "<body><div class='post'>{0}{1}</div></body>"):
+        assert readable.main_text(around.format(article, related)).split("\n") == expected
+
+
 def test_sections_of_uneven_length_stay():
     sizes = (1, 30, 2, 1)
     sections = [[f"{PROSE} {k} {i}" for i in range(n)] for k, n in enumerate(sizes)]
