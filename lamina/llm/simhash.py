@@ -14,7 +14,9 @@ neighbours of a fingerprint instead of comparing it with every other one.
 
 Edge cases: a null text has no words; texts without words have fingerprint zero and are
 linked like any others; a repeated doc_id is one node per text; null doc_ids are never
-the smallest id of a group unless all its ids are null, which gives null.
+the smallest id of a group unless all its ids are null, which gives null. Where one row of
+each group is kept, rows are told apart by all of their columns, not by the id; of rows that
+are equal in every column any one stays.
 """
 
 from __future__ import annotations
@@ -187,25 +189,53 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, bits, component_id``: one row per document with the smallest doc_id that links reach."""
     marked = settle(fingerprints(documents), "simhash")
     nodes = settle(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-nodes")
-    linked = settle(components(links(nodes.select("bits"))), "simhash-linked")
-    rooted = nodes.join(linked.withColumnRenamed("node", "bits"), "bits", "left").select(
-        "bits", "least", F.coalesce("root", "bits").alias("root")
-    )
+    rooted = _rooted(nodes)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("bits", "component_id")
     return marked.join(classes, "bits").select("doc_id", "bits", "component_id")
 
 
+def _rooted(nodes: DataFrame) -> DataFrame:
+    """``bits, least, root`` of ``bits, least``: the smallest fingerprint that links reach."""
+    linked = settle(components(links(nodes.select("bits"))), "simhash-linked")
+    return nodes.join(linked.withColumnRenamed("node", "bits"), "bits", "left").select(
+        "bits", "least", F.coalesce("root", "bits").alias("root")
+    )
+
+
 def shown(bits: Column) -> Column:
     return F.lower(F.lpad(F.hex(bits), 16, "0"))
 
 
+def _row_key(documents: DataFrame) -> Column:
+    """A hash of the row's columns, the same on every read; only equal rows share it."""
+    others = [c for c in documents.columns if c != "text"]
+    nulls = F.concat(*[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in others])
+    parts = [nulls, F.xxhash64(*[F.col(f"`{c}`") for c in others]).cast("string"), F.col("doc_id").cast("string")]
+    return F.unhex(F.sha2(F.concat_ws(":", *parts, F.sha2("text", 256)), 256))
+
+
 def one_of_each(documents: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their group.
+    """One row of each group: that with the smallest id, and of several with this id the first by a hash of the row.
 
-    Rows without an id cannot be told apart by it and stay; rows that repeat an id all
-    stay or go together, as their texts' groups decide.
+    A row without an id stays only if its group has no row with one.
     """
-    groups = near_duplicates(documents)
-    others = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return documents.join(others, "doc_id", "left_anti")
+    keyed = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document"),
+        "doc_id",
+        "text",
+        _row_key(documents).alias("key"),
+    )
+    marked = settle(keyed.select("doc_id", "key", simhash_of(F.coalesce("text", F.lit(""))).alias("bits")), "simhash")
+    rows = settle(marked.groupBy("bits", "doc_id", "key").agg(F.count("*").alias("n")), "simhash-rows")
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "n")
+    nodes = settle(rows.groupBy("bits").agg(F.min(order).alias("least")), "simhash-nodes")
+    firsts = settle(_rooted(nodes).groupBy("root").agg(F.min("least").alias("least")).select("least.key", "least.n"), "simhash-firsts")
+    # Rows that go, or come again, are few: the texts need not move to meet those that stay.
+    others = settle(rows.select("key").join(firsts.where("n = 1"), "key", "left_anti"), "simhash-others")
+    kept = keyed.select("document", "key").join(others, "key", "left_anti").select("document.*")
+    again = firsts.where("n > 1").select("key")
+    if again.isEmpty():
+        return kept
+    repeated = keyed.select("document", "key").join(again, "key", "left_semi").dropDuplicates(["key"])
+    return kept.unionByName(repeated.select("document.*"))

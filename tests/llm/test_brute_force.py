@@ -105,6 +105,19 @@ def test_a_long_path_is_one_component(spark):
     assert len(found) == 501 and {r.root for r in found} == {0}
 
 
+def test_exactly_one_row_of_each_group_stays(spark):
+    a, b, c, d = ("".join(f"{w} word {i} of {w}s text. " for i in range(40)) for w in ("one", "other", "third", "fourth"))
+    rows = [
+        (3, a, "x"), (5, a, "x"), (5, b, "x"),  # the only row of its group, under an id that is a copy elsewhere
+        (7, c, "x"), (7, c, "x"), (7, c, None), (8, c, "x"), (None, c, "x"),  # an id's equal and unequal rows
+        (None, d, "x"), (None, d, "x"), (None, d, "y"),  # no row with an id
+        (None, None, None), (None, "", None),
+    ]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, bits string").repartition(4)
+    found = [(r.doc_id, r.text) for r in simhash.one_of_each(documents).collect()]
+    assert Counter((i, t or "") for i, t in found) == Counter([(3, a), (5, b), (7, c), (None, d), (None, "")])
+
+
 # Byte pair encoding
 
 
