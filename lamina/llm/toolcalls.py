@@ -10,9 +10,12 @@ without a fraction.
 No conversation is gathered in one task: all joins are by conversation and identifier,
 and peeling costs as many rounds as the longest chain of waits, not the calls.
 
-Edge cases: of several calls, or results, with one identifier the first by turn counts,
-and the number of the others is reported; a call without an identifier cannot be linked
-and is reported as such; a null conversation is a conversation; a wait for a call that
+Edge cases: of several calls, or results, with one identifier the first by turn is linked
+and has the number of the others; each of these has a row of its own, as ``repeated_call``
+with its arguments validated and no level or result, or as ``repeated_result`` with the
+result as its message; equal ones have as many rows as they are. Calls and results without
+an identifier cannot be linked and are reported as ``no_id`` and ``result_no_id``; like any
+other result without a call, the latter has no message. A null conversation is a conversation; a wait for a call that
 does not exist is reported and not waited for; a call that waits for itself, in a cycle,
 or for such a call has no level; null or unparsable arguments, duplicate keys, numbers
 that JSON does not know and unknown tools are errors of validation; a result that is not
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from lamina.llm.tables import settle
 
 CALL = "conv_id, call_id, turn, name, arguments, after"
+#: Kinds of rows that hold a result and no call.
+OF_RESULTS = ("no_call", "repeated_result", "result_no_id")
 TYPES = {
     "object": lambda v: isinstance(v, dict),
     "array": lambda v: isinstance(v, list),
@@ -122,13 +127,17 @@ def message(call_id: str, name: str, arguments: str | None, result: str | None,
             errors = violations(value, schemas[name]) if name in schemas else [f"unknown tool {name}"]
         except (ValueError, RecursionError):
             errors = ["$: not JSON"]
-    answer = result
-    if result is not None:
-        try:
-            answer = parsed(result)
-        except (ValueError, RecursionError):
-            pass
-    return errors, canonical({"id": call_id, "name": name, "arguments": value, "result": answer})
+    return errors, canonical({"id": call_id, "name": name, "arguments": value, "result": answer_of(result)})
+
+
+def answer_of(result: str | None):
+    """The result as JSON, or as the string that it is."""
+    if result is None:
+        return None
+    try:
+        return parsed(result)
+    except (ValueError, RecursionError):
+        return result
 
 
 def _key(conv: Column, call: Column) -> Column:
@@ -144,6 +153,20 @@ def _first_of_each(rows: DataFrame, fields: list[str]) -> DataFrame:
     return picked.select("link", "first.*", "others")
 
 
+def _others_of_each(rows: DataFrame, fields: list[str], firsts: DataFrame) -> DataFrame:
+    """The rows that ``_first_of_each`` only counts; ``firsts`` is what it found."""
+    columns = ["turn", *fields]
+    several = firsts.where("others > 0").select("link", F.struct(*columns).alias("first"))
+    if several.isEmpty():
+        return rows.select(*columns).where(F.lit(False))
+    row = F.struct(*columns)
+    found = rows.join(several, "link").select("link", row.alias("row"), row.eqNullSafe(F.col("first")).alias("is_first"))
+    # The one that is linked is one of the rows equal to it.
+    copies = F.count("*").cast("int") - F.max(F.col("is_first").cast("int"))
+    counted = found.groupBy("link", "row").agg(copies.alias("copies")).where("copies > 0")
+    return counted.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """``link, level`` for calls ``link, waits`` (keys that each waits for); none for calls in or behind cycles."""
     nodes = calls.select("link")
@@ -166,7 +189,7 @@ def levels(calls: DataFrame) -> DataFrame:
 
 
 def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """One row per call, and per result without a call.
+    """One row per call, and per result that is not the first of a call's identifier.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), after (array of the
     identifiers of calls that it waits for). ``results``: conv_id, call_id, turn, content.
@@ -175,17 +198,20 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
     results = results.select("conv_id", F.col("call_id").cast("string"), "turn", "content")
     conv = F.col("conv_id")
     waits = F.transform(F.coalesce("after", F.array().cast("array<string>")), lambda a: _key(conv, a))
-    asked = _first_of_each(
+    named_calls = (
         calls.where("call_id is not null")
         .withColumn("waits", F.array_sort(F.array_distinct(waits)))
-        .withColumn("link", _key(conv, F.col("call_id"))),
-        ["conv_id", "call_id", "name", "arguments", "waits"],
-    ).withColumnRenamed("others", "other_calls")
-    asked = settle(asked, "calls")
-    found = _first_of_each(
-        results.where("call_id is not null").withColumn("link", _key(conv, F.col("call_id"))),
-        ["conv_id", "call_id", "content"],
-    ).select(
+        .withColumn("link", _key(conv, F.col("call_id")))
+    )
+    call_fields = ["conv_id", "call_id", "name", "arguments", "waits"]
+    asked = settle(_first_of_each(named_calls, call_fields), "calls")
+    more_calls = _others_of_each(named_calls, call_fields, asked)
+    asked = asked.withColumnRenamed("others", "other_calls")
+    named_results = results.where("call_id is not null").withColumn("link", _key(conv, F.col("call_id")))
+    result_fields = ["conv_id", "call_id", "content"]
+    answered = settle(_first_of_each(named_results, result_fields), "results")
+    more_results = _others_of_each(named_results, result_fields, answered)
+    found = answered.select(
         "link",
         F.col("turn").alias("result_turn"),
         F.col("conv_id").alias("result_conv"),
@@ -222,38 +248,60 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
         "arguments",
         "content",
     )
-    anonymous = calls.where("call_id is null").select(
+    alone = [
+        _alone(more_calls, "repeated_call"),
+        _alone(more_results, "repeated_result"),
+        _alone(calls.where("call_id is null"), "no_id", level=0),
+        _alone(results.where("call_id is null"), "result_no_id"),
+    ]
+    return _serialised(reduce(DataFrame.unionByName, [*alone, rows]), schemas)
+
+
+def _alone(rows: DataFrame, status: str, level: int | None = None) -> DataFrame:
+    """Calls or results that are linked to nothing, as rows of the output."""
+    of_results = "content" in rows.columns
+    nothing = F.lit(None)
+    return rows.select(
         "conv_id",
         "call_id",
-        "turn",
-        F.lit(None).cast("long").alias("result_turn"),
-        F.lit(0).alias("level"),
-        F.lit("no_id").alias("status"),
+        (nothing.cast("long") if of_results else F.col("turn")).alias("turn"),
+        (F.col("turn") if of_results else nothing.cast("long")).alias("result_turn"),
+        F.lit(level).cast("int").alias("level"),
+        F.lit(status).alias("status"),
         *[F.lit(0).cast("long").alias(c) for c in ("missing_waits", "other_calls", "other_results")],
-        "name",
-        "arguments",
-        F.lit(None).cast("string").alias("content"),
+        *[nothing.cast("string").alias(c) if of_results else F.col(c) for c in ("name", "arguments")],
+        F.col("content") if of_results else nothing.cast("string").alias("content"),
     )
-    return _serialised(rows.unionByName(anonymous), schemas)
 
 
 def _serialised(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     @F.pandas_udf("errors array<string>, message string")
-    def of(ids: pd.Series, names: pd.Series, arguments: pd.Series, results: pd.Series) -> pd.DataFrame:
-        given = zip(ids, names, arguments, results)
-        return pd.DataFrame([message(*values, schemas) for values in given], columns=["errors", "message"])
-
-    made = of("call_id", "name", "arguments", "content")
-    is_call = F.col("status") != "no_call"
+    def of(
+        statuses: pd.Series, ids: pd.Series, names: pd.Series, arguments: pd.Series, results: pd.Series
+    ) -> pd.DataFrame:
+        given = zip(statuses, ids, names, arguments, results)
+        made = [_made(status, values, schemas) for status, *values in given]
+        return pd.DataFrame(made, columns=["errors", "message"])
+
+    made = of("status", "call_id", "name", "arguments", "content")
+    is_call = ~F.col("status").isin(*OF_RESULTS)
     return (
         rows.withColumn("made", made)
         .withColumn("errors", F.when(is_call, F.col("made.errors")))
         .withColumn("valid", F.when(is_call, F.size("made.errors") == 0))
-        .withColumn("message", F.when(is_call, F.col("made.message")))
+        .withColumn("message", F.col("made.message"))
         .drop("made", "name", "arguments", "content")
     )
 
 
+def _made(status: str, values: list, schemas: dict[str, dict]) -> tuple[list[str] | None, str | None]:
+    if status not in OF_RESULTS:
+        return message(*values, schemas)
+    if status != "repeated_result":
+        return None, None
+    return None, canonical({"id": values[0], "result": answer_of(values[-1])})
+
+
 #: What the turns of a conversation are read as, and what their arguments must be.
 SCHEMAS = {
     name: {

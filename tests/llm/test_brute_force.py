@@ -594,6 +594,32 @@ def test_calls_that_cannot_be_ordered_or_linked(spark):
     assert found["c", None].status == "no_id"
 
 
+def test_every_call_and_result_has_a_row(spark):
+    calls = [(None, "0", 0, "f", '{"n": 1}', None)] * 3 + [(None, "0", 0, "f", '{"n": "x"}', None), (None, "0", 4, "f", '{"n": 2}', ["0"])]
+    calls += [("c", "1", None, "f", "{}", None), ("c", None, 2, "f", "{}", None)]
+    results = [(None, "0", 1, "first")] * 2 + [(None, "0", 5, '{"b": 2.0, "a": 1}'), ("c", None, None, "lost"), ("c", None, 7, None)]
+    results += [("d", "9", 1, "a"), ("d", "9", 1, "b")]
+    shape = "conv_id string, call_id string, turn long, name string, arguments string, after array<string>"
+    schema = {"f": {"type": "object", "properties": {"n": {"type": "integer"}}}}
+    found = toolcalls.linked(
+        spark.createDataFrame(calls, shape).repartition(3),
+        spark.createDataFrame(results, "conv_id string, call_id string, turn long, content string").repartition(3),
+        schema,
+    ).collect()
+    assert Counter(r.status for r in found) == {
+        "linked": 1, "no_result": 1, "no_call": 1, "no_id": 1, "repeated_call": 4, "repeated_result": 3, "result_no_id": 2,
+    }
+    first = next(r for r in found if r.status == "linked")
+    assert (first.turn, first.other_calls, first.other_results) == (0, 4, 2)
+    repeated = sorted((r.turn, r.valid, r.message) for r in found if r.status == "repeated_call")
+    made = '{"arguments":{"n":%s},"id":"0","name":"f","result":null}'
+    assert not first.valid and repeated == [(0, True, made % 1)] * 3 + [(4, True, made % 2)]
+    again = sorted((r.result_turn, r.message) for r in found if r.status == "repeated_result")
+    assert again == [(1, '{"id":"0","result":"first"}'), (1, '{"id":"9","result":"b"}'), (5, '{"id":"0","result":{"a":1,"b":2}}')]
+    lost = [(r.conv_id, r.call_id, r.result_turn, r.message, r.valid) for r in found if r.status == "result_no_id"]
+    assert sorted(lost, key=str) == [("c", None, 7, None, None), ("c", None, None, None, None)]
+
+
 # Pipeline
 
 
