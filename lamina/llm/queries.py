@@ -7,7 +7,21 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import bands, bpe, fixity, line_crf, mixing, multiset, readable, shards, simhash, toolcalls
+from lamina.llm import (
+    bands,
+    bpe,
+    fixity,
+    gridcodes,
+    interaction,
+    line_crf,
+    mixing,
+    multiset,
+    readable,
+    shards,
+    simhash,
+    toolcalls,
+    urlfilter,
+)
 from lamina.llm.tables import table
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -152,6 +166,20 @@ def op10_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_grid_cell_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return gridcodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_survival_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -165,7 +193,16 @@ QUERIES = {
         op8_bpe_transducer,
         op9_tool_calls,
         op10_multiset_fingerprints,
+        op11_grid_cell_codes,
+        op12_survival_words,
+        op13_blocked_bloom_urls,
     )
 }
 
-SQL = {"op1_merkle_fixity": _op1_sql(), "op2_target_mix": OP2_SQL}
+SQL = {
+    "op1_merkle_fixity": _op1_sql(),
+    "op2_target_mix": OP2_SQL,
+    "op11_grid_cell_codes": gridcodes.sql(),
+    "op12_survival_words": interaction.SQL,
+    "op13_blocked_bloom_urls": urlfilter.SQL,
+}

@@ -8,6 +8,7 @@ SHAPES = {
     "labels": "doc_id long, quality int, toxic int",
     "pages": "page_id long, url string, html string",
     "conversations": "conv_id long, turn long, role string, text string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
 }
 PROSE = " ".join(f"Sentence number {i} says something of its own, with words{i} and more{i}." for i in range(60))
 
@@ -47,7 +48,15 @@ def awkward_rows():
         (None, 1, "assistant", None), (1, None, "user", "no turn"), (1, None, None, "no role"), (2, 8, "assistant", "no call"),
         (3, 0, "user", "word " * 5000),
     ]
-    return {"documents": documents, "labels": labels, "pages": pages, "conversations": conversations}
+    nan, inf = float("nan"), float("inf")
+    embeddings = [
+        (3, [0.5] * 8, 1), (3, [0.5] * 8, 1), (3, [-0.25] * 8, 1), (1, [0.125 * i for i in range(8)], None), (2, None, 1),
+        (4, [1.0] * 7 + [nan], 1), (5, [inf] + [1.0] * 7, 1), (6, [None] + [1.0] * 7, 1), (None, [0.5] * 8, 2), (7, [], 2),
+        (8, [3.4e38, -3.4e38] * 4, 2), (9, [1.0] * 6, None), (10**12, [0.3] * 8, 3), (-5, [0.0] * 8, None),
+    ]
+    return {
+        "documents": documents, "labels": labels, "pages": pages, "conversations": conversations, "embeddings": embeddings,
+    }
 
 
 @pytest.fixture(scope="session")

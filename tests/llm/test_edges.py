@@ -21,7 +21,7 @@ def test_one_row_per_document(spark, awkward, awkward_rows, name):
     assert sorted((r.doc_id for r in rows), key=key) == sorted((r[0] for r in awkward_rows["documents"]), key=key)
 
 
-@pytest.mark.parametrize("name", ["op1_merkle_fixity", "op7_tree_scoring", "op9_tool_calls"])
+@pytest.mark.parametrize("name", ["op1_merkle_fixity", "op7_tree_scoring", "op9_tool_calls", "op11_grid_cell_codes", "op12_survival_words", "op13_blocked_bloom_urls"])
 def test_awkward_rows(spark, awkward, name):
     assert QUERIES[name](spark, awkward).collect()
 
