@@ -92,16 +92,17 @@ class Cells:
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance of each part's nearest entry; of several the first."""
+        parts, book = self._narrow(parts)
         coarse = parts >> self.shift
         first, member = _distinct(coarse)
-        names = [row.tobytes() for row in coarse[first]]
+        names = [row.tobytes() for row in coarse[first].astype(np.int32)]
         if len(self.memo) + len(names) > self.most:
             self.memo = {}
         new = [i for i, name in enumerate(names) if name not in self.memo]
         self.found += len(names) - len(new)
         for i in range(0, len(new), STEP):
             some = new[i : i + STEP]
-            for j, entries in zip(some, self._undominated(coarse[first[some]])):
+            for j, entries in zip(some, self._undominated(coarse[first[some]], book)):
                 self.memo[names[j]] = entries
         lists = [self.memo[name] for name in names]
         sizes = np.array([len(entries) for entries in lists])[member]
@@ -112,32 +113,40 @@ class Cells:
             stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PAIRS, "right")))
             chosen = np.concatenate([lists[m] for m in member[start:stop]]).astype(np.intp)
             of = np.repeat(np.arange(start, stop), sizes[start:stop])
-            away = parts[of] - self.book[chosen]
+            away = parts[of] - book[chosen]
             far = np.einsum("ij,ij->i", away, away)
             at = np.concatenate([[0], np.cumsum(sizes[start:stop])[:-1]])
             best = np.minimum.reduceat(far, at)
             # Entries are in order, so the first that is as near as the best has the lowest index.
-            ties = np.where(far == best[of - start], chosen, len(self.book))
+            ties = np.where(far == best[of - start], chosen, len(book))
             code[start:stop], error[start:stop] = np.minimum.reduceat(ties, at), best
             self.compared += len(chosen)
             start = stop
         return code, error
 
-    def _undominated(self, cells: np.ndarray) -> list[np.ndarray]:
+    def _narrow(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Parts and entries in 32 bits where no squared distance can leave them, else in 64."""
+        largest = max((int(np.abs(a).max()) for a in (parts, self.book) if a.size), default=0)
+        fits = (2 * largest + (2 << self.shift)) ** 2 * max(1, self.book.shape[1]) < 1 << 31
+        kind = np.int32 if fits else np.int64
+        return parts.astype(kind), self.book.astype(kind)
+
+    def _undominated(self, cells: np.ndarray, book: np.ndarray) -> list[np.ndarray]:
         """Of each box the entries that some point of it may be nearest to, in order."""
-        least = np.zeros((len(cells), len(self.book)), np.int64)
+        least = np.zeros((len(cells), len(book)), book.dtype)
         most = np.zeros_like(least)
         for d in range(cells.shape[1]):
             values, at = np.unique(cells[:, d], return_inverse=True)
             low = (values << self.shift)[:, None]
-            below, above = low - self.book[:, d], self.book[:, d] - (low + (1 << self.shift) - 1)
+            below, above = low - book[:, d], book[:, d] - (low + (1 << self.shift) - 1)
             outside = np.maximum(np.maximum(below, above), 0)
             across = np.maximum(np.abs(below), np.abs(above))
             least += (outside * outside)[at]
             most += (across * across)[at]
         may = least <= most.min(1, keepdims=True)
-        cell, entry = np.nonzero(may)
-        return np.split(entry.astype(np.int16), np.cumsum(may.sum(1))[:-1])
+        entry = np.nonzero(may)[1].astype(np.int16)
+        ends = np.cumsum(may.sum(1)).tolist()
+        return [entry[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
