@@ -23,13 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = settle(_between(edges.select("a", "b")), "edges")
     rounds = []
-    while not edges.isEmpty():
-        pointers = _ends(edges)
+    while n := edges.count():
+        pointers = _ends(edges, 2 * n)
         rounds.append(pointers)
         ends = edges
         for end in ("a", "b"):
             ends = ends.join(pointers.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
-        edges = settle(_between(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))), "edges")
+        edges = settle(_between(ends.select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))), "edges", n)
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return reduce(_follow, rounds)
@@ -39,17 +39,18 @@ def _between(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _ends(edges: DataFrame) -> DataFrame:
-    """Where each node's pointers to smaller neighbours end."""
+def _ends(edges: DataFrame, most: int) -> DataFrame:
+    """Where the pointers to smaller neighbours end, of ``most`` nodes at most."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     pointers = settle(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select(
             "node", F.least("node", "least").alias("root")
         ),
         "pointers",
+        most,
     )
     while True:
-        further = settle(_follow(pointers, pointers), "pointers")
+        further = settle(_follow(pointers, pointers), "pointers", most)
         # Pointers only ever lead to smaller nodes, so equal sums mean that none moved.
         if _sum_of_roots(further) == _sum_of_roots(pointers):
             return further

@@ -41,6 +41,8 @@ MAX_BITS = 3
 BYTES = 8
 MIN_SHARED = BYTES - MAX_BITS
 POSITIONS = list(combinations(range(BYTES), MIN_SHARED))
+#: Tasks that equal rows are dealt out to.
+SALTS = 32
 #: Shingles hashed at once, so that a very long text needs little memory.
 BLOCK = 65_536
 #: Above so many fingerprints that are still to be placed, neighbours are looked up.
@@ -188,7 +190,7 @@ def _found_near(frontier: np.ndarray, rest: np.ndarray, masks: np.ndarray) -> np
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, bits, component_id``: one row per document with the smallest doc_id that links reach."""
     marked = settle(fingerprints(documents), "simhash")
-    nodes = settle(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = settle(marked.groupBy("bits").agg(F.min("doc_id").alias("least")), "simhash-nodes", marked.count())
     rooted = _rooted(nodes)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("bits", "component_id")
@@ -197,7 +199,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def _rooted(nodes: DataFrame) -> DataFrame:
     """``bits, least, root`` of ``bits, least``: the smallest fingerprint that links reach."""
-    linked = settle(components(links(nodes.select("bits"))), "simhash-linked")
+    linked = settle(components(links(nodes.select("bits"))), "simhash-linked", nodes.count())
     return nodes.join(linked.withColumnRenamed("node", "bits"), "bits", "left").select(
         "bits", "least", F.coalesce("root", "bits").alias("root")
     )
@@ -218,24 +220,28 @@ def _row_key(documents: DataFrame) -> Column:
 def one_of_each(documents: DataFrame) -> DataFrame:
     """One row of each group: that with the smallest id, and of several with this id the first by a hash of the row.
 
-    A row without an id stays only if its group has no row with one.
+    A row without an id stays only if its group has no row with one. Whole rows are shuffled once,
+    by their hash, at any size of the input: a plan that broadcasts the hashes of the rows that
+    go while they are few would cost ever more per row as the input grows. Rows that are equal
+    in every column take a second pass, if there are any.
     """
-    keyed = documents.select(
-        F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document"),
-        "doc_id",
-        "text",
-        _row_key(documents).alias("key"),
-    )
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    keyed = documents.select(row.alias("document"), "doc_id", "text", _row_key(documents).alias("key"))
     marked = settle(keyed.select("doc_id", "key", simhash_of(F.coalesce("text", F.lit(""))).alias("bits")), "simhash")
-    rows = settle(marked.groupBy("bits", "doc_id", "key").agg(F.count("*").alias("n")), "simhash-rows")
+    most = marked.count()
+    rows = settle(marked.groupBy("bits", "doc_id", "key").agg(F.count("*").alias("n")), "simhash-rows", most)
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key", "n")
-    nodes = settle(rows.groupBy("bits").agg(F.min(order).alias("least")), "simhash-nodes")
-    firsts = settle(_rooted(nodes).groupBy("root").agg(F.min("least").alias("least")).select("least.key", "least.n"), "simhash-firsts")
-    # Rows that go, or come again, are few: the texts need not move to meet those that stay.
-    others = settle(rows.select("key").join(firsts.where("n = 1"), "key", "left_anti"), "simhash-others")
-    kept = keyed.select("document", "key").join(others, "key", "left_anti").select("document.*")
+    nodes = settle(rows.groupBy("bits").agg(F.min(order).alias("least")), "simhash-nodes", most)
+    least = _rooted(nodes).groupBy("root").agg(F.min("least").alias("least"))
+    firsts = settle(least.select("least.key", "least.n"), "simhash-firsts", most)
+    others = rows.select("key").join(firsts.where("n = 1"), "key", "left_anti")
+    others = settle(others, "simhash-others", most)
+    kept = keyed.select("document", "key").join(others.hint("shuffle_hash"), "key", "left_anti").select("document.*")
     again = firsts.where("n > 1").select("key")
     if again.isEmpty():
         return kept
-    repeated = keyed.select("document", "key").join(again, "key", "left_semi").dropDuplicates(["key"])
+    # Equal rows may be a third of the table: they are dealt out by a salt as well, and combined before they meet.
+    salted = keyed.select("document", "key", (F.spark_partition_id() % SALTS).alias("salt"))
+    each = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    repeated = salted.join(each, ["key", "salt"], "left_semi").groupBy("key").agg(F.first("document").alias("document"))
     return kept.unionByName(repeated.select("document.*"))
