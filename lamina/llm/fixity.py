@@ -10,9 +10,12 @@ has at most one per record header, and every higher node has at most 16 children
 hashes, offsets and lengths are shuffled, never the payload.
 
 Edge cases: a null payload, address or id is framed as an empty one; records that claim
-the same offset are ordered by their hash; a file that only one replica has differs at
-its root and all its records are reported; empty replicas have no files; columns other
-than the named ones are ignored.
+the same offset are ordered by their hash; a null file is a file, and a null hash a hash
+like any other, so a record that lost it is damaged; records with a null offset have no
+place in their file's tree, so they form a tree of their own, in the order of their
+hashes, and where they differ they are missing or in excess; a file that only one replica
+has differs at its root and all its records are reported; empty replicas have no files;
+columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,10 @@ from lamina.llm.tables import settle
 #: Bytes of the lowest ranges, and ranges below one higher node.
 RANGE = 65_536
 FANOUT = 16
+#: What stands for a null hash and, in front of a file's key, for a null offset.
+NO_HASH, NO_OFFSET = "none", "n"
+#: Ranges that the records of a file without offsets are spread over.
+PLACES = 1 << 20
 #: Ids of one archive file in the layout of ``archive``.
 FILE_IDS = 500
 
@@ -107,7 +114,8 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     differing record the file, offset and length, the finding (damaged, missing, excess),
     both hashes and both roots of its file.
     """
-    primary, replica = settle(primary, "primary"), settle(replica, "replica")
+    kind = primary.schema["file"].dataType
+    primary, replica = settle(_placed(primary), "primary"), settle(_placed(replica), "replica")
     ends = [side.agg(F.max(F.col("offset") + F.col("length"))).first()[0] or 0 for side in (primary, replica)]
     levels = levels_for(max(ends))
     ours, theirs = tree(primary, levels), tree(replica, levels)
@@ -129,7 +137,30 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     found = [
         side.withColumn("node", leaf).join(suspects, ["file", "node"], "left_semi") for side in (primary, replica)
     ]
-    return _compared(*found).join(roots.drop("node"), "file")
+    rows = _compared(*found).join(roots.drop("node"), "file")
+    # The record's own values, in place of the keys that were compared.
+    return rows.withColumns(
+        {
+            "offset": F.when(F.startswith("file", F.lit(NO_OFFSET)), F.lit(None)).otherwise(F.col("offset")),
+            "file": F.when(F.substring("file", 2, 1) == "=", F.expr("substring(file, 3)")).cast(kind),
+            **{c: F.when(F.col(c) != NO_HASH, F.col(c)) for c in ("hash", "replica_hash")},
+        }
+    )
+
+
+def _placed(records: DataFrame) -> DataFrame:
+    """``file, offset, length, hash`` without nulls: a key that tells null files and offsets apart from others."""
+    known = F.when(F.col("offset").isNull(), F.lit(NO_OFFSET)).otherwise(F.lit("o"))
+    name = F.coalesce(F.concat(F.lit("="), F.col("file").cast("string")), F.lit("?"))
+    digest = F.coalesce("hash", F.lit(NO_HASH))
+    # Records without an offset lie as far apart as their hashes, so no range of them is large.
+    place = F.pmod(F.xxhash64(digest), F.lit(PLACES)) * RANGE
+    return records.select(
+        F.concat(known, name).alias("file"),
+        F.coalesce(F.col("offset").cast("long"), place).alias("offset"),
+        F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length"),
+        digest.alias("hash"),
+    )
 
 
 def _compared(ours: DataFrame, theirs: DataFrame) -> DataFrame:
