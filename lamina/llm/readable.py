@@ -11,7 +11,8 @@ to three for its length: all to the parent, half to the grandparent, a third to
 A container's points are discounted by its share of link text. The container with most
 points is kept, and with it what stands beside it and beside each container around it, up to
 the outermost article, else the main element or the body: headings, paragraphs, containers
-and loose text, unless much of it is links. Outside of an article or main element a
+and loose text, unless much of it is links; in an article headings and paragraphs stay
+whatever they link to, and of several articles all stay that hold prose and are not mostly links. Outside of an article or main element a
 container needs the points of one paragraph, and loose text a paragraph's length. How long
 the best container is does not matter.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -86,12 +88,17 @@ IMPLIED_ENDS = {
 #: Paragraphs end where any block begins, but not across these.
 SCOPES = frozenset("table td th caption button object html body".split())
 SCORED = frozenset("p pre blockquote td li dd h2 h3 h4 h5 h6 figcaption".split())
+#: Elements that belong to an article whatever part of their text is in links.
+PROSE = frozenset("p pre blockquote dd dt figcaption h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
-TAG_END = re.compile(r"""(?:[^"'>]|=\s*"[^"]*"|=\s*'[^']*'|["'])*?>""")
+TAG_PART = re.compile(r"""=\s*["']|>""")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|$)", re.I) for name in RAW}
+#: End tags that close across a table's cells.
+TABLE_PARTS = frozenset("tr table tbody thead tfoot body html".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -114,15 +121,14 @@ def attributes_of(source: str) -> dict[str, str]:
 
 def parse(page: str) -> Element:
     """The page's tree, under a nameless root."""
-    root = Element("", {}, None)
-    at, pos, end = root, 0, len(page)
+    tree, pos, end = Tree(page), 0, len(page)
     while pos < end:
         opened = page.find("<", pos)
         if opened < 0:
-            at.children.append(page[pos:])
+            tree.text(page[pos:])
             break
         if opened > pos:
-            at.children.append(page[pos:opened])
+            tree.text(page[pos:opened])
         following = page[opened + 1 : opened + 2]
         if page.startswith("<!--", opened):
             closed = page.find("-->", opened + 4)
@@ -131,54 +137,89 @@ def parse(page: str) -> Element:
             closed = page.find(">", opened)
             pos = closed + 1 if closed >= 0 else end
         elif (name := NAME.match(page, opened + 1)) is None:
-            at.children.append("<")
+            tree.text("<")
             pos = opened + 1
         else:
-            closed = TAG_END.match(page, name.end())
-            pos = closed.end() if closed else end
+            pos = tree.end_of_tag(name.end())
             source = page[name.end() : pos - 1]
             if following == "/":
-                at = _closed(at, name[1].lower())
+                tree.close(name[1].lower())
             else:
-                at, pos = _opened(at, name[1].lower(), source, page, pos)
-    return root
-
-
-def _opened(at: Element, name: str, source: str, page: str, pos: int) -> tuple[Element, int]:
-    if name in BLOCKS:
-        at = _ended(at, {"p"}, SCOPES)
-    if name in HEADINGS:
-        at = _ended(at, HEADINGS, BLOCKS - HEADINGS)
-    if name in IMPLIED_ENDS:
-        at = _ended(at, *IMPLIED_ENDS[name])
-    element = Element(name, attributes_of(source) if source else {}, at)
-    at.children.append(element)
-    if name in RAW:
-        closed = re.compile(rf"</{re.escape(name)}[^>]*>", re.I).search(page, pos)
-        element.children.append(page[pos : closed.start() if closed else len(page)])
-        return at, closed.end() if closed else len(page)
-    if name in VOID or source.endswith("/") and name not in BLOCKS and name != "a":
-        return at, pos
-    return element, pos
-
-
-def _ended(at: Element, names: set[str] | frozenset[str], scopes: set[str] | frozenset[str]) -> Element:
-    """Closes the outermost open element of the names inside the nearest scope."""
-    found, node = None, at
-    while node.parent is not None and node.name not in scopes:
-        if node.name in names:
-            found = node
-        node = node.parent
-    return found.parent if found is not None else at
-
-
-def _closed(at: Element, name: str) -> Element:
-    node = at
-    while node.parent is not None and node.name != name:
-        if node.name in ("td", "th", "table") and name not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html"):
-            return at
-        node = node.parent
-    return node.parent if node.parent is not None else at
+                pos = tree.open(name[1].lower(), source, pos)
+    return tree.root
+
+
+class Tree:
+    """The tree while it is read, with the depths of the open elements of each name.
+
+    No tag climbs the tree: what it ends is found by the depths, and an element is left once.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.root = Element("", {}, None)
+        self.stack = [self.root]
+        self.depths: dict[str, list[int]] = {}
+        self.last_quote = {quote: page.rfind(quote) for quote in "\"'"}
+
+    def text(self, text: str) -> None:
+        self.stack[-1].children.append(text)
+
+    def end_of_tag(self, pos: int) -> int:
+        """Behind the tag's ``>``, those in quoted values left aside; a quote without an end is none."""
+        while (found := TAG_PART.search(self.page, pos)) is not None:
+            quote = found[0][-1]
+            if quote == ">":
+                return found.end()
+            pos = found.end()
+            if self.last_quote[quote] >= pos:
+                pos = self.page.index(quote, pos) + 1
+        return len(self.page)
+
+    def open(self, name: str, source: str, pos: int) -> int:
+        if name in BLOCKS:
+            self._end({"p"}, SCOPES)
+        if name in HEADINGS:
+            self._end(HEADINGS, BLOCKS - HEADINGS)
+        if name in IMPLIED_ENDS:
+            self._end(*IMPLIED_ENDS[name])
+        at = self.stack[-1]
+        element = Element(name, attributes_of(source) if source else {}, at)
+        at.children.append(element)
+        if name in RAW:
+            closed = RAW_ENDS[name].search(self.page, pos)
+            element.children.append(self.page[pos : closed.start() if closed else len(self.page)])
+            after = self.page.find(">", closed.end()) if closed else -1
+            return after + 1 if after >= 0 else len(self.page)
+        if not (name in VOID or source.endswith("/") and name not in BLOCKS and name != "a"):
+            self.depths.setdefault(name, []).append(len(self.stack))
+            self.stack.append(element)
+        return pos
+
+    def close(self, name: str) -> None:
+        """Leaves the nearest open element of the name; one beyond a table's cell only for parts of tables."""
+        depth = self._deepest({name})
+        cell = 0 if name in TABLE_PARTS else self._deepest({"td", "th", "table"} - {name})
+        if depth > cell:
+            self._leave(depth)
+
+    def _end(self, names: set[str] | frozenset[str], scopes: set[str] | frozenset[str]) -> None:
+        """Leaves the outermost open element of the names inside the nearest scope."""
+        if any(self.depths.get(name) for name in names):
+            scope = self._deepest(scopes)
+            inside = []
+            for name in names:
+                depths = self.depths.get(name, [])
+                inside += depths[bisect_right(depths, scope) :][:1]
+            if inside:
+                self._leave(min(inside))
+
+    def _deepest(self, names: set[str] | frozenset[str]) -> int:
+        return max((self.depths[name][-1] for name in names if self.depths.get(name)), default=0)
+
+    def _leave(self, depth: int) -> None:
+        while len(self.stack) > depth:
+            self.depths[self.stack.pop().name].pop()
 
 
 def walk(root: Element) -> Iterator[tuple[Element | str, bool]]:
@@ -192,11 +233,6 @@ def walk(root: Element) -> Iterator[tuple[Element | str, bool]]:
             stack.extend((child, True) for child in reversed(node.children))
 
 
-def text_of(root: Element) -> int:
-    """Characters of text below, without outer white space of each piece."""
-    return sum(len(node.strip()) for node, _ in walk(root) if isinstance(node, str))
-
-
 def words_of(token: str) -> set[str]:
     return {word.lower() for word in WORDS.findall(token)}
 
@@ -216,50 +252,63 @@ def _says_so(element: Element) -> bool:
     return words <= CUT_WORDS | BOX_WORDS and (len(cut) > 1 or bool(cut - SUBJECTS))
 
 
-def _mostly_links(element: Element) -> bool:
-    text, links, depth = 0, 0, 0
-    for node, entering in walk(element):
-        if isinstance(node, str):
-            length = len(node.strip())
-            text += length
-            links += length if depth else 0
-        elif node.name == "a":
-            depth += 1 if entering else -1
-    return 2 * links >= text
-
-
 def prune(root: Element) -> None:
     """Takes out what is not reading matter; a wrapper of most of the text stays if it says so."""
-    for element in [n for n, entering in walk(root) if entering and isinstance(n, Element) and n.name in CUT]:
-        element.parent.children = [c for c in element.parent.children if c is not element]
-    total = text_of(root)
-    articles = [n for n, entering in walk(root) if entering and isinstance(n, Element) and n.name == "article"]
-    holders = set()
-    for article in articles:
-        node = article
-        while node is not None and id(node) not in holders:
-            holders.add(id(node))
-            node = node.parent
-    pending = [root]
+    for node, entering in walk(root):
+        if entering and isinstance(node, Element):
+            node.children = [c for c in node.children if isinstance(c, str) or c.name not in CUT]
+    text, links, holders = _extents(root)
+    pending = [(root, False)]
     while pending:
-        parent = pending.pop()
+        parent, in_article = pending.pop()
+        in_article = in_article or parent.name == "article"
         kept = []
         for child in parent.children:
             if isinstance(child, Element):
-                if _unwanted(child, total, holders):
+                mostly_links = 2 * links[id(child)] >= text[id(child)]
+                of_most = 2 * text[id(child)] > text[id(root)]
+                outside = bool(holders) and id(child) not in holders and not in_article
+                if _unwanted(child, in_article, outside, mostly_links, of_most):
                     continue
-                pending.append(child)
+                pending.append((child, in_article))
             kept.append(child)
         parent.children = kept
 
 
-def _unwanted(element: Element, total: int, holders: set[int]) -> bool:
-    """``holders`` are the page's articles and what is around them."""
+def _extents(root: Element) -> tuple[dict[int, int], dict[int, int], set[int]]:
+    """Of each element the characters below and those in links; and which are articles or around one."""
+    text, links, holders, in_link = {}, {}, set(), 0
+    stack: list[Element] = []
+    for node, entering in walk(root):
+        if isinstance(node, str):
+            length = len(node.strip())
+            text[id(stack[-1])] += length
+            links[id(stack[-1])] += length if in_link else 0
+        elif entering:
+            in_link += node.name == "a"
+            text[id(node)] = links[id(node)] = 0
+            stack.append(node)
+        else:
+            in_link -= node.name == "a"
+            stack.pop()
+            if node.name == "article":
+                holders.add(id(node))
+            if stack:
+                text[id(stack[-1])] += text[id(node)]
+                # Of a link itself all text counts as link text only for what is around it.
+                links[id(stack[-1])] += text[id(node)] if node.name == "a" and not in_link else links[id(node)]
+                if id(node) in holders:
+                    holders.add(id(stack[-1]))
+    return text, links, holders
+
+
+def _unwanted(element: Element, in_article: bool, outside: bool, mostly_links: bool, of_most: bool) -> bool:
+    """``outside``: the page has articles, and the element is neither in nor around one."""
     given = element.attributes
     if element.name in ("html", "body", "main", "article"):
         return False
     if element.name == "header":
-        return not _inside(element, "article")
+        return not in_article
     if not given:
         return False
     if "hidden" in given or given.get("aria-hidden") == "true" or HIDDEN.search(given.get("style", "")):
@@ -269,19 +318,9 @@ def _unwanted(element: Element, total: int, holders: set[int]) -> bool:
     words = marks_of(element)
     if element.name in HEADINGS or not words & CUT_WORDS:
         return False
-    outside = holders and id(element) not in holders and not _inside(element, "article")
-    if not (_says_so(element) or outside or _mostly_links(element)):
+    if not (_says_so(element) or outside or mostly_links):
         return False
-    return not (words & KEEP_WORDS and 2 * text_of(element) > total)
-
-
-def _inside(element: Element, name: str) -> bool:
-    node = element.parent
-    while node is not None:
-        if node.name == name:
-            return True
-        node = node.parent
-    return False
+    return not (words & KEEP_WORDS and of_most)
 
 
 def blocks_of(element: Element) -> list[str]:
@@ -352,6 +391,10 @@ class Measures:
             if share > 5:
                 break
 
+    def holds_prose(self, element: Element) -> bool:
+        """Whether a paragraph, or loose text, passed points to the element."""
+        return self.points.get(id(element), 0.0) > 0
+
     def density(self, element: Element) -> float:
         text = self.text[id(element)]
         return self.links[id(element)] / text if text else 0.0
@@ -377,7 +420,20 @@ def main_text(page: str | None) -> str:
     while node is not top:
         node.parent.children = _reading(node.parent.children, node, measures, inside)
         node = node.parent
-    return "\n".join(blocks_of(top))
+    if top.name != "article":
+        return "\n".join(blocks_of(top))
+    return "\n".join(block for article in _articles(root, top, measures) for block in blocks_of(article))
+
+
+def _articles(root: Element, best: Element, measures: Measures) -> list[Element]:
+    """The outermost articles in page order: the best one, and the others that hold prose and not mostly links."""
+    found, depth = [], 0
+    for node, entering in walk(root):
+        if isinstance(node, Element) and node.name == "article":
+            if entering and depth == 0 and (node is best or measures.holds_prose(node) and measures.density(node) < 0.5):
+                found.append(node)
+            depth += 1 if entering else -1
+    return found
 
 
 def _top_of(best: Element) -> tuple[Element, bool]:
@@ -414,6 +470,8 @@ def _row_belongs(row: list[Element | str], measures: Measures, inside: bool) ->
 
 
 def _belongs(sibling: Element, measures: Measures, inside: bool) -> bool:
+    if inside and sibling.name in PROSE:
+        return measures.text[id(sibling)] > 0
     if sibling.name in HEADINGS:
         return measures.density(sibling) < 0.5
     if sibling.name in SCORED and not inside:
