@@ -5,7 +5,7 @@ call's identifier. Calls may wait for others; peeling the calls whose waits are
 level by level, orders them topologically: by level, then turn, then identifier. Their
 arguments are validated against the tool's schema, and each linked call is serialised
 as canonical JSON: keys sorted, no spaces, no escapes that are not needed, whole numbers
-without a fraction.
+without a fraction; half a surrogate pair stays an escape.
 
 No conversation is gathered in one task: all joins are by conversation and identifier,
 and peeling costs as many rounds as the longest chain of waits, not the calls.
@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.tables import settle
 
+LONE = re.compile("[\ud800-\udfff]")
 CALL = "conv_id, call_id, turn, name, arguments, after"
 #: Kinds of rows that hold a result and no call.
 OF_RESULTS = ("no_call", "repeated_result", "result_no_id")
@@ -113,7 +114,12 @@ def _whole(value):
 
 
 def canonical(value) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return _encodable(json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+
+
+def _encodable(text: str) -> str:
+    """Half a surrogate pair, which UTF-8 cannot hold, stays the JSON escape that it came as."""
+    return LONE.sub(lambda half: f"\\u{ord(half[0]):04x}", text)
 
 
 def message(call_id: str, name: str, arguments: str | None, result: str | None, schemas: dict) -> tuple[list[str], str]:
@@ -125,6 +131,7 @@ def message(call_id: str, name: str, arguments: str | None, result: str | None,
         try:
             value = parsed(arguments)
             errors = violations(value, schemas[name]) if name in schemas else [f"unknown tool {name}"]
+            errors = [_encodable(error) for error in errors]
         except (ValueError, RecursionError):
             errors = ["$: not JSON"]
     return errors, canonical({"id": call_id, "name": name, "arguments": value, "result": answer_of(result)})
