@@ -2,20 +2,25 @@
 
 Documents are counted into cells of source, language and topic. Raking multiplies the
 cells' token weights so that their sums over each margin meet that margin's targets, one
-margin after the other, round by round. A document is kept with the probability of its
-cell: the share of the cell's tokens that its weight asks for, scaled so that the expected
-tokens are the wanted part of all tokens, and at most one.
+margin after the other, round by round. No cell's weight may ask for more tokens than the
+wanted part of all tokens lets its own give: within a margin the cells that would pass that
+bound stay at it, and the others are scaled to make up for them. A document is kept with
+the probability of its cell, its weight over that bound, so the expected tokens of each
+value are its target share of the wanted part.
 
 Only cells are raked: their number is that of the sources times the languages times the
 topics, not of the documents, so a hot source costs nothing after the first aggregation,
-which combines before it shuffles. All steps are built-in functions.
+which combines before it shuffles. Up to FEW_CELLS of them are raked in one task, whose
+windows need no shuffle; more are shuffled by margin, where a value's cells must fit a task.
+All steps are built-in functions.
 
 Targets are either given per margin, as weights by value, or follow from the data: each
 value's tokens to a power below one, which raises small sources. A value without a given
-target keeps its own share. A null source, language, topic or text is a value of its own;
-a document without words has no tokens and its cell's probability, zero if the cell has
-no tokens. Margins that cannot all be met at once, as when a value has fewer tokens than it
-should give, end as near as the last round comes, and a warning names the largest miss;
+target keeps its own share. The topic is the documents' column of that name, if they have one,
+and otherwise follows from what a text contains. A null source, language, topic or text is
+a value of its own; a document without words has no tokens and its cell's probability, zero if
+the cell has no tokens. Margins that cannot all be met at once, as when a value has fewer tokens
+than it should give, end as near as the last round comes, and a warning names the largest miss;
 ``misses`` gives each value's. Documents draw by a hash of their id, so repeated ids go together.
 """
 
@@ -32,15 +37,13 @@ from lamina.llm.tables import settle
 MARGINS = ("source", "lang", "topic")
 #: Powers of the tokens that the targets are in proportion to.
 FLATTEN = {"source": 0.7, "lang": 0.5, "topic": 0.8}
-ROUNDS = 12
+#: Rounds over the margins; a round takes about nine tenths of what is missed away.
+ROUNDS = 16
+#: Rounds between two writes of the cells, and the cells that one task may rake.
+ROUNDS_AT_ONCE, FEW_CELLS = 4, 200_000
 #: Part of all tokens to keep.
 KEEP = 0.5
 SEED = 42
-#: Steps that find the scale once some cells are kept whole.
-FILLS = 8
-
-#: Rounds within the bounds, at most, as long as one still moves a cell by more than MOVED of its weight.
-MOST_ROUNDS, MOVED = 2 * ROUNDS, 1e-7
 #: Part of its target that a value may miss without a warning.
 MISS = 1e-6
 
@@ -90,59 +93,46 @@ def targets(cells: DataFrame, given: dict[str, dict[str, float]] | None = None)
     return cells
 
 
-def rake(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Adds ``weight``: the cells' shares after so many rounds over the margins."""
-    totals = [
-        cells.groupBy(margin).agg(F.first(f"{margin}_target").alias("t")).agg(F.sum("t")).first()[0]
-        for margin in MARGINS
-    ]
-    raked = cells.withColumn("weight", F.col("tokens"))
-    for _ in range(rounds):
-        for margin, total in zip(MARGINS, totals):
-            of_value = F.sum("weight").over(Window.partitionBy(margin))
-            share = F.col(f"{margin}_target") / F.lit(total)
-            raked = raked.withColumn("weight", F.when(of_value > 0, F.col("weight") * share / of_value).otherwise(0.0))
-    return raked
-
-
-def rake_within(cells: DataFrame, keep: float = KEEP, rounds: int = MOST_ROUNDS) -> DataFrame:
-    """Adds ``weight`` as ``rake`` does, but never more than ``keep`` lets the cell's own tokens give.
+def rake(cells: DataFrame, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
+    """Adds ``weight`` and ``probability`` to cells with targets.
 
-    A cell at its bound keeps the share that it would have without, so that a later step may take it down again.
+    A cell at its bound remembers the weight that it would have without, so that a later step may take it down again.
+    """
+    values = {m: F.count("*").over(Window.partitionBy(m)) for m in MARGINS}
+    ones = cells.select("tokens", *[(F.col(f"{m}_target") / values[m]).alias(m) for m in MARGINS])
+    n, tokens, *totals = ones.agg(F.count("*"), F.sum("tokens"), *[F.sum(m) for m in MARGINS]).first()
+    share = {m: F.col(f"{m}_target") / F.lit(total) if total else F.lit(0.0) for m, total in zip(MARGINS, totals)}
+    bound = F.col("tokens") / F.lit(keep * tokens) if keep * (tokens or 0) > 0 else F.lit(0.0)
+    raked = cells.withColumns({"bound": bound, "free": F.col("tokens")})
+    for done in range(0, rounds, ROUNDS_AT_ONCE):
+        if n <= FEW_CELLS:
+            raked = raked.coalesce(1)
+        for _ in range(done, min(done + ROUNDS_AT_ONCE, rounds)):
+            for margin in MARGINS:
+                raked = _step(raked, margin, share[margin])
+        raked = settle(raked, "raking")
+    weight = F.least("bound", "free")
+    probability = F.when(F.col("bound") > 0, F.least(F.lit(1.0), weight / F.col("bound"))).otherwise(0.0)
+    return raked.withColumns({"weight": weight, "probability": probability}).drop("bound", "free")
+
+
+def _step(raked: DataFrame, margin: str, share: Column) -> DataFrame:
+    """Scales each value's cells so that those below their bounds make up for those at it.
+
+    A cell that passes its bound by this, or falls below it, counts as such in the next round.
     """
-    sums = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    bound = F.col("tokens") / F.lit(keep * sums) if keep * sums > 0 else F.lit(0.0)
-    raked = cells.withColumn("bound", bound).withColumns({"free": F.col("tokens"), "before": F.col("tokens")})
-    totals = [
-        cells.groupBy(margin).agg(F.first(f"{margin}_target").alias("t")).agg(F.sum("t")).first()[0]
-        for margin in MARGINS
-    ]
-    for _ in range(rounds):
-        for margin, total in zip(MARGINS, totals):
-            share = F.col(f"{margin}_target") / F.lit(total) if total else F.lit(0.0)
-            raked = _step_within(raked, margin, share)
-        raked = settle(raked.withColumn("moved", F.when(F.col("before") > 0, F.abs(F.col("free") / F.col("before") - 1))), "raking")
-        moved = raked.agg(F.max("moved")).first()[0]
-        raked = raked.drop("before", "moved").withColumn("before", F.col("free"))
-        if moved is None or moved <= MOVED:
-            break
-    return raked.withColumn("weight", F.least("bound", "free")).drop("bound", "free", "before")
-
-
-def _step_within(raked: DataFrame, margin: str, share: Column) -> DataFrame:
-    """Scales ``free`` within each value so that the bounded cells sum to the value's share."""
     value = Window.partitionBy(margin)
-    reached = value.orderBy("growth")
-    grown = raked.withColumn("growth", F.when(F.col("free") > 0, F.col("bound") / F.col("free")))
-    # What the value gives when it has grown until this cell reaches its bound.
-    open_then = F.sum("free").over(value) - F.sum("free").over(reached)
-    given = F.sum(F.when(F.col("growth").isNotNull(), F.col("bound")).otherwise(0.0)).over(reached)
-    grown = grown.withColumn("full", F.coalesce(given + F.col("growth") * open_then <= share, F.lit(False)))
-    left = share - F.sum(F.when(F.col("full"), F.col("bound")).otherwise(0.0)).over(value)
-    open_free = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("free"))).over(value)
-    least = F.max(F.when(F.col("full"), F.col("growth"))).over(value)
-    scale = F.greatest(F.when(open_free > 0, left / open_free), least)
-    return grown.withColumn("free", F.coalesce(F.col("free") * scale, F.lit(0.0))).drop("growth", "full")
+    full = F.col("free") >= F.col("bound")
+    filled = F.sum(F.when(full, F.col("bound")).otherwise(0.0)).over(value)
+    still_open = F.sum(F.when(full, 0.0).otherwise(F.col("free"))).over(value)
+    summed = raked.withColumns({"filled": filled, "still_open": still_open})
+    both = F.col("filled") + F.col("still_open")
+    scale = (
+        F.when((F.col("still_open") > 0) & (share > F.col("filled")), (share - F.col("filled")) / F.col("still_open"))
+        .when(both > 0, share / both)
+        .otherwise(0.0)
+    )
+    return summed.withColumn("free", F.col("free") * scale).drop("filled", "still_open")
 
 
 def misses(rated: DataFrame) -> DataFrame:
@@ -164,27 +154,6 @@ def misses(rated: DataFrame) -> DataFrame:
     return of_margins[0].unionByName(of_margins[1]).unionByName(of_margins[2])
 
 
-def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
-    """Adds ``probability``: a cell's wanted tokens over its own, at most one.
-
-    The scale makes the expected tokens ``keep`` of all, as far as whole cells allow.
-    """
-    rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    rated = settle(raked.withColumn("rate", rate), "raked")
-    total = rated.agg(F.sum("tokens")).first()[0] or 0.0
-    scale = 0.0
-    for _ in range(FILLS):
-        full = F.col("rate") * F.lit(scale) >= 1
-        whole, open_weight = rated.agg(
-            F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))
-        ).first()
-        further = (keep * total - (whole or 0.0)) / open_weight if open_weight else scale
-        if further <= scale:
-            break
-        scale = further
-    return rated.withColumn("probability", F.least(F.lit(1.0), F.col("rate") * F.lit(scale)))
-
-
 def draw(doc_id: Column, seed: int = SEED) -> Column:
     """A number in [0, 1) that depends on the id alone."""
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
@@ -192,20 +161,16 @@ def draw(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def _marked(documents: DataFrame) -> DataFrame:
-    return documents.withColumns({"topic": topic_of(F.col("text")), "tokens": tokens_of(F.col("text"))})
+    topic = F.col("topic") if "topic" in documents.columns else topic_of(F.col("text"))
+    return documents.withColumns({"topic": topic, "tokens": tokens_of(F.col("text"))})
 
 
-def calibrate(
-    cells: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None, bounded: bool = True
-) -> DataFrame:
+def calibrate(cells: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """``source, lang, topic, weight, probability`` of the cells, as a stored table.
 
     The planner broadcasts it to the documents only if its files are small enough.
     """
-    prepared = settle(targets(settle(cells, "cells"), given), "cell-targets")
-    rated = probabilities(rake_within(prepared, keep) if bounded else rake(prepared), keep)
-    if not bounded:
-        return settle(rated.select(*MARGINS, "weight", "probability"), "cell-probabilities")
+    rated = rake(settle(targets(settle(cells, "cells"), given), "cell-targets"), keep)
     wanted = [f"{margin}_target" for margin in MARGINS]
     rated = settle(rated.select(*MARGINS, "weight", "probability", "tokens", *wanted), "cell-probabilities")
     miss = misses(rated).where("target > 0").agg(F.max(F.abs(F.col("expected") / F.col("target") - 1))).first()[0]
@@ -220,20 +185,17 @@ def _with_cell(marked: DataFrame, cells: DataFrame) -> DataFrame:
     return marked.join(renamed, same).drop(*[f"cell_{m}" for m in MARGINS])
 
 
-def mix(
-    documents: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None, bounded: bool = True
-) -> DataFrame:
+def mix(documents: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """Every document with its cell, the cell's weight and probability, and whether it is drawn."""
     marked = settle(_marked(documents).select("doc_id", *MARGINS, "tokens"), "marked")
     drawn = draw(F.col("doc_id")) < F.col("probability")
-    return _with_cell(marked, calibrate(cells_of(marked), keep, given, bounded)).withColumn("sampled", drawn)
+    return _with_cell(marked, calibrate(cells_of(marked), keep, given)).withColumn("sampled", drawn)
 
 
 def sample(documents: DataFrame, keep: float = KEEP, given: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The drawn documents, with the columns they came with."""
-    kept = documents.select(
-        F.struct(*documents.columns).alias("document"), "doc_id", "source", "lang", "text"
-    )
+    topic = [c for c in documents.columns if c == "topic"]
+    kept = documents.select(F.struct(*documents.columns).alias("document"), "doc_id", "source", "lang", "text", *topic)
     marked = _marked(kept).drop("text")
     cells = calibrate(cells_of(marked), keep, given)
     return _with_cell(marked, cells).where(draw(F.col("doc_id")) < F.col("probability")).select("document.*")
@@ -244,7 +206,7 @@ def _quoted(value: str) -> str:
 
 
 def sql(table: str, keep: float = KEEP, rounds: int = ROUNDS) -> str:
-    """``mix`` without ``bounded`` for DuckDB, with the rounds written out; ``table`` is a query or name with the columns of documents."""
+    """``mix`` for DuckDB, with the rounds written out; ``table`` is a query or name with the columns of documents."""
     cases = " ".join(
         "when " + " or ".join(f"contains(text, {_quoted(p)})" for p in parts) + f" then {_quoted(name)}"
         for name, parts in TOPICS.items()
@@ -260,26 +222,25 @@ def sql(table: str, keep: float = KEEP, rounds: int = ROUNDS) -> str:
             f"{m}_total as (select sum(t) t from (select {m}, any_value({m}_target) t from wanted group by {m}))"
             for m in MARGINS
         ],
-        "w0 as (select *, tokens weight from wanted)",
+        f"w0 as materialized (select source, lang, topic, tokens free, tokens / ({keep} * sum(tokens) over ()) bound, "
+        + ", ".join(f"{m}_target / (select t from {m}_total) {m}_share" for m in MARGINS)
+        + " from wanted)",
     ]
     n = 0
     for _ in range(rounds):
         for m in MARGINS:
-            of_value = f"sum(weight) over (partition by {m})"
             steps.append(
-                f"w{n + 1} as materialized (select * exclude (weight), case when {of_value} > 0 then weight * "
-                f"({m}_target / (select t from {m}_total)) / {of_value} else 0 end weight from w{n})"
+                f"w{n + 1} as materialized (select * exclude (filled, still_open) replace (free * case when still_open > 0 and "
+                f"{m}_share > filled then ({m}_share - filled) / still_open when filled + still_open > 0 then {m}_share / "
+                "(filled + still_open) else 0 end as free) from (select *, "
+                f"sum(case when free >= bound then bound else 0 end) over (partition by {m}) filled, "
+                f"sum(case when free >= bound then 0 else free end) over (partition by {m}) still_open from w{n}))"
             )
             n += 1
-    steps.append(f"f0 as (select *, case when tokens > 0 then weight / tokens else 0 end rate, 0::double scale from w{n})")
-    for i in range(FILLS):
-        steps.append(
-            f"f{i + 1} as materialized (select * exclude (scale), greatest(scale, coalesce(({keep} * sum(tokens) over () - "
-            "sum(case when rate * scale >= 1 then tokens else 0 end) over ()) / "
-            "nullif(sum(case when rate * scale >= 1 then 0 else weight end) over (), 0), scale)) scale "
-            f"from f{i})"
-        )
-    steps.append(f"cell as (select source s, lang l, topic t, weight, least(1.0, rate * scale) probability from f{FILLS})")
+    steps.append(
+        "cell as (select source s, lang l, topic t, least(bound, free) weight, "
+        f"case when bound > 0 then least(1.0, least(bound, free) / bound) else 0 end probability from w{n})"
+    )
     draw_sql = f"('0x' || substr(md5('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0"
     return (
         f"with {', '.join(steps)} select doc_id, source, lang, topic, tokens, weight, probability, "

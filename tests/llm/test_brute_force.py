@@ -281,27 +281,49 @@ def test_next_across_ranges(spark):
 # Mixing
 
 
+def missed(rows, margin, keep):
+    """The most by which a value's probability times tokens misses its target."""
+    found, wanted, tokens = Counter(), {}, sum(r.tokens for r in rows)
+    for r in rows:
+        found[r[margin]] += r.probability * r.tokens
+        wanted[r[margin]] = r[f"{margin}_target"]
+    return max(abs(found[v] / (keep * tokens) * sum(wanted.values()) / wanted[v] - 1) for v in wanted)
+
+
 def test_margins_meet_their_targets(spark):
     rows = [(f"s{i % 3}", f"l{i % 2}", f"t{i % 5}", float(10 + i * i % 37)) for i in range(60)]
     cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double").groupBy(
         *mixing.MARGINS
     ).sum("tokens").withColumnRenamed("sum(tokens)", "tokens")
-    given_targets = {"lang": {"l0": 1.0, "l1": 3.0}}
-    raked = mixing.rake(mixing.targets(cells, given_targets), rounds=30).collect()
-    for margin in mixing.MARGINS:
-        found, wanted = Counter(), {}
-        for r in raked:
-            found[r[margin]] += r.weight
-            wanted[r[margin]] = r[f"{margin}_target"]
-        for value, weight in found.items():
-            assert weight == pytest.approx(wanted[value] / sum(wanted.values()), rel=1e-6)
-
-
-def test_sample_size(spark, sf_dir):
+    given_targets = {"lang": {"l0": 1.0, "l1": 1.4}}
+    raked = mixing.rake(mixing.targets(cells, given_targets), keep=0.4).collect()
+    assert max(missed(raked, margin, 0.4) for margin in mixing.MARGINS) < 1e-6
+
+
+def test_the_query_s_probabilities_meet_all_targets_but_those_beyond_the_tokens(spark, sf_dir):
     rows = QUERIES["op2_target_mix"](spark, sf_dir).collect()
-    expected = sum(r.probability * r.tokens for r in rows)
-    assert expected == pytest.approx(mixing.KEEP * sum(r.tokens for r in rows), rel=0.02)
-    assert sum(r.tokens for r in rows if r.sampled) == pytest.approx(expected, rel=0.1)
+    tokens, expected = Counter(), Counter()
+    for r in rows:
+        for margin in mixing.MARGINS:
+            tokens[margin, r[margin]] += r.tokens
+            expected[margin, r[margin]] += r.probability * r.tokens
+    everything = sum(r.tokens for r in rows)
+    for margin, power in mixing.FLATTEN.items():
+        wanted = {k: n**power for k, n in tokens.items() if k[0] == margin}
+        for key, share in wanted.items():
+            target = mixing.KEEP * everything * share / sum(wanted.values())
+            assert expected[key] == pytest.approx(min(target, expected[key]) if target > tokens[key] else target, rel=0.11)
+    assert sum(r.probability * r.tokens for r in rows) == pytest.approx(mixing.KEEP * everything, rel=0.02)
+    assert sum(r.tokens for r in rows if r.sampled) == pytest.approx(sum(r.probability * r.tokens for r in rows), rel=0.1)
+
+
+def test_given_topics_and_many_cells(spark, sf_dir, monkeypatch):
+    docs = table(spark, sf_dir, "documents").withColumn("topic", F.concat(F.lit("t"), F.col("doc_id") % 3))
+    cells = mixing.cells_of(mixing._marked(docs))
+    assert {r.topic for r in cells.collect()} == {"t0", "t1", "t2"}
+    few = {r[:3]: r.probability for r in mixing.calibrate(cells).collect()}
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    assert {r[:3]: r.probability for r in mixing.calibrate(cells).collect()} == pytest.approx(few, rel=1e-9)
 
 
 def test_a_sample_with_whole_cells_meets_its_targets(spark):
