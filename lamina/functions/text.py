@@ -17,7 +17,7 @@ _BEFORE_WORD = rf"(\u0001|{_SEPARATOR}(?=[\p{{L}}\p{{N}}]))"
 # A dotted I or a last sigma is lowered like any other letter, one to one.
 _LOWER_FIRST = (("İ", "i"), ("Σ", "σ"))
 # Fixed value: the letters that stand for two and have a title form between small and capital.
-_TWO_LETTERS = "[\u01c4-\u01cc\u01f1-\u01f3]"
+_TWO_LETTERS = "\u01c4\u01c5\u01c6\u01c7\u01c8\u01c9\u01ca\u01cb\u01cc\u01f1\u01f2\u01f3"
 
 
 def _swap(c: Column, old: str, new: str) -> Column:
@@ -56,15 +56,17 @@ def clean_upper(c: Column | str) -> Column:
 def initcap_words(c: Column | str) -> Column:
     """Capitalize each run of letters and digits: ``d'ávila`` becomes ``D'Ávila``.
 
-    The built-in initcap starts words at spaces only. Text with no other separator
-    takes it directly; the rest gets a mark after each separator. Where a word
+    The built-in initcap starts words at spaces only, so a mark is put after each other
+    separator, and a mark is taken out again. Where a word
     begins with a character whose capital is several, or that is a capital or title
     form which initcap would change, the words are taken one by one.
     """
     c = as_column(c)
-    text = _prepared(c)
-    marked = F.when(c.rlike(_SEPARATOR), F.regexp_replace(text, _BEFORE_WORD, f"$1{_MARK}")).otherwise(text)
+    marked = F.regexp_replace(_prepared(c), _BEFORE_WORD, f"$1{_MARK}")
     capitalized = F.initcap(marked)
+    special = F.length(capitalized) != F.length(marked)
+    for letter in ("İ", *_TWO_LETTERS):
+        special = special | c.contains(letter)
     words = F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0))
     one_by_one = F.array_join(
         F.transform(
@@ -72,10 +74,10 @@ def initcap_words(c: Column | str) -> Column:
         ),
         "",
     )
-    special = (F.length(capitalized) != F.length(marked)) | c.contains("İ") | c.rlike(_TWO_LETTERS)
-    return F.when(special, one_by_one).otherwise(
-        F.when(c.rlike(_SEPARATOR), _swap(capitalized, _MARK, "")).otherwise(capitalized)
-    )
+    # One of the two parts is empty. What is computed in a branch only is not shared with the test for the branch, so
+    # the usual way is no branch, and only the rare one is.
+    usual = F.substring(_swap(capitalized, _MARK, ""), F.lit(1), F.when(special, 0).otherwise(2**31 - 1))
+    return F.concat(usual, F.when(special, one_by_one).otherwise(F.lit("")))
 
 
 def full_name(first: Column | str, last: Column | str) -> Column:

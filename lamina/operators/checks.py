@@ -60,9 +60,9 @@ def freshness(df: DataFrame, column: str, run_ts: datetime | str, max_age_hours:
     )
 
 
-def query_test(spark: SparkSession, sql: str, args: Mapping | None = None) -> DataFrame:
-    """The rows of a query that should return none."""
-    return spark.sql(sql, args=dict(args or {}))
+def query_test(spark: SparkSession, sql: str, args: Mapping | None = None, **tables: DataFrame) -> DataFrame:
+    """The rows of a query that should return none; it names ``tables`` in braces."""
+    return spark.sql(sql, args=dict(args or {}), **tables)
 
 
 KINDS = ("unique", "not_null", "accepted_values", "relationships", "freshness", "query")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The declared columns of ``df``, cast to the declared types.
+def conform(df: DataFrame, schema: T.StructType, keep: Sequence[str] = ()) -> DataFrame:
+    """The declared columns of ``df``, cast to the declared types, and those in ``keep`` as they are.
 
     A value that its type cannot hold raises; none turns into null. Decimals
     round half away from zero. Text longer than a ``varchar(n)`` raises unless
@@ -19,9 +20,8 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     are, so filters on them still reach the scan.
     """
     stored = {f.name.lower(): f.dataType for f in df.schema}
-    return df.select(
-        [F.col(f.name) if stored.get(f.name.lower()) == f.dataType else _fit(f).alias(f.name) for f in schema]
-    )
+    declared = [F.col(f.name) if stored.get(f.name.lower()) == f.dataType else _fit(f).alias(f.name) for f in schema]
+    return df.select(*declared, *keep)
 
 
 def plain_type(dtype: T.DataType) -> T.DataType:

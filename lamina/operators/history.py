@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.dates import run_timestamp
@@ -23,7 +23,7 @@ def first_history(source: DataFrame, run_ts: datetime | str) -> DataFrame:
 def history_changes(
     history: DataFrame, source: DataFrame, keys: Sequence[str], run_ts: datetime | str
 ) -> DataFrame:
-    """Rows to merge on ``keys`` and ``valid_from``: closed old versions, new versions.
+    """Rows to merge on ``keys`` into the open rows ``history``: closed old versions, new versions.
 
     Values are compared, nulls included. Keys the source no longer has stay open.
     A source key that is null opens a row on every run. A row that was opened at
@@ -58,7 +58,16 @@ def history_changes(
 
 
 def record_history(source: DataFrame, target: Table, keys: Sequence[str], run_ts: datetime | str) -> Snapshot:
-    """Bring a stored history up to date; ``target`` is keyed by ``keys`` and valid_from."""
+    """Bring a stored history up to date; ``target`` is keyed by ``keys`` and closed by ``valid_to``.
+
+    Open rows lie apart from closed ones. A new version takes its key's open row away, and the
+    old version is stored again as a closed row, so only open rows are ever read or rewritten.
+    """
     if not target.exists():
         return merge_upsert(first_history(source, run_ts), target)
-    return merge_upsert(history_changes(target.read(), source, keys, run_ts), target)
+    return merge_upsert(history_changes(target.read_open(), source, keys, run_ts), target)
+
+
+def history_table(spark: SparkSession, path: str, keys: Sequence[str], buckets: int | None = None) -> Table:
+    """A stored history of rows with these keys."""
+    return Table(spark, path, key=keys, buckets=buckets, closed="valid_to")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.sources import files
-from lamina.sources.table import BUCKET, LOAD, NULL_BUCKET, Snapshot, Table, bucket_number, with_file
+from lamina.sources.table import BUCKET, LOAD, Snapshot, Table, among, bucket_number, with_file
 
 
 # Keys that every executor may hold, by number and by the bytes of their values in memory,
@@ -54,20 +54,15 @@ def append_incremental(
     if not idempotent:
         return target.append(batch, publish)
     before = target.snapshot()
+    parts = target.bucket_parts(before.parts) if before.key else before.parts
     # The filter is tested against row-group statistics; the names of files return.
-    stored = with_file(target.scan(before.schema, before.parts))
-    held = target.files_of(stored.where(F.col(column) == F.lit(value)))
-    parts = list(before.parts)
-    if held:
-        parts = target.parts_beside(before.schema, parts, held)
-        others = (
-            target.scan(before.schema, sorted(held))
-            .drop(LOAD, BUCKET)
-            .where(~F.col(column).eqNullSafe(F.lit(value)))
-        )
-        parts.append(target.write(others))
-    parts.append(target.write(target.fit(batch, before.schema)))
-    made = target.next(before, parts)
+    stored = with_file(target.scan(before.schema, parts, before.without).where(F.col(column) == F.lit(value)))
+    stay, without, again = target.split(before, parts, target.held(stored))
+    if again:
+        others = target.scan(before.schema, again, before.without).drop(LOAD, BUCKET)
+        stay.append(target.write(others.where(~F.col(column).eqNullSafe(F.lit(value)))))
+    stay.append(target.write(target.fit(batch, before.schema)))
+    made = target.next(before, stay, without=without)
     return target.publish(made) if publish else made
 
 
@@ -113,7 +108,7 @@ def _replace_keys(
 
     # The batch is computed once. Its stored rows are already part of the result.
     staged = target.write(target.fit(batch, schema))
-    matchable = [p for p in target.bucket_parts([staged]) if bucket_number(p) != NULL_BUCKET]
+    matchable = [p for p in target.bucket_parts([staged]) if bucket_number(p) >= 0]
     batch_rows = target.scan(schema, matchable)
 
     # Keys lie below the table, on storage that all executors share, until the write is done.
@@ -129,9 +124,11 @@ def _replace_keys(
             parts = target.bucket_parts(before.parts)
             hit = [p for p in parts if bucket_number(p) in touched]
             result = [p for p in parts if bucket_number(p) not in touched]
+            without: dict[str, tuple[str, ...]] = {}
             if hit:
-                result += _rewritten(target, schema, hit, keys.select(*key), size, len(touched), scratch)
-            made = target.next(before, [*result, staged], marks)
+                rewritten, without = _rewritten(target, before, hit, keys.select(*key), size, len(touched), scratch)
+                result += rewritten
+            made = target.next(before, [*result, staged], marks, without)
     finally:
         files.delete(target.spark, scratch)
     return target.publish(made) if publish else made
@@ -156,26 +153,28 @@ def _measured(keys: DataFrame, unique: bool = False) -> Size:
 
 
 def _rewritten(
-    target: Table, schema, hit: list[str], keys: DataFrame, size: Size, touched: int, scratch: str
-) -> list[str]:
-    """The parts that replace the touched buckets ``hit``, without the rows of ``keys``.
-
-    If the keys can be broadcast, a scan of the key columns finds the files that hold
-    some; only those are rewritten, and the others keep their place. Where the buckets
-    have too many files for their bytes, or one file each, they are rewritten whole.
+    target: Table, before: Snapshot, hit: list[str], keys: DataFrame, size: Size, touched: int, scratch: str
+) -> tuple[list[str], dict[str, tuple[str, ...]]]:
+    """The parts that replace the touched buckets ``hit``, without the rows of ``keys``, and the files they are without.
+
+    If the keys can be broadcast, a scan of the key columns' pages that may hold some finds the
+    files that do; only those are rewritten, or their whole folder if they are many of it, and the
+    others keep their place. Where the buckets have too many files for their bytes, or one file
+    each, they are rewritten whole.
     """
-    old = target.scan(schema, hit)
+    schema = before.schema
+    old = target.scan(schema, hit, before.without)
     count, crowded = _files(old), _too_many_files(old, touched)
     stay: list[str] = []
+    without: dict[str, tuple[str, ...]] = {}
     if size.fits_everywhere() and not crowded and count > touched:
-        places = with_file(old).join(F.broadcast(keys), keys.columns, "left_semi")
-        held = target.files_of(places)
-        stay = target.parts_beside(schema, hit, held)
-        if not held:
-            return stay
-        old = target.scan(schema, sorted(held))
+        places = with_file(old.where(among(keys))).join(F.broadcast(keys), keys.columns, "left_semi")
+        stay, without, again = target.split(before, hit, target.held(places))
+        if not again:
+            return stay, without
+        old = target.scan(schema, again, before.without)
     kept, gather = _without_keys(old, keys, size, crowded, f"{scratch}/kept")
-    return [*stay, target.write(target.fit(kept, schema), gather)]
+    return [*stay, target.write(target.fit(kept, schema), gather)], without
 
 
 def _without_keys(

@@ -12,6 +12,12 @@ def _locate(spark: SparkSession, path: str):
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
 
 
+def uri(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as Spark names the files below it."""
+    fs, folder = _locate(spark, path)
+    return fs.makeQualified(folder).toString()
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below ``path``; empty when it does not exist."""
     fs, folder = _locate(spark, path)

@@ -10,18 +10,20 @@ that no snapshot names, and the rerun writes another.
 
 A keyed table spreads its rows over ``buckets`` folders by a hash of the key, so
 an upsert looks only into the folders its batch falls into. Rows with a null in
-the key match nothing and lie in a folder of their own, which upserts never read.
-A snapshot names whole folders, and single files where others of their folder
-have been replaced.
+the key match nothing and lie in a folder of their own, which upserts never read; so
+do the rows of a history that are closed. Within a bucket's files rows are sorted by
+key, so that a few keys read a few pages. A snapshot names folders, and for each the
+few files in it that have been replaced; a folder that would have more of them is
+rewritten whole, so neither grows with the number of files.
 """
 
 from __future__ import annotations
 
 import json
 import random
-from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +36,11 @@ LOAD = "load"
 BUCKET = "bucket"
 FILE = "_stored_file"
 NULL_BUCKET = -1
+CLOSED_BUCKET = -2
+#: Replaced files that a snapshot names of one folder.
+REPLACED_FILES = 8
+#: Keys that are looked for by value; of more the least and greatest limit what is read.
+PUSHED_KEYS = 64
 #: Buckets of a new keyed table that asks for no number, and the bytes that a bucket may
 #: have before a first write takes more of them.
 BUCKETS = 16
@@ -54,6 +61,8 @@ class Snapshot:
     key: tuple[str, ...] = ()
     buckets: int = 0
     marks: Mapping[str, int] = field(default_factory=dict)
+    without: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    closed: str = ""
 
     def to_json(self) -> str:
         return json.dumps(
@@ -64,6 +73,8 @@ class Snapshot:
                 "key": self.key,
                 "buckets": self.buckets,
                 "marks": dict(self.marks),
+                "without": dict(self.without),
+                "closed": self.closed,
             }
         )
 
@@ -77,12 +88,15 @@ class Snapshot:
             key=tuple(stored["key"]),
             buckets=stored["buckets"],
             marks=stored["marks"],
+            without={part: tuple(names) for part, names in stored.get("without", {}).items()},
+            closed=stored.get("closed", ""),
         )
 
 
 class Layout(NamedTuple):
     key: tuple[str, ...]
     buckets: int
+    closed: str = ""
 
 
 class Table:
@@ -99,12 +113,14 @@ class Table:
         path: str,
         key: str | Sequence[str] = (),
         buckets: int | None = None,
+        closed: str = "",
     ):
         self.spark = spark
         self.path = path.rstrip("/")
         self._key = tuple(filter(None, [key] if isinstance(key, str) else key))
         self._asked = buckets
         self._buckets = (BUCKETS if buckets is None else buckets) if self._key else 0
+        self._closed = closed
 
     # -- state ---------------------------------------------------------------
 
@@ -125,10 +141,10 @@ class Table:
     def _layout(self) -> Layout:
         before = self.snapshot()
         if before is None:
-            return Layout(self._key, self._buckets)
+            return Layout(self._key, self._buckets, self._closed)
         if self._asked is not None and before.buckets and before.buckets != self._asked:
             raise ValueError(f"the table at {self.path} has {before.buckets} buckets, not {self._asked}")
-        return Layout(before.key, before.buckets)
+        return Layout(before.key, before.buckets, before.closed)
 
     # -- reading -------------------------------------------------------------
 
@@ -137,42 +153,79 @@ class Table:
         snapshot = snapshot or self.snapshot()
         if snapshot is None:
             raise FileNotFoundError(f"no table at {self.path}")
-        return self.scan(snapshot.schema, snapshot.parts).drop(LOAD, BUCKET)
+        return self.scan(snapshot.schema, snapshot.parts, snapshot.without).drop(LOAD, BUCKET)
 
-    def scan(self, schema: T.StructType, parts: Iterable[str]) -> DataFrame:
-        """The rows of some loads or buckets, with the folder columns."""
+    def read_open(self) -> DataFrame:
+        """The rows that may still be updated; no file of closed ones is part of the plan."""
+        state = self.snapshot()
+        parts = [p for p in self.bucket_parts(state.parts) if bucket_number(p) != CLOSED_BUCKET]
+        return self.scan(state.schema, parts, state.without).drop(LOAD, BUCKET)
+
+    def scan(
+        self, schema: T.StructType, parts: Iterable[str], without: Mapping[str, Sequence[str]] | None = None
+    ) -> DataFrame:
+        """The rows of some loads, buckets or files, with the folder columns, without replaced files."""
         folders = T.StructType([T.StructField(LOAD, T.LongType()), T.StructField(BUCKET, T.IntegerType())])
         full = T.StructType(schema.fields + folders.fields)
-        paths = [f"{self.path}/{part}" for part in parts]
-        if not paths:
+        parts = list(parts)
+        if not parts:
             return self.spark.createDataFrame([], full)
-        return self.spark.read.schema(full).option("basePath", self.path).parquet(*paths)
-
-    def rows_beside(self, batch: DataFrame) -> DataFrame:
-        """The stored rows of the buckets that the batch's keys fall into."""
+        rows = self.spark.read.schema(full).option("basePath", self.path).parquet(*[f"{self.path}/{p}" for p in parts])
+        replaced = [f"{part}/{name}" for part in parts if part in (without or {}) for name in without[part]]
+        if not replaced:
+            return rows
+        # The file index tests whole names before it plans to read a file, if it spells them so; the names below the
+        # table are tested in any case.
+        base, name = files.uri(self.spark, self.path), F.col("_metadata.file_path")
+        below = F.substring_index(name, f"/{LOAD}=", -1)
+        unnamed = ~below.isin([file.removeprefix(f"{LOAD}=") for file in replaced])
+        return rows.where(~name.isin([f"{base}/{file}" for file in replaced])).where(unnamed)
+
+    def rows_beside(self, keys: DataFrame) -> DataFrame:
+        """The stored rows of the given keys, each of them once.
+
+        The key columns of the touched buckets are looked through, as far as their pages may
+        hold one of the keys; other columns are read from the files that hold some.
+        """
         state = self.snapshot()
-        numbers = batch.select(bucket_of(state.key, state.buckets)).distinct().collect()
+        numbers = keys.select(bucket_of(state.key, state.buckets)).distinct().collect()
         touched = {row[0] for row in numbers} - {NULL_BUCKET}
         hit = [p for p in self.bucket_parts(state.parts) if bucket_number(p) in touched]
-        return self.scan(state.schema, hit).drop(LOAD, BUCKET)
-
-    def files_of(self, rows: DataFrame) -> set[str]:
-        """The stored files that scanned ``rows`` come from, which keep their ``FILE`` column."""
-        return {_below(row[0]) for row in rows.select(FILE).distinct().collect()}
-
-    def parts_beside(self, schema: T.StructType, parts: Sequence[str], held: set[str]) -> list[str]:
-        """What stays of ``parts`` without the files ``held``: whole folders if none of their files is."""
-        folders, inside = set(parts), defaultdict(list)
-        for name in map(_below, self.scan(schema, parts).inputFiles()):
-            part = name
-            while part not in folders:
-                part = part.rsplit("/", 1)[0]
-            inside[part].append(name)
-        stay = []
+        if not hit:
+            return self.scan(state.schema, []).drop(LOAD, BUCKET)
+        wanted = among(keys)
+        places = with_file(self.scan(state.schema, hit, state.without).where(wanted)).join(keys, keys.columns, "left_semi")
+        _, _, holders = self.split(state, hit, self.held(places))
+        rows = self.scan(state.schema, holders, state.without).where(wanted)
+        return rows.drop(LOAD, BUCKET).join(keys, keys.columns, "left_semi")
+
+    def held(self, rows: DataFrame) -> dict[str, list[str]]:
+        """The folders that scanned ``rows`` lie in, with the names of their files, one more than may be replaced at most."""
+        below = F.substring_index(FILE, f"/{LOAD}=", -1)
+        folder = F.concat(F.lit(f"{LOAD}="), F.regexp_extract(below, "^(.*)/([^/]+)$", 1))
+        found = rows.select(folder.alias("part"), F.substring_index(below, "/", -1).alias("name")).distinct()
+        by_folder = found.groupBy("part").agg(F.slice(F.array_sort(F.collect_list("name")), 1, REPLACED_FILES + 1).alias("names"))
+        return {r.part: r.names for r in by_folder.collect()}
+
+    def split(
+        self, before: Snapshot, parts: Iterable[str], held: Mapping[str, Sequence[str]]
+    ) -> tuple[list[str], dict[str, tuple[str, ...]], list[str]]:
+        """What stays of ``parts`` without the files ``held``, the files it stays without, and what is to be rewritten.
+
+        A folder of few such files stays without them, another is rewritten whole.
+        """
+        stay, without, again = [], {}, []
         for part in parts:
-            mine = inside[part]
-            stay += [name for name in mine if name not in held] if held.intersection(mine) else [part]
-        return stay
+            names = held.get(part, ())
+            replaced = sorted({*before.without.get(part, ()), *names})
+            if names and len(replaced) > REPLACED_FILES:
+                again.append(part)
+                continue
+            stay.append(part)
+            again += [f"{part}/{name}" for name in names]
+            if replaced:
+                without[part] = tuple(replaced)
+        return stay, without, again
 
     # -- writing -------------------------------------------------------------
 
@@ -192,6 +245,7 @@ class Table:
             key=layout.key,
             buckets=layout.buckets,
             marks=before.marks if before else {},
+            closed=layout.closed,
         )
 
     def append(self, df: DataFrame, publish: bool = True, marks: Mapping[str, int] | None = None) -> Snapshot:
@@ -203,13 +257,22 @@ class Table:
         made = self.next(before, before.parts + (load,), marks)
         return self.publish(made) if publish else made
 
-    def next(self, before: Snapshot, parts: Iterable[str], marks: Mapping[str, int] | None = None) -> Snapshot:
-        """The state after ``before`` that consists of ``parts``."""
+    def next(
+        self,
+        before: Snapshot,
+        parts: Iterable[str],
+        marks: Mapping[str, int] | None = None,
+        without: Mapping[str, tuple[str, ...]] | None = None,
+    ) -> Snapshot:
+        """The state after ``before`` that consists of ``parts``, some of them ``without`` further files."""
+        parts = tuple(parts)
+        replaced = {**before.without, **(without or {})}
         return replace(
             before,
             number=before.number + 1,
-            parts=tuple(parts),
+            parts=parts,
             marks={**before.marks, **(marks or {})},
+            without={part: replaced[part] for part in parts if part in replaced},
         )
 
     def marked(self, snapshot: Snapshot, marks: Mapping[str, int]) -> Snapshot:
@@ -253,7 +316,7 @@ class Table:
         if buckets is None:
             stored = sum(files.size(self.spark, f"{self.path}/{part}") for part in before.parts)
             buckets = max(BUCKETS, -(-stored // BUCKET_BYTES))
-        load = self._store(self.read(before), Layout(before.key, buckets), True)
+        load = self._store(self.read(before), Layout(before.key, buckets, before.closed), True)
         made = self.publish(replace(self.next(before, [load]), buckets=buckets))
         self._asked = self._asked and buckets
         return made
@@ -266,10 +329,10 @@ class Table:
         if not layout.key:
             df.write.parquet(f"{self.path}/{part}")
             return part
-        placed = df.withColumn(BUCKET, bucket_of(layout.key, layout.buckets))
+        placed = df.withColumn(BUCKET, bucket_of(layout.key, layout.buckets, layout.closed))
         if gather:
             placed = placed.hint("rebalance", BUCKET)
-        placed.write.partitionBy(BUCKET).parquet(f"{self.path}/{part}")
+        placed.sortWithinPartitions(BUCKET, *layout.key).write.partitionBy(BUCKET).parquet(f"{self.path}/{part}")
         return part
 
     def bucket_parts(self, parts: Iterable[str]) -> list[str]:
@@ -303,7 +366,7 @@ class Table:
         small = [p for p in before.parts if files.size(self.spark, f"{self.path}/{p}") < below]
         if len(small) < 2:
             return before
-        load = self.write(self.scan(before.schema, small).drop(LOAD, BUCKET))
+        load = self.write(self.scan(before.schema, small, before.without).drop(LOAD, BUCKET))
         kept = set(small)
         return self.publish(self.next(before, [p for p in before.parts if p not in kept] + [load]))
 
@@ -335,13 +398,30 @@ class Table:
         return (max(loads, default=0) // LOAD_STEP + 1) * LOAD_STEP + random.randrange(LOAD_STEP)
 
 
-def bucket_of(key: Sequence[str], buckets: int) -> Column:
-    """The folder of a row: a hash of its key, or the null folder."""
-    whole = F.lit(True)
-    for name in key:
-        whole = whole & F.col(name).isNotNull()
+def bucket_of(key: Sequence[str], buckets: int, closed: str = "") -> Column:
+    """The folder of a row: a hash of its key, or the folder of null keys or of closed rows."""
+    whole = reduce(Column.__and__, [F.col(name).isNotNull() for name in key])
     spread = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-    return F.when(whole, spread).otherwise(F.lit(NULL_BUCKET))
+    placed = F.when(whole, spread).otherwise(F.lit(NULL_BUCKET))
+    return F.when(F.col(closed).isNotNull(), F.lit(CLOSED_BUCKET)).otherwise(placed) if closed else placed
+
+
+def among(keys: DataFrame) -> Column:
+    """A filter that Parquet tests by its statistics and passes every row of the given keys.
+
+    Few keys are named one by one, of others the least and the greatest value of the first column.
+    """
+    some = keys.limit(PUSHED_KEYS + 1).collect()
+    if not some:
+        return F.lit(False)
+    if any(isinstance(value, (dict, list, tuple)) for value in some[0]):
+        return F.lit(True)
+    if len(some) <= PUSHED_KEYS:
+        each = [reduce(Column.__and__, [F.col(c) == F.lit(v) for c, v in row.asDict().items()]) for row in set(some)]
+        return reduce(Column.__or__, each)
+    first = F.col(keys.columns[0])
+    low, high = keys.agg(F.min(first), F.max(first)).first()
+    return first.between(F.lit(low), F.lit(high))
 
 
 def bucket_number(part: str) -> int:
@@ -353,10 +433,5 @@ def with_file(rows: DataFrame) -> DataFrame:
     return rows.withColumn(FILE, rows.metadataColumn("_metadata").getField("file_path"))
 
 
-def _below(uri: str) -> str:
-    """A stored file as a part: its path from the load folder on."""
-    return uri[uri.rindex(f"/{LOAD}=") + 1 :]
-
-
 def _load_number(part: str) -> int:
     return int(part.split("/")[0].split("=", 1)[1])

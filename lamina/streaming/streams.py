@@ -7,6 +7,7 @@ replayed after a lost driver finds its number there and is left out.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +20,51 @@ from lamina.operators.latest import latest_by
 from lamina.sources.table import Snapshot, Table
 
 
-def land_stream(stream: DataFrame, target: Table, schema: T.StructType, checkpoint: str) -> StreamingQuery:
-    """Append what has arrived, cast to the declared columns."""
+class Once(NamedTuple):
+    """What makes a record one that has landed before.
+
+    ``columns`` tell records apart, by default all declared ones. A record is remembered until the
+    column ``time`` of what has arrived is ``delay`` beyond it; the state store holds no more.
+    ``time`` may be a column of the stream that is not declared, such as a file's time.
+    """
+
+    time: str
+    delay: str
+    columns: Sequence[str] = ()
+
+
+def land_stream(
+    stream: DataFrame,
+    target: Table,
+    schema: T.StructType,
+    checkpoint: str,
+    once: Once | None = None,
+    compact_every: int = 0,
+) -> StreamingQuery:
+    """Append what has arrived, cast to the declared columns.
+
+    With ``once``, records that come again, in whatever file, are left out. Every
+    ``compact_every`` micro-batches the small loads become one and the states before the
+    last two go, so that neither grows with the number of micro-batches.
+    """
+    declared = [f.name for f in schema]
 
     def store(batch: DataFrame, mark: dict[str, int]) -> Snapshot:
-        rows = conform(batch, schema)
+        rows = conform(batch, schema) if once is None else batch.select(*declared)
         if target.exists():
-            return target.append(rows, marks=mark)
-        first = target.overwrite(rows, publish=False)
-        return target.publish(target.marked(first, mark))
-
+            made = target.append(rows, marks=mark)
+        else:
+            first = target.overwrite(rows, publish=False)
+            made = target.publish(target.marked(first, mark))
+        if compact_every and (mark[checkpoint] + 1) % compact_every == 0:
+            made = target.compact()
+            target.expire()
+        return made
+
+    if once is not None:
+        # The state needs the declared types; the time may come from outside of them.
+        carried = conform(stream, schema, keep=[once.time] if once.time not in declared else [])
+        stream = carried.withWatermark(once.time, once.delay).dropDuplicatesWithinWatermark(list(once.columns) or declared)
     return _start(stream, target, checkpoint, store)
 
 
@@ -43,8 +79,9 @@ def merge_stream(
 
     It does not matter which micro-batch brings a record: a batch's latest records are
     compared with the stored rows of their keys, by ``order`` (null wins), then by
-    ``tiebreak``, then by the other columns, and the winners are merged. Only the
-    buckets that the batch falls into are read.
+    ``tiebreak``, then by the other columns, and the winners are merged. What is read of
+    the table follows the batch: pages of key columns that may hold one of its keys, and
+    the files that do.
 
     A record of a deletion is a row like any other, with a flag that the stream's
     source sets; it stays stored, so that an older record which comes later does not
@@ -52,16 +89,15 @@ def merge_stream(
     """
 
     def store(batch: DataFrame, mark: dict[str, int]) -> Snapshot:
-        batch = batch.persist()
+        latest = latest_by(batch, target.key, order, tiebreak).persist()
         try:
-            latest = latest_by(batch, target.key, order, tiebreak)
+            merged = latest
             if target.exists():
-                stored = target.rows_beside(batch)
-                same = stored.join(latest.select(*target.key), list(target.key), "left_semi")
-                latest = latest_by(target.fit(latest, stored.schema).unionAll(same), target.key, order, tiebreak)
-            return merge_upsert(latest, target, marks=mark)
+                same = target.rows_beside(latest.select(*target.key))
+                merged = latest_by(target.fit(latest, same.schema).unionAll(same), target.key, order, tiebreak)
+            return merge_upsert(merged, target, marks=mark)
         finally:
-            batch.unpersist()
+            latest.unpersist()
 
     return _start(stream, target, checkpoint, store)
 

@@ -44,11 +44,11 @@ def age(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given(spark, sf_dir, "orders").createOrReplaceTempView("orders_under_test")
     return query_test(
         spark,
-        "select o_orderkey, o_totalprice from orders_under_test where o_totalprice > :most",
+        "select o_orderkey, o_totalprice from {orders} where o_totalprice > :most",
         {"most": 400000.0},
+        orders=given(spark, sf_dir, "orders"),
     )
 
 
@@ -164,7 +164,7 @@ SQL = {
     "dq_not_null": """
         select cast(c_custkey as varchar) employee_id, c_name || '@EMPRESA.com ' email
         from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
-        where c_custkey % 89 = 0 and c_custkey in (select o_custkey from orders)""",
+        where c_custkey % 89 = 0""",
     "dq_accepted_values": """
         select o_orderstatus, count(*) occurrences from orders
         where o_orderstatus not in ('F', 'O') group by o_orderstatus""",

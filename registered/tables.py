@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lamina.operators.history import record_history
+from lamina.operators.history import history_table, record_history
 from lamina.plans.employees import dim_employee, stg_employees
 from lamina.plans.pipeline import Warehouse, overwrite_load, write_table
 from lamina.session import work_dir
-from lamina.sources import Source, Table, read_seed, read_source
+from lamina.sources import Source, read_seed, read_source
 from registered.inputs import EMP_RAW_SQL, RUN_TS, emp_raw, given
 from registered.models import DIM_SQL, naive
 
@@ -60,7 +60,7 @@ def seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each customer's last order status, recorded at two moments."""
     orders = given(spark, sf_dir, "orders")
-    target = Table(spark, work_dir(spark, "history"), key=("c", "valid_from"))
+    target = history_table(spark, work_dir(spark, "history"), ["c"])
     for run_ts, seen in (("2000-01-01 00:00:00", orders.where("o_orderdate < '2000-01-01'")), (RUN_TS, orders)):
         status = seen.groupBy(F.col("o_custkey").alias("c")).agg(
             F.max_by("o_orderstatus", F.struct("o_orderdate", "o_orderkey")).alias("status")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.operators import incremental
-from lamina.operators.history import record_history
+from lamina.operators.history import history_table, record_history
 from lamina.operators.incremental import (
     DuplicateKeys,
     append_incremental,
@@ -224,7 +224,9 @@ def many_files(spark, base, files=30, rows=4000):
 
 
 def stored_files(t):
-    return {f.rsplit("/load=", 1)[1] for f in t.read().inputFiles()}
+    state = t.snapshot()
+    rows = with_file(t.scan(state.schema, state.parts, state.without)).select(FILE).distinct()
+    return {r[0].rsplit("/load=", 1)[1] for r in rows.collect()}
 
 
 def test_scattered_keys_rewrite_only_the_files_that_hold_them(spark, base, monkeypatch):
@@ -402,7 +404,7 @@ def test_runtime_splits_a_hot_key(spark, base, sort_merge):
 
 
 def test_history(spark, base):
-    t = Table(spark, f"{base}/h", key=("k", "valid_from"), buckets=4)
+    t = history_table(spark, f"{base}/h", ["k"], buckets=4)
     days = [f"2026-01-0{d} 00:00:00" for d in (1, 2, 3)]
     record_history(make(spark, [(1, "a"), (2, None), (3, "c")]), t, ["k"], days[0])
     record_history(make(spark, [(1, "a"), (2, "b"), (4, "d")]), t, ["k"], days[1])
@@ -432,3 +434,62 @@ def test_many_small_loads_become_one(spark, base):
     assert rows_of(keyed) == before
     merge_upsert(make(spark, [(9, "last")]), keyed)
     assert rows_of(keyed) == {**{k: v for k, v in before.items() if k[0] != 9}, (9, "last"): 1}
+
+
+def test_snapshots_name_folders_and_few_replaced_files(spark, base, monkeypatch):
+    monkeypatch.setattr(incremental, "FILE_BYTES", 1 << 10)
+    path = f"{base}/a folder"
+    t = many_files(spark, path)
+    before = rows_of(t)
+    for n, keys in enumerate([[5], [900, 5], range(0, 1000, 100), range(0, 4000, 7)]):
+        merge_upsert(make(spark, [(k, f"new{n}") for k in keys]), t)
+        before = {**{r: c for r, c in before.items() if r[0] not in set(keys)}, **{(k, f"new{n}"): 1 for k in keys}}
+        assert rows_of(t) == before
+        state = t.snapshot()
+        assert table.Snapshot.from_json(state.to_json()) == state
+        assert all(".parquet" not in part for part in state.parts)
+        assert all(len(names) <= table.REPLACED_FILES for names in state.without.values())
+        if n < 2:
+            assert state.without, "few files are replaced and named"
+    t.expire(1)
+    assert rows_of(t) == before
+    t.rebucket(2)
+    assert rows_of(t) == before and not t.snapshot().without
+
+
+def read_bytes(spark, job):
+    def total():
+        executors = spark._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(i).totalInputBytes() for i in range(executors.size()))
+
+    before = total()
+    job()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    return total() - before
+
+
+def test_few_keys_read_few_pages(spark, base):
+    """Of files sorted by key, a lookup reads the pages that hold its keys, however large the table is."""
+    taken = []
+    # Reads of several ranges at once are not counted.
+    spark.conf.set("parquet.hadoop.vectored.io.enabled", "false")
+    keys = make(spark, [(7, ""), (100_007, "")]).select("k")
+    for size in (200_000, 2_000_000):
+        t = Table(spark, f"{base}/{size}", key="k", buckets=1)
+        delete_insert(spark.range(0, size).selectExpr("cast(id as int) k", "md5(cast(id as string)) v"), t)
+        assert t.rows_beside(keys).count() == 2
+        taken.append(read_bytes(spark, lambda: t.rows_beside(keys).write.format("noop").mode("overwrite").save()))
+        whole = read_bytes(spark, lambda: t.read().write.format("noop").mode("overwrite").save())
+    spark.conf.unset("parquet.hadoop.vectored.io.enabled")
+    assert taken[1] < 0.1 * whole and taken[1] < 4 * taken[0]
+
+
+@pytest.mark.parametrize("keys", [[], [(None, "n")], [(3, ""), (3, ""), (-1, "")], [(i * 2, "") for i in range(200)]])
+def test_rows_beside(spark, base, keys):
+    t = Table(spark, f"{base}/t", key="k", buckets=3)
+    delete_insert(make(spark, [(i, f"v{i}") for i in range(300)] + [(3, "twice"), (None, "n")]), t)
+    merge_upsert(make(spark, [(50, "new")]), t)
+    wanted = {k for k, _ in keys}
+    expected = Counter(r for r in rows_of(t).elements() if r[0] is not None and r[0] in wanted)
+    found = t.rows_beside(make(spark, keys).select("k").distinct())
+    assert Counter((r.k, r.v) for r in found.collect()) == expected

@@ -241,3 +241,11 @@ def test_union_by_position(spark):
     both = raw_feed(spark).union(other)
     assert both.columns == RAW_FEED.names
     assert both.where(F.col("emp_id") == 9).first().record_date == "r"
+
+
+def test_latest_row_with_a_map(spark):
+    rows = [(1, "2020", 1, {"a": 1}), (1, "2021", 1, {"b": 2}), (2, "2021", 5, {"x": 1}), (2, None, 1, None), (3, "a", 1, {"y": 1}), (3, "a", 1, {"z": 1})]
+    df = spark.createDataFrame(rows, "k int, d string, t int, m map<string, int>").repartition(3)
+    found = {r.k: (r.d, r.m) for r in latest_by(df, ["k"], "d", ["t"]).collect()}
+    assert found == {1: ("2021", {"b": 2}), 2: (None, None), 3: ("a", {"z": 1})}
+    assert latest_by(df, ["k"], "d", ["t"]).columns == df.columns

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from lamina.schemas import RAW_FEED
 from lamina.sources import Table
-from lamina.streaming.streams import land_stream, merge_stream, without_deleted
+from lamina.streaming.streams import Once, land_stream, merge_stream, without_deleted
 
 TEXT = T.StructType([T.StructField(f.name, T.StringType()) for f in RAW_FEED])
 
@@ -113,3 +113,41 @@ def test_bad_value_stops_the_stream(spark, base):
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         query.awaitTermination()
     assert not t.exists()
+
+
+def test_a_file_that_is_sent_twice_lands_once(spark, base):
+    """Under another name, in the same run or in a later one; beyond the delay it counts as new."""
+    import os
+
+    text = T.StructType([*TEXT.fields, T.StructField("at", T.TimestampType())])
+    stream = spark.readStream.schema(text).option("maxFilesPerTrigger", 1).csv(f"{base}/in")
+    t = Table(spark, f"{base}/t")
+
+    def run():
+        land_stream(stream, t, RAW_FEED, f"{base}/c", Once("at", "1 hour", ["emp_id", "record_date"])).awaitTermination()
+        return sorted(r.emp_id for r in t.read().collect())
+
+    lines = ["1,Ron,Paul,d,j,2022,2026-01-01T00:00:00", "2,Ben,,d,j,2022,2026-01-01T00:10:00"]
+    arrive(base, "a", *lines)
+    arrive(base, "b", *lines, "3,Tacy,Jen,d,j,2022,2026-01-01T00:20:00")
+    assert run() == [1, 2, 3]
+    arrive(base, "c", lines[0])
+    assert run() == [1, 2, 3]
+    assert t.read().columns == [f.name for f in RAW_FEED]
+    arrive(base, "d", "9,late,,d,j,2022,2026-01-02T00:00:00")
+    assert run() == [1, 2, 3, 9]
+    state = f"{base}/c/state"
+    assert os.path.isdir(state)
+
+
+def test_many_micro_batches_leave_few_parts(spark, base):
+    stream = spark.readStream.schema(TEXT).option("maxFilesPerTrigger", 1).csv(f"{base}/in")
+    t = Table(spark, f"{base}/t")
+    for i in range(8):
+        arrive(base, f"{i:03d}", f"{i},Ron,Paul,d,j,2022")
+    land_stream(stream, t, RAW_FEED, f"{base}/c", compact_every=3).awaitTermination()
+    assert sorted(r.emp_id for r in t.read().collect()) == list(range(8))
+    import os
+
+    loads = [n for n in os.listdir(f"{base}/t") if n.startswith("load=")]
+    assert len(t.snapshot().parts) <= 3 and len(loads) <= 6
