@@ -10,8 +10,10 @@ stands there once all merges below rank r are done. Merge r joins a and b, so
 
 One pass over the merges in rank order gives the largest reach of any token, the
 sufficient lookahead. A window that holds more bytes than that after a token's end can
-emit the token at once: no later byte changes it. The encoder keeps one window and the
-unfinished end of the text, whatever the text's length.
+emit the token at once: no later byte changes it. The encoder splits a text into words as it
+comes and passes each word's bytes through the transducer, words met before through a
+memo in front of it; it keeps one window and the unfinished end of the text, whatever the
+text's length.
 
 Edge cases: a null text encodes as the empty text; the special token's string in a
 text becomes its id, as the reference library does by default; ids that are not in the
@@ -21,6 +23,7 @@ vocabulary raise; bytes that are not UTF-8 decode to U+FFFD.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import json
 import sys
@@ -35,7 +38,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -204,6 +207,10 @@ class Transducer:
         ids, self.kept = self.merges.split(self.kept), b""
         return ids
 
+    def run(self, data: bytes) -> list[int]:
+        """The ids of a run that is there as a whole."""
+        return self.feed(data) + self.finish()
+
 
 class Remembered(dict):
     """Ids, as packed 32-bit integers, by the string that they were found for.
@@ -220,7 +227,9 @@ class Remembered(dict):
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
-        self[key] = found = self.old.get(key) or self.find(key)
+        found = self.old.get(key) or self.find(key)
+        if self.size:
+            self[key] = found
         return found
 
 
@@ -239,12 +248,13 @@ class Encoder:
         self.special = regex.compile("|".join(map(regex.escape, merges.special))) if merges.special else None
         self.longest = max(map(len, merges.special), default=1)
         self.rest, self.run = "", None
+        self.transducer = Transducer(merges)
 
     def _split(self, text: str) -> list[str]:
         return self.patterns["words"].findall(text)
 
     def _word(self, word: str) -> bytes:
-        return packed(self.merges.split(word.encode()))
+        return packed(self.transducer.run(word.encode()))
 
     def _chunk(self, chunk: str) -> bytes | None:
         """Ids of one space and the text up to the next; none if white space meets the space."""
@@ -429,14 +439,53 @@ def encode_and_decode(df: DataFrame, keep: list[str], text: str = "text", vocabu
 
 
 def round_trip(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The digests of each text's ids and of the text decoded from them."""
-    return encode_and_decode(documents, ["doc_id"], vocabulary=vocabulary).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        ids_digest(F.col("ids")).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    """The digests of each text's ids and of the text decoded from them.
+
+    Ids are hashed and decoded as they come, so of a text's ids and decoded text no more than a slice is held.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = Digests(vocabulary)
+        for batch in batches:
+            rows = [digests.of(text.as_py()) for text in batch.column(1)]
+            columns = [pa.array(column) for column in zip(*rows)] if rows else [pa.array([], pa.null())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *DIGESTS])
+
+    rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    schema = T.StructType(rows.schema.fields[:1])
+    for name, kind in zip(DIGESTS, (T.LongType(), T.StringType(), T.StringType())):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(of, schema)
 
 
-def ids_digest(ids: Column) -> Column:
-    return F.sha2(F.array_join(ids.cast("array<string>"), ","), 256)
+DIGESTS = ["n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+class Digests:
+    """Counts and hashes a text's ids and the text decoded from them, slice by slice."""
+
+    def __init__(self, vocabulary: str):
+        merges = merges_of(vocabulary)
+        self.encoder, self.decoder = encoder_of(vocabulary), Decoder(merges)
+        self.decimal = [str(i) for i in range(max(merges.bytes_of) + 1)]
+
+    def of(self, text: str) -> tuple[int, str, str]:
+        n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
+        for ids in self._slices(text):
+            shown = ",".join(map(self.decimal.__getitem__, ids))
+            of_ids.update(f",{shown}".encode() if n else shown.encode())
+            of_text.update(self.decoder.feed(ids).encode())
+            n += len(ids)
+        of_text.update(self.decoder.finish().encode())
+        return n, of_ids.hexdigest(), of_text.hexdigest()
+
+    def _slices(self, text: str) -> Iterator[list[int]]:
+        pieces, size = [], 0
+        for piece in self.encoder.encode(text):
+            pieces.append(piece)
+            size += len(piece)
+            if size > 4 * SLICE:
+                yield np.frombuffer(b"".join(pieces), np.int32).tolist()
+                pieces, size = [], 0
+        if size:
+            yield np.frombuffer(b"".join(pieces), np.int32).tolist()

@@ -8,8 +8,10 @@ score, and a logistic curve fitted on the training documents turns it into a pro
 Labels are given per document. Training starts with each line bearing its document's
 label, then lets the lines of bad documents that look good be good, and trains again. It
 uses at most ``per_class`` documents per label (by a hash of their ids), of at most
-MAX_BYTES each, and never a held-out id. Scoring covers whole texts, a batch of documents
-at a time, with one vectorised step per line position.
+MAX_BYTES each, and never a held-out id. Scoring covers whole texts: documents of few lines
+in batches, with one vectorised step per line position; a document of more than BLOCK_LINES
+lines by itself, its features block by block and its chain as a scan over pieces of the chain
+that step side by side, which gives the same marginals.
 
 Edge cases: a null text is the empty one, which is one empty line, scored like any other;
 a document with contradicting labels is not learned from; without labels of both kinds
@@ -19,6 +21,8 @@ one by one, and learned from once, by the least of their texts.
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,14 +32,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lamina.llm.tables import settle
+
 #: Training documents per label, and the longest that are taken.
 PER_CLASS = 500
 MAX_BYTES = 200_000
 #: Share of ids, by hash, that are held out of training: one in so many.
 FOLDS = 5
 THRESHOLD = 0.3
-#: Bytes of text that are turned into features at once.
-STEP_BYTES = 4_000_000
+#: Bytes and lines of text that are turned into features at once.
+STEP_BYTES, BLOCK_LINES = 1_000_000, 20_000
 #: Lines of one chain in training; longer documents are trained in pieces.
 PIECE = 256
 ITERATIONS = 70
@@ -66,6 +72,7 @@ def _byte_classes() -> np.ndarray:
 
 
 BYTE_CLASSES = _byte_classes()
+WORD = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 OWN = [
     "upper", "digit", "space", "symbol", "pipe", "stop", "shout", "other",
     "length", "word_length", "distinct", "repeated", "ends", "empty",
@@ -87,9 +94,12 @@ class Lines:
     offsets: np.ndarray
 
 
-def lines_of(texts: list[str]) -> Lines:
-    """Features of all lines of the texts, from one pass over their bytes."""
-    encoded = [t.encode() for t in texts]
+def lines_of(texts: list[str] | list[bytes], seen: frozenset[bytes] | set[bytes] = frozenset()) -> Lines:
+    """Features of all lines of the texts, from one pass over their bytes.
+
+    ``seen`` are the lines that the first text had before what is given of it.
+    """
+    encoded = [t.encode() if isinstance(t, str) else t for t in texts]
     data = b"\n".join(encoded)
     raw = np.frombuffer(data, np.uint8)
     breaks = np.flatnonzero(raw == 10)
@@ -104,21 +114,29 @@ def lines_of(texts: list[str]) -> Lines:
     classes[breaks] = REST
     ends = np.concatenate([breaks, [len(raw)]])
     starts = np.concatenate([[0], breaks + 1])
-    line = np.repeat(np.arange(n), np.diff(np.concatenate([[0], breaks + 1, [len(raw)]])))
-    counts = np.bincount(line * CLASSES + classes, minlength=n * CLASSES).reshape(n, CLASSES).astype(np.float64)
+    counts = np.zeros((n, CLASSES))
+    before = 0
+    for i in range(0, len(raw), STEP_BYTES):  # a line may be as long as the text
+        ended = np.cumsum(raw[i : i + STEP_BYTES] == 10)
+        line = ended - (raw[i : i + STEP_BYTES] == 10)
+        some = np.bincount(line * CLASSES + classes[i : i + STEP_BYTES]).astype(np.float64)
+        some.resize(-(-len(some) // CLASSES) * CLASSES)
+        some = some.reshape(-1, CLASSES)
+        counts[before : before + len(some)] += some
+        before += int(ended[-1])
     chars = counts.sum(1) - counts[:, REST]
 
     words, distinct, repeated = np.zeros(n), np.ones(n), np.zeros(n)
     i = 0
-    for text in encoded:
-        seen = set()
+    for number, text in enumerate(encoded):
+        met = set(seen) if number == 0 else set()
         for part in text.split(b"\n"):
-            found = part.split()
-            if found:
-                words[i] = len(found)
-                distinct[i] = len(set(found)) / len(found)
-                repeated[i] = part in seen
-                seen.add(part)
+            total, different = _words_of(part)
+            if total:
+                words[i] = total
+                distinct[i] = different / total
+                repeated[i] = part in met
+                met.add(part)
             i += 1
     last = np.where(ends > starts, raw[np.maximum(ends - 1, 0)] if len(raw) else 0, 0)
 
@@ -155,6 +173,18 @@ def lines_of(texts: list[str]) -> Lines:
     return Lines(features, chars, offsets)
 
 
+def _words_of(line: bytes) -> tuple[int, int]:
+    """Words, and different ones; of a very long line without a list of them."""
+    if len(line) <= STEP_BYTES:
+        found = line.split()
+        return len(found), len(set(found))
+    n, different = 0, set()
+    for word in WORD.finditer(line):
+        different.add(word[0])
+        n += 1
+    return n, len(different)
+
+
 @dataclass(frozen=True)
 class Model:
     """Weights of a line's features for good, of label pairs, and the logistic curve."""
@@ -197,6 +227,56 @@ def forward_backward(emissions: np.ndarray, pairs: np.ndarray, offsets: np.ndarr
     return marginals, expected, float(np.log(scale).sum() + log_scale)
 
 
+def chain_marginals(good: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Marginals of good along one long chain, from the emissions.
+
+    The chain is cut into pieces that step side by side. The product of each piece's steps
+    gives what enters the next from either end, so these are known before the pieces are
+    stepped through again.
+    """
+    n = len(good)
+    length = math.isqrt(n) + 1
+    pieces = -(-n // length)
+    padded = np.zeros(pieces * length)
+    padded[:n] = np.clip(good, -30, 30)
+    local = np.exp(np.stack([np.minimum(0, -padded), np.minimum(0, padded)], 1)).reshape(pieces, length, 2)
+    there = (np.arange(pieces * length) < n).reshape(pieces, length)
+    step, first = np.exp(pairs), np.zeros(pieces, bool)
+    first[0] = True
+
+    def moved(at: int) -> np.ndarray:
+        """The step to each piece's line ``at``; none before the chain and behind its end."""
+        through = step[None] * local[:, at, None, :]
+        if at == 0:
+            through[0] = np.diag(local[0, 0])
+        return np.where(there[:, at, None, None], through, np.eye(2))
+
+    product = np.broadcast_to(np.eye(2), (pieces, 2, 2))
+    for at in range(length):
+        product = product @ moved(at)
+        product = product / product.max((1, 2), keepdims=True)
+    enters, leaves = np.ones((pieces, 2)), np.ones((pieces, 2))
+    for i in range(1, pieces):
+        enters[i] = enters[i - 1] @ product[i - 1]
+        enters[i] /= enters[i].sum()
+    for i in range(pieces - 2, -1, -1):
+        leaves[i] = product[i + 1] @ leaves[i + 1]
+        leaves[i] /= leaves[i].sum()
+    forward = np.empty((pieces, length, 2))
+    alpha = enters
+    for at in range(length):
+        alpha = (alpha[:, None, :] @ moved(at))[:, 0]
+        alpha = alpha / alpha.sum(1, keepdims=True)
+        forward[:, at] = alpha
+    beta = leaves
+    for at in range(length - 1, -1, -1):
+        both = forward[:, at] * beta
+        forward[:, at] = both / both.sum(1, keepdims=True)
+        beta = (moved(at) @ beta[:, :, None])[:, :, 0]
+        beta = beta / beta.sum(1, keepdims=True)
+    return forward[:, :, 1].ravel()[:n]
+
+
 def train(features: np.ndarray, labels: np.ndarray, offsets: np.ndarray, start: Model | None = None) -> Model:
     """Maximise the labels' likelihood by full-batch gradient steps with momentum (Adam)."""
     n_features = features.shape[1]
@@ -223,10 +303,7 @@ def raw_scores(model: Model, lines: Lines) -> tuple[np.ndarray, np.ndarray]:
     """Length-weighted means of the lines' marginals per document, and the marginals."""
     marginals, _, _ = forward_backward(lines.features @ model.weights, model.pairs, lines.offsets)
     good = marginals[:, 1]
-    weights = np.maximum(lines.chars, 1e-3)
-    starts = lines.offsets[:-1]
-    raw = np.add.reduceat(good * weights, starts) / np.add.reduceat(weights, starts)
-    return raw, good
+    return weighted(good, lines.chars, lines.offsets), good
 
 
 def logistic(raw: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
@@ -270,6 +347,9 @@ def sample(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS)
         .where("quality = other")
         .select("doc_id", F.col("quality").cast("int").alias("quality"))
     )
+    # Labels may cover a larger corpus: only ids that are there are chosen from.
+    present = documents.where("doc_id is not null").select("doc_id").distinct()
+    agreed = settle(agreed.join(present, "doc_id", "left_semi"), "crf-labels")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = [agreed.where(F.col("quality") == q).orderBy(*order).limit(per_class).collect() for q in (0, 1)]
     rows = [(int(r.doc_id), r.quality) for part in chosen for r in part]
@@ -290,23 +370,60 @@ def fit(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     return fit_lines([r[2] for r in rows], qualities)
 
 
-def _batches(texts: list[str]) -> Iterator[list[str]]:
-    batch, size = [], 0
+def _batches(texts: Iterator[str]) -> Iterator[list[bytes]]:
+    """Texts of few lines together, one of many lines alone."""
+    batch, size, lines = [], 0, 0
     for text in texts:
-        batch.append(text)
-        size += len(text)
-        if size > STEP_BYTES:
+        encoded = text.encode()
+        more = encoded.count(b"\n") + 1
+        if batch and (size + len(encoded) > STEP_BYTES or lines + more > BLOCK_LINES):
             yield batch
-            batch, size = [], 0
+            batch, size, lines = [], 0, 0
+        batch.append(encoded)
+        size, lines = size + len(encoded), lines + more
     if batch:
         yield batch
 
 
-def scores_of(model: Model, texts: list[str]) -> np.ndarray:
+def _blocks(text: bytes) -> Iterator[Lines]:
+    """The lines of one text, block by block, each with the features that it has in the whole text."""
+    lines, seen = text.split(b"\n"), set()
+    for start in range(0, len(lines), BLOCK_LINES):
+        stop = min(start + BLOCK_LINES, len(lines))
+        low, high = max(start - 1, 0), min(stop + 1, len(lines))
+        found = lines_of([b"\n".join(lines[low:high])], seen)
+        inner = slice(start - low, start - low + stop - start)
+        features = found.features[inner]
+        yield Lines(features, found.chars[inner], np.array([0, stop - start]))
+        # The next block begins with this one's last line, which it has not seen before.
+        seen.update(line for line in lines[low : stop - 1] if line.split())
+
+
+def marginals_of(model: Model, texts: Iterator[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of some texts at a time each line's marginal and characters, and each text's first line."""
+    for batch in _batches(texts):
+        if len(batch) == 1 and batch[0].count(b"\n") >= BLOCK_LINES:
+            blocks = [(block.features @ model.weights, block.chars) for block in _blocks(batch[0])]
+            emissions, chars = (np.concatenate(column) for column in zip(*blocks))
+            yield chain_marginals(emissions, model.pairs), chars, np.array([0, len(chars)])
+        else:
+            lines = lines_of(batch)
+            marginals, _, _ = forward_backward(lines.features @ model.weights, model.pairs, lines.offsets)
+            yield marginals[:, 1], lines.chars, lines.offsets
+
+
+def weighted(good: np.ndarray, chars: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each text's mean of its lines' marginals, weighted by their lengths."""
+    weights = np.maximum(chars, 1e-3)
+    return np.add.reduceat(good * weights, offsets[:-1]) / np.add.reduceat(weights, offsets[:-1])
+
+
+def scores_of(model: Model, texts: Iterator[str], n: int) -> np.ndarray:
+    """The scores of ``n`` texts."""
     if model.constant is not None:
-        return np.full(len(texts), model.constant)
+        return np.full(n, model.constant)
     a, b = model.curve
-    raw = [raw_scores(model, lines_of(batch))[0] for batch in _batches(texts)]
+    raw = [weighted(*found) for found in marginals_of(model, texts)]
     return 1 / (1 + np.exp(-np.clip(a * np.concatenate([np.zeros(0), *raw]) + b, -30, 30)))
 
 
@@ -315,7 +432,7 @@ def scored(documents: DataFrame, model: Model, score: str = "score") -> DataFram
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores_of(model, texts.tolist()))
+        return pd.Series(scores_of(model, iter(texts), len(texts)))
 
     return documents.withColumn(score, of(F.coalesce(F.col("text"), F.lit(""))))
 
@@ -326,16 +443,15 @@ def labelled_lines(documents: DataFrame, model: Model) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "line", "n_chars", "good"]
         for batch in batches:
-            lines = lines_of([t or "" for t in batch.column(1).to_pylist()]) if batch.num_rows else None
-            if lines is None:
-                continue
-            lengths = np.diff(lines.offsets)
-            good = raw_scores(model, lines)[1]
-            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), lengths)))
-            number = np.arange(len(good)) - np.repeat(lines.offsets[:-1], lengths)
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(number), pa.array(lines.chars.astype(np.int64)), pa.array(good)], names
-            )
+            done = 0
+            for good, chars, offsets in marginals_of(model, (t.as_py() or "" for t in batch.column(1))):
+                lengths = np.diff(offsets)
+                ids = batch.column(0).take(pa.array(done + np.repeat(np.arange(len(lengths)), lengths)))
+                number = np.arange(len(good)) - np.repeat(offsets[:-1], lengths)
+                done += len(lengths)
+                yield pa.RecordBatch.from_arrays(
+                    [ids, pa.array(number), pa.array(chars.astype(np.int64)), pa.array(good)], names
+                )
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         of, "doc_id long, line long, n_chars long, good double"
