@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from lamina.functions.numbers import BANDS
 from lamina.operators.checks import Check, assert_checks, run_checks
@@ -29,6 +32,7 @@ class Model:
     layer: str
     target: str = ""
     key: str = ""
+    needs: tuple[str, ...] = ()
 
     @property
     def folder(self) -> str:
@@ -40,13 +44,13 @@ MODELS = {
     m.name: m
     for m in (
         Model("raw_employees", "bronze"),
-        Model("stg_employees", "silver"),
-        Model("dim_employee", "gold"),
-        Model("fct_department_summary", "gold"),
+        Model("stg_employees", "silver", needs=("raw_employees",)),
+        Model("dim_employee", "gold", needs=("stg_employees",)),
+        Model("fct_department_summary", "gold", needs=("stg_employees",)),
         Model("raw_feed", "bronze", target="raw_data"),
-        Model("replaced_feed", "silver", target="del_ins", key="emp_id"),
-        Model("merged_feed", "silver", target="merge_ins", key="emp_id"),
-        Model("appended_feed", "gold", target="inc_ap"),
+        Model("replaced_feed", "silver", target="del_ins", key="emp_id", needs=("raw_feed",)),
+        Model("merged_feed", "silver", target="merge_ins", key="emp_id", needs=("raw_feed",)),
+        Model("appended_feed", "gold", target="inc_ap", needs=("merged_feed",)),
     )
 }
 
@@ -88,15 +92,25 @@ class Warehouse:
     """The stored tables below one folder, by model name.
 
     With ``publish=False`` what is built stays invisible to others until
-    ``publish()``, while this object already reads it.
+    ``publish()``, while this object already reads it. Null and value checks to ``watch`` are
+    counted by the job that writes their table, and need no scan of their own later.
     """
 
-    def __init__(self, spark: SparkSession, base: str, buckets: int | None = None, publish: bool = True):
+    def __init__(
+        self,
+        spark: SparkSession,
+        base: str,
+        buckets: int | None = None,
+        publish: bool = True,
+        watch: Sequence[Check] = (),
+    ):
         self.spark = spark
         self.base = base.rstrip("/")
         self.buckets = buckets
         self.live = publish
         self.built: dict[str, Snapshot] = {}
+        self.watch = [c for c in watch if c.test in ("not_null", "accepted_values")]
+        self.seen: dict[Check, int] = {}
 
     def table(self, name: str) -> Table:
         model = MODELS[name]
@@ -120,13 +134,13 @@ class Warehouse:
         """Build one model from the stored ones before it."""
         target, live = self.table(name), self.live
         if name == "raw_feed":
-            made = write_table(raw_feed(self.spark) if feed_df is None else feed_df, target, live)
+            made = self._rebuilt(name, raw_feed(self.spark) if feed_df is None else feed_df)
         elif name == "stg_employees":
-            made = write_table(stg_employees(self.read("raw_employees"), run_ts), target, live)
+            made = self._rebuilt(name, stg_employees(self.read("raw_employees"), run_ts))
         elif name == "dim_employee":
-            made = write_table(dim_employee(self.read("stg_employees"), run_ts), target, live)
+            made = self._rebuilt(name, dim_employee(self.read("stg_employees"), run_ts))
         elif name == "fct_department_summary":
-            made = write_table(fct_department_summary(self.read("stg_employees"), run_ts), target, live)
+            made = self._rebuilt(name, fct_department_summary(self.read("stg_employees"), run_ts))
         elif name == "replaced_feed":
             made = delete_insert(normalize_feed(self.read("raw_feed")), target, live)
         elif name == "merged_feed":
@@ -138,11 +152,75 @@ class Warehouse:
             raise KeyError(f"no model {name!r} to build")
         self.built[name] = made
 
+    def build_all(
+        self,
+        run_ts: datetime | str,
+        execution_date: str = EXECUTION_DATE,
+        feed_df: DataFrame | None = None,
+        threads: int = 1,
+    ) -> None:
+        """Build every model after those that it needs, up to ``threads`` of them side by side.
+
+        Once one fails no other is begun, the running ones are cancelled, and its error is raised.
+        """
+        pending = {name: set(model.needs) - {"raw_employees"} for name, model in MODELS.items() if name != "raw_employees"}
+        tag, context = f"models-{uuid.uuid4().hex}", self.spark.sparkContext
+        running: dict[Future, str] = {}
+        failed: BaseException | None = None
+
+        def one(name: str) -> None:
+            context.addJobTag(tag)
+            try:
+                self.build(name, run_ts, execution_date, feed_df)
+            finally:
+                context.removeJobTag(tag)
+
+        with ThreadPoolExecutor(threads) as pool:
+            while pending or running:
+                for name in [n for n, needs in pending.items() if not needs][: threads - len(running)]:
+                    del pending[name]
+                    running[pool.submit(one, name)] = name
+                for future in wait(running, return_when=FIRST_COMPLETED).done:
+                    name = running.pop(future)
+                    if future.exception() is None:
+                        for needs in pending.values():
+                            needs.discard(name)
+                    elif failed is None:
+                        failed = future.exception()
+                        pending.clear()
+                        context.cancelJobsWithTag(tag)
+        if failed is not None:
+            raise failed
+
+    def _rebuilt(self, name: str, df: DataFrame) -> Snapshot:
+        """Rebuild a model's table, counting what its watched checks look for on the way."""
+        own = [c for c in self.watch if c.model == name]
+        for check in own:
+            self.seen.pop(check, None)
+        if not own:
+            return write_table(df, self.table(name), self.live)
+        counts = []
+        for n, check in enumerate(own):
+            c = F.col(check.column)
+            broken = c.isNull() if check.test == "not_null" else ~c.isin(list(check.values))
+            counts.append(F.count_if(broken).alias(f"broken_{n}"))
+        observation = Observation()
+        made = write_table(df.observe(observation, *counts), self.table(name), self.live)
+        for n, check in enumerate(own):
+            found = observation.get.get(f"broken_{n}")
+            # Rows outside of a list are not yet the different values that the check counts.
+            if found == 0 or found and check.test == "not_null":
+                self.seen[check] = found
+        return made
+
     def check(self, checks: Sequence[Check]) -> DataFrame:
-        """Run the checks once; the result holds one row per check."""
-        tables = {model: self.read(model) for model in dict.fromkeys(t for c in checks for t in c.tables)}
-        found = run_checks(tables, checks)
-        return self.spark.createDataFrame(found.collect(), found.schema)
+        """Run the checks that no write has answered, once; the result holds one row per check."""
+        rest = [c for c in checks if c not in self.seen]
+        tables = {model: self.read(model) for model in dict.fromkeys(t for c in rest for t in c.tables)}
+        found = run_checks(tables, rest)
+        seen = [(c, self.seen[c]) for c in checks if c in self.seen]
+        rows = [(c.test, c.model, c.column, n, "fail" if n else "pass") for c, n in seen]
+        return self.spark.createDataFrame([*rows, *map(tuple, found.collect())], found.schema)
 
     def publish(self) -> None:
         """Show what was built with ``publish=False``: all tables, or none if another run came first.
@@ -151,12 +229,13 @@ class Warehouse:
         between that look and the last switch still stops the rest; the error then says
         which tables were switched.
         """
-        for name, snapshot in self.built.items():
+        built = {name: self.built[name] for name in MODELS if name in self.built}
+        for name, snapshot in built.items():
             now = self.table(name).snapshot()
             if (now.number if now else 0) != snapshot.number - 1:
                 raise FileExistsError(f"{name} was written by another run; nothing was published")
         switched: list[str] = []
-        for name, snapshot in self.built.items():
+        for name, snapshot in built.items():
             try:
                 self.table(name).publish(snapshot)
             except FileExistsError as other:
@@ -179,6 +258,7 @@ def run_pipeline(
     publish_after_checks: bool = False,
     buckets: int | None = None,
     keep: int | None = None,
+    threads: int = 4,
 ) -> DataFrame | None:
     """Load bronze, build every model from the stored ones before it, then check.
 
@@ -186,14 +266,13 @@ def run_pipeline(
     tables are already visible when the checks run; with ``publish_after_checks``
     every table keeps its former content until all checks have passed. ``keep``
     states of each table stay readable; the files of older ones are deleted at the
-    end of a run that passed.
+    end of a run that passed. Models that do not need each other are built side by side, up
+    to ``threads`` at a time.
     """
-    warehouse = Warehouse(spark, base, buckets, publish=not publish_after_checks)
-    warehouse.load(raw_df)
-    for name in MODELS:
-        if name != "raw_employees":
-            warehouse.build(name, run_ts, execution_date, feed_df)
     wanted = employee_checks() if checks is None else list(checks)
+    warehouse = Warehouse(spark, base, buckets, publish=not publish_after_checks, watch=wanted)
+    warehouse.load(raw_df)
+    warehouse.build_all(run_ts, execution_date, feed_df, threads)
     result = warehouse.check(wanted) if wanted else None
     if result is not None:
         assert_checks(result)

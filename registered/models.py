@@ -11,9 +11,11 @@ from lamina.operators.conform import conform, require_not_null
 from lamina.operators.latest import latest_by
 from lamina.plans.employees import REQUIRED, dim_employee, fct_department_summary, stg_employees
 from lamina.plans.feed import normalize_feed, raw_feed
+from lamina.plans.partials import add_load, summary_of
 from lamina.plans.pipeline import Warehouse, employee_checks, run_pipeline
 from lamina.schemas import RAW_EMPLOYEES
 from lamina.session import work_dir
+from lamina.sources import Table
 from registered.inputs import (
     EMP_FEED_SQL,
     EMP_RAW_SQL,
@@ -179,7 +181,22 @@ def complete_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumns({c: F.coalesce(c, other) for c, other in stand_ins.items()})
 
 
+def summary_of_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The department summary from partial aggregates of three loads, one of them given twice."""
+    target = Table(spark, work_dir(spark, "partials"))
+    raw = emp_raw(spark, sf_dir)
+    loads = {
+        "early": raw.where(F.col("hire_date") < "1996-01-01"),
+        "late": raw.where(F.col("hire_date") >= "1996-01-01"),
+        "without a date": raw.where(F.col("hire_date").isNull()),
+    }
+    for name in [*loads, "late"]:
+        add_load(stg_employees(loads[name], RUN_TS), target, name)
+    return naive(summary_of(target.read(), RUN_TS))
+
+
 QUERIES = {
+    "summary_of_loads": summary_of_loads,
     "stg_employees": silver,
     "dim_employee": dimension,
     "fct_department_summary": summary,
@@ -200,6 +217,7 @@ QUERIES = {
 }
 
 SQL = {
+    "summary_of_loads": FCT_SQL,
     "stg_employees": STG_SQL,
     "dim_employee": DIM_SQL,
     "fct_department_summary": FCT_SQL,

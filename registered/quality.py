@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.operators.bitmaps import distinct_numbers
 from lamina.operators.checks import (
     Check,
     accepted_values,
@@ -15,6 +16,7 @@ from lamina.operators.checks import (
     run_checks,
     unique,
 )
+from lamina.operators.violations import accepted, violations
 from lamina.plans.employees import dim_employee, fct_department_summary, stg_employees
 from lamina.plans.pipeline import Warehouse, employee_checks, write_table
 from lamina.session import work_dir
@@ -143,7 +145,62 @@ FULL_SUITE_SQL = f"""
         union all select 'query', 'orders', '', (select count(*) from orders where o_totalprice > 400000))
     select *, case when failures > 0 then 'fail' else 'pass' end status from found"""
 
+def inspected_orders(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], list[Check]]:
+    orders = given(spark, sf_dir, "orders")
+    day = F.col("o_orderdate").cast("date").cast("string").alias("o_orderdate")
+    tables = {
+        "orders": orders.select("o_orderkey", "o_custkey", "o_orderstatus", day),
+        "priced": orders.select("o_orderkey", "o_totalprice"),
+        "builders": given(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'"),
+    }
+    return tables, [
+        Check("not_null", "orders", "o_custkey"),
+        Check("accepted_values", "orders", "o_orderstatus", ("F", "O")),
+        Check("unique", "orders", ("o_custkey", "o_orderdate")),
+        Check("relationships", "orders", "o_custkey", parent="builders", parent_column="c_custkey"),
+        Check("query", "priced", sql="select o_orderkey from {priced} where o_totalprice > 400000"),
+    ]
+
+
+def violating_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row that breaks a check, once per check."""
+    tables, checks = inspected_orders(spark, sf_dir)
+    return violations(tables, checks, {"orders": ["o_orderkey"]})
+
+
+def accepted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders that break no check."""
+    tables, checks = inspected_orders(spark, sf_dir)
+    return accepted(tables["orders"], [c for c in checks if c.model == "orders"], tables)
+
+
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact distinct counts of the whole-number keys of orders and order lines."""
+    orders = distinct_numbers(given(spark, sf_dir, "orders"), "o_orderkey", "o_custkey")
+    return orders.unionAll(distinct_numbers(given(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey"))
+
+
+_INSPECTED_SQL = """
+    with o as (select o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') o_orderdate from orders),
+    t as (select *, o_orderstatus not in ('F', 'O') outside, count(*) over (partition by o_custkey, o_orderdate) > 1
+              and o_custkey is not null and o_orderdate is not null again,
+              o_custkey is not null and o_custkey not in (select c_custkey from customer where c_mktsegment = 'BUILDING') orphan,
+              json_object('o_orderkey', o_orderkey)::varchar "key",
+              json_object('o_orderkey', o_orderkey, 'o_custkey', o_custkey, 'o_orderstatus', o_orderstatus,
+                  'o_orderdate', o_orderdate)::varchar "row" from o)"""
+
+
+def _numbers_sql(table: str, column: str) -> str:
+    return (
+        f"select '{column}' \"column\", count({column}) \"rows\", count(distinct {column}) distinct_values, "
+        f"count({column}) - count(distinct {column}) surplus, count({column}) = count(distinct {column}) is_unique from {table}"
+    )
+
+
 QUERIES = {
+    "dq_violating_rows": violating_rows,
+    "dq_accepted_rows": accepted_rows,
+    "dq_distinct_numbers": numbers,
     "dq_full_suite": full_suite,
     "dq_unique": duplicates,
     "dq_not_null": nulls,
@@ -156,6 +213,24 @@ QUERIES = {
 }
 
 SQL = {
+    "dq_violating_rows": f"""{_INSPECTED_SQL}
+        select 'not_null' test, 'orders' model, 'o_custkey' "column", '{{"o_custkey":null}}' "value", "key", "row" from t
+        where o_custkey is null
+        union all select 'accepted_values', 'orders', 'o_orderstatus', json_object('o_orderstatus', o_orderstatus)::varchar,
+            "key", "row" from t where outside
+        union all select 'unique', 'orders', 'o_custkey, o_orderdate',
+            json_object('o_custkey', o_custkey, 'o_orderdate', o_orderdate)::varchar, "key", "row" from t where again
+        union all select 'relationships', 'orders', 'o_custkey', json_object('o_custkey', o_custkey)::varchar, "key", "row"
+        from t where orphan
+        union all select 'query', 'priced', '', null, null, json_object('o_orderkey', o_orderkey)::varchar from orders
+        where o_totalprice > 400000""",
+    "dq_accepted_rows": f"""{_INSPECTED_SQL}
+        select o_orderkey, o_custkey, o_orderstatus, o_orderdate from t
+        where o_custkey is not null and not coalesce(outside, false) and not again and not orphan""",
+    "dq_distinct_numbers": " union all ".join(
+        _numbers_sql(*of)
+        for of in (("orders", "o_orderkey"), ("orders", "o_custkey"), ("lineitem", "l_orderkey"), ("lineitem", "l_partkey"))
+    ),
     "dq_full_suite": FULL_SUITE_SQL,
     "dq_unique": """
         select l_orderkey, l_linenumber, count(*) occurrences from lineitem

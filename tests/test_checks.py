@@ -2,6 +2,7 @@
 
 import os
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 
@@ -207,3 +208,93 @@ def test_a_conflict_leaves_all_tables_as_they_were(spark, base):
         warehouse.publish()
     assert [warehouse.table(n).exists() for n in names] == [False, False, True]
     assert Table(spark, warehouse.table(names[-1]).path).read().count() == 1
+
+
+def test_violations_count_as_the_checks_do(spark, sf_dir):
+    from lamina.operators.violations import accepted, counted, violations
+    from registered.quality import inspected_orders
+
+    tables, checks = inspected_orders(spark, sf_dir)
+    found = violations(tables, checks, {"orders": ["o_orderkey"]}).persist()
+    counts = {(r.test, r.model, r.column): r.failures for r in counted(found).collect()}
+    expected = {(r.test, r.model, r.column): r.failures for r in run_checks(tables, checks).collect() if r.failures}
+    assert counts == expected and len(counts) >= 3
+    broken = {r.key for r in found.where("model = 'orders'").select("key").distinct().collect()}
+    kept = accepted(tables["orders"], [c for c in checks if c.model == "orders"], tables)
+    assert kept.columns == tables["orders"].columns
+    assert kept.count() == tables["orders"].count() - len(broken)
+    with pytest.raises(ValueError, match="no check"):
+        violations(tables, [])
+
+
+def test_violations_of_awkward_rows(spark, t):
+    from lamina.operators.violations import accepted, violations
+
+    checks = [Check("unique", "t", "k"), Check("not_null", "t", "v"), Check("accepted_values", "t", "w", ("x",))]
+    found = violations({"t": t}, checks).select("test", "value").collect()
+    assert sorted(tuple(r) for r in found) == [
+        ("accepted_values", '{"w":"y"}'), ("accepted_values", '{"w":"z"}'), ("accepted_values", '{"w":"z"}'),
+        ("not_null", '{"v":null}'), ("not_null", '{"v":null}'), ("unique", '{"k":1}'), ("unique", '{"k":1}'),
+    ]
+    assert accepted(t, checks).collect() == []
+
+
+def test_watched_checks_need_no_scan(spark, tmp_path):
+    """The job that writes a table counts its nulls and values; verdicts are those of the scans."""
+    rows = raw(spark, {"employee_id": "1"}, {"employee_id": "2", "department": "NOWHERE", "last_name": None})
+    checks = [*employee_checks(), Check("not_null", "stg_employees", "last_name")]
+    warehouses = [Warehouse(spark, f"{tmp_path}/{n}", watch=w) for n, w in (("watched", checks), ("plain", ()))]
+    results = []
+    for warehouse in warehouses:
+        warehouse.load(rows)
+        warehouse.build_all(RUN, threads=3)
+        results.append(sorted(tuple(r) for r in warehouse.check(checks).collect()))
+    assert results[0] == results[1]
+    seen = {(c.test, c.column) for c in warehouses[0].seen}
+    assert ("not_null", "employee_id") in seen and ("not_null", "last_name") in seen
+    assert ("accepted_values", "department") not in seen, "what is outside of a list is counted by the check"
+
+
+def test_a_failed_model_stops_those_not_begun(spark, tmp_path, monkeypatch):
+    begun = []
+    build = Warehouse.build
+
+    def failing(self, name, *args):
+        begun.append(name)
+        if name == "raw_feed":
+            raise RuntimeError("no feed")
+        return build(self, name, *args)
+
+    monkeypatch.setattr(Warehouse, "build", failing)
+    warehouse = Warehouse(spark, str(tmp_path))
+    warehouse.load(raw(spark))
+    with pytest.raises(Exception, match="no feed|cancel"):
+        warehouse.build_all(RUN, threads=2)
+    assert not {"replaced_feed", "merged_feed", "appended_feed"} & set(begun)
+
+
+def test_bitmaps_count_any_whole_numbers(spark):
+    from lamina.operators.bitmaps import distinct_numbers
+
+    rows = [(n,) for n in (0, 0, -1, -1, 1, -32768, 32768, 32769, 10**12, -(10**12), None, None)]
+    row = distinct_numbers(spark.createDataFrame(rows, "n long"), "n").first()
+    assert tuple(row) == ("n", 10, 8, 2, False)
+    assert tuple(distinct_numbers(spark.createDataFrame([], "n int"), "n").first()) == ("n", 0, 0, 0, True)
+
+
+def test_partials_of_loads_add_up(spark, tmp_path, monkeypatch):
+    from lamina.plans import partials
+    from lamina.plans.employees import fct_department_summary, stg_employees
+    from lamina.sources import Table
+
+    monkeypatch.setattr(partials, "FOLD", 2)
+    target, whole = Table(spark, str(tmp_path)), None
+    for n, (city, salary) in enumerate([("a", "10.01"), ("b", None), ("a", "10.02"), ("c", "0.01")]):
+        load = raw(spark, {"employee_id": str(n), "city": city, "salary": salary and Decimal(salary)})
+        whole = load if whole is None else whole.unionAll(load)
+        for _ in range(2):
+            partials.add_load(stg_employees(load, RUN), target, f"load {n}")
+    assert len(target.snapshot().parts) <= 2
+    for at in (RUN, "2031-05-05 00:00:00"):
+        expected = fct_department_summary(stg_employees(whole, at), at).collect()
+        assert partials.summary_of(target.read(), at).collect() == expected
