@@ -9,7 +9,11 @@ and the fingerprint is the sum of the vectors, lane by lane:
 - 8 lanes of 32 hash bits, modulo 2^32, which tell texts with different paragraphs apart.
 
 Sums do not depend on the order, and a paragraph is put in or taken out by adding or
-subtracting its vector. Only built-in functions are used.
+subtracting its vector: an edited text's fingerprint is the text's, without the paragraphs
+from the edit on, and with those that came instead. Only built-in functions are used.
+
+Rows meet the next one by id in ranges of ids, cut at percentiles, so ranges hold about
+equally many rows whatever the ids are.
 
 Edge cases: a null text is the empty one; a text without paragraphs has the zero
 fingerprint; two such texts have likeness 1, and one of them against another text 0.
@@ -31,8 +35,9 @@ WIDE = 8
 WIDE_MOD = 1 << 32
 #: Where paragraphs end.
 BREAKS = r"[\r\n]+|(?<=[.!?])\s+"
-#: Document ids that one task brings into order.
-BUCKET = 4096
+#: Document ids of a range, and the percentiles at most that ranges are cut at; where there are more ranges, the
+#: ids between two percentiles are cut into equally wide ones.
+BUCKET, PERCENTILES = 4096, 2048
 #: Two lanes of 32 bits fit a long, so sums stay whole up to 2^31 paragraphs.
 PAIR = 1 << 32 | 1
 
@@ -52,11 +57,16 @@ def _sum(hashes: Column, part) -> Column:
 
 def with_lanes(df: DataFrame, text: Column, lanes: str) -> DataFrame:
     """Adds the fingerprint of ``text`` as an array of longs, each below its lane's modulus."""
+    units = f"{lanes}_units"
+    return with_lanes_of(df.withColumn(units, paragraphs(text)), F.col(units), lanes).drop(units)
+
+
+def with_lanes_of(df: DataFrame, units: Column, lanes: str) -> DataFrame:
+    """Adds the fingerprint of an array of paragraphs."""
     salts = range(SIGNS // 64 + WIDE // 2)
-    units, hashed = f"{lanes}_units", f"{lanes}_hashed"
-    df = df.withColumn(units, paragraphs(text))
-    df = df.withColumn(hashed, F.struct(*[_hashes(F.col(units), s).alias(f"h{s}") for s in salts]))
-    n = F.size(units).cast("long")
+    hashed, size = f"{lanes}_hashed", f"{lanes}_size"
+    df = df.withColumns({hashed: F.struct(*[_hashes(units, s).alias(f"h{s}") for s in salts]), size: F.size(units).cast("long")})
+    n = F.col(size)
     signs = []
     for s in range(SIGNS // 64):
         for i in range(32):
@@ -74,7 +84,7 @@ def with_lanes(df: DataFrame, text: Column, lanes: str) -> DataFrame:
             _sum(hashes, lambda h: F.shiftrightunsigned(h, 32)),
         ):
             wide.append(F.pmod(half, F.lit(WIDE_MOD)))
-    return df.withColumn(lanes, F.array(*signs, *wide)).drop(units, hashed)
+    return df.withColumn(lanes, F.array(*signs, *wide)).drop(hashed, size)
 
 
 def _modulus(i: Column) -> Column:
@@ -121,20 +131,33 @@ def likeness(lanes: Column, others: Column) -> Column:
 def in_ranges(documents: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Rows by id range: adds ``range`` and ``copied``, and shuffles the rows by range.
 
-    Ids are cut into equal ranges, as many as keep ``bucket`` ids each on average. A copy
-    of each range's first rows is put after the range before it, so that the next row of
+    A copy of each range's first rows is put after the range before it, so that the next row of
     every row is in its own range. Null ids form the first range.
     """
-    span = documents.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high, n = (span[0] or 0), (span[1] or 0), span[2]
-    width = max(1, -(-(high - low + 1) // max(1, math.ceil(n / bucket))))
-    of = F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("long")
+    low, high, n = documents.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    ranges = max(1, math.ceil(n / bucket))
+    parts = min(ranges, PERCENTILES)
+    cuts: list[int] = []
+    if parts > 1 and low is not None:
+        wanted = F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)
+        cuts = sorted(set(documents.agg(wanted).first()[0]) - {low})
+    ends = F.array(*[F.lit(c).cast("long") for c in [low or 0, *cuts, (high or 0) + 1]])
+    doc_id = F.col("doc_id").cast("long")
+    part = F.size(F.filter(F.slice(ends, 2, len(cuts)), lambda c: c <= doc_id)) if cuts else F.lit(0)
+    each = -(-ranges // parts)
+    begin, end = F.get(ends, part).cast("double"), F.get(ends, part + 1).cast("double")
+    inside = F.least(F.floor((doc_id.cast("double") - begin) * each / (end - begin)), F.lit(each - 1))
+    of = F.when(doc_id.isNull(), F.lit(-1)).otherwise(part * each + (inside if each > 1 else 0)).cast("long")
     heads = documents.select(of.alias("range"), "doc_id").groupBy("range").agg(F.min("doc_id").alias("head"))
-    # One row per range, hence at most one per `bucket` ids: few enough to order in one task.
-    ordered = Window.orderBy("range")
+    heads = settle(heads.withColumn("part", F.floor(F.col("range") / each)), "range-starts", ranges + 1)
+    # Ranges follow one another between two percentiles, and these parts, few in any case, in one task.
+    of_part = heads.groupBy("part").agg(F.max("range").alias("last"))
+    ordered = Window.orderBy("part")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = F.coalesce(F.lag("range").over(ordered), F.last("range").over(whole))
-    heads = settle(heads.select("head", before.alias("before")), "range-heads")
+    earlier = F.coalesce(F.lag("last").over(ordered), F.last("last").over(whole))
+    of_part = of_part.select("part", earlier.alias("earlier"))
+    before = F.coalesce(F.lag("range").over(Window.partitionBy("part").orderBy("range")), F.col("earlier"))
+    heads = settle(heads.join(of_part, "part").select("head", before.alias("before")), "range-heads", ranges + 1)
     copies = documents.join(heads, F.col("doc_id").eqNullSafe(F.col("head"))).select(
         *documents.columns, F.col("before").alias("range"), F.lit(True).alias("copied")
     )
@@ -149,16 +172,25 @@ def fingerprint_edits(documents: DataFrame, bucket: int = BUCKET) -> DataFrame:
     Null ids come before all others; rows of one id follow one another by text.
     """
     rows = in_ranges(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), bucket)
-    rows = with_lanes(rows, F.col("text"), "lanes")
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    # The last paragraph before the edit may go on behind it; those before it are the same in both texts.
+    rows = rows.withColumns({"units": paragraphs(F.col("text")), "before": paragraphs(F.left("text", n - half))})
+    rows = rows.withColumn("same", F.greatest(F.size("before") - 1, F.lit(0))).drop("before")
+    rows = with_lanes_of(rows, F.slice("units", F.lit(1), F.col("same")), "kept")
+    rows = with_lanes_of(rows, _from(F.col("units"), F.col("same")), "taken").drop("units")
+    rows = rows.withColumn("lanes", insert(F.col("kept"), F.col("taken"))).drop("kept")
     order = Window.partitionBy("range").orderBy("copied", F.col("doc_id").asc_nulls_first(), "text")
     rows = rows.select(
         "*", F.lead("text").over(order).alias("next_text"), F.lead("lanes").over(order).alias("next_lanes")
     ).where("not copied")
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "lanes", "next_lanes", edited.alias("edited"))
-    rows = with_lanes(rows, F.col("edited"), "edited_lanes")
+    rows = rows.select(
+        "doc_id", n.cast("long").alias("n_chars"), "lanes", "taken", "next_lanes", "same", edited.alias("edited")
+    )
+    rows = rows.withColumn("edited_units", paragraphs(F.col("edited")))
+    rows = with_lanes_of(rows, _from(F.col("edited_units"), F.col("same")), "added")
+    rows = rows.withColumn("edited_lanes", insert(delete(F.col("lanes"), F.col("taken")), F.col("added")))
     return rows.select(
         "doc_id",
         "n_chars",
@@ -168,3 +200,8 @@ def fingerprint_edits(documents: DataFrame, bucket: int = BUCKET) -> DataFrame:
         likeness(F.col("lanes"), F.col("edited_lanes")).alias("near_edited"),
         likeness(F.col("lanes"), F.col("next_lanes")).alias("near_next"),
     )
+
+
+def _from(units: Column, n: Column) -> Column:
+    """The paragraphs behind the first ``n``."""
+    return F.slice(units, n + 1, F.greatest(F.size(units) - n, F.lit(0)))

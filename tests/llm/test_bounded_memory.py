@@ -81,3 +81,27 @@ def test_scores_of_the_query_are_whole(spark, sf_dir):
     labels = {r.doc_id: r.quality for r in table(spark, sf_dir, "labels").collect()}
     held = [r for r in rows if r.held_out and r.doc_id in labels]
     assert len(held) > 30 and sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held)
+
+
+@pytest.mark.parametrize("percentiles", [1, 2, 2048])
+def test_ranges_hold_about_equally_many_rows_whatever_the_ids(spark, monkeypatch, percentiles):
+    from lamina.llm import multiset
+
+    monkeypatch.setattr(multiset, "PERCENTILES", percentiles)
+    ids = [*range(0, 2000, 2), 10**15, None, None, 7, 7]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(3)
+    rows = multiset.in_ranges(docs, bucket=50).collect()
+    own = [r for r in rows if not r.copied]
+    assert len(own) == len(ids)
+    assert all(r.range == -1 for r in own if r.doc_id is None)
+    largest = max(sum(r.range == k for r in own) for k in {r.range for r in own})
+    if percentiles == 2048:
+        assert largest < 150
+    elif percentiles == 2:
+        assert largest < 700
+    # Ranges follow the ids, and each holds the first row of the next, the last that of the first.
+    order = sorted({r.range for r in own})
+    key = lambda r: (r.doc_id is not None, r.doc_id or 0)
+    for this, following in zip(order, [*order[1:], order[0]]):
+        assert len(order) == 1 or {key(r) for r in rows if r.copied and r.range == this} == {min(key(r) for r in own if r.range == following)}
+        assert this >= following or max(key(r) for r in own if r.range == this) < min(key(r) for r in own if r.range == following)
