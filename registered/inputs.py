@@ -14,7 +14,7 @@ RUN_TS = "2026-01-01 00:00:00"
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
-# The given tables as they are stored, so that no job has to look for the types.
+# The given tables as they are stored.
 GIVEN = {
     "region": "r_regionkey int, r_name string",
     "nation": "n_nationkey int, n_name string, n_regionkey int",
