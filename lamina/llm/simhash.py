@@ -3,14 +3,16 @@
 Two 64-bit fingerprints that differ in at most three bits differ in at most three of
 their eight bytes, so they share at least five bytes at equal positions: the guaranteed
 minimum. An index of single positional bytes would put one 256th of all fingerprints
-into each posting, so its entries are the 56 choices of five positions with their
-bytes: a pair reaches the minimum exactly if it meets in one of these postings. Within
-a posting the shared positional bytes of a pair are tallied and its bits verified.
+into each posting, so its entries are the 70 choices of four positions with their bytes:
+pairs that share four bytes meet. The positional bytes that a pair shares are tallied;
+pairs below the minimum are dropped by this count, and the bits of the others verified.
 
-No posting is unbounded: its fingerprints are distinct and agree in 40 of 64 bits, so it
-holds 2^24 at most (256 MB as read), whatever the number of documents. A posting emits a
-spanning star per linked group, not all its pairs; large postings look up the 2,324
-neighbours of a fingerprint instead of comparing it with every other one.
+No task holds an unbounded posting. What meets in one of more than HELD fingerprints is
+passed on unread and indexed again under the 56 choices of five positions: pairs with the
+minimum meet there too, and such a posting has distinct fingerprints that agree in 40 of 64
+bits, 2^24 at most, whatever the number of documents. A posting emits a spanning star per linked
+group, not all its pairs; large postings look up the neighbours of a fingerprint within three
+bits instead of comparing it with every other one.
 
 Edge cases: a null text has no words; texts without words have fingerprint zero and are
 linked like any others; a repeated doc_id is one node per text; null doc_ids are never
@@ -40,7 +42,11 @@ SHINGLE = 3
 MAX_BITS = 3
 BYTES = 8
 MIN_SHARED = BYTES - MAX_BITS
-POSITIONS = list(combinations(range(BYTES), MIN_SHARED))
+#: Positions whose bytes an entry of the index holds: one fewer than the minimum, and the minimum where many meet.
+COARSE = list(combinations(range(BYTES), MIN_SHARED - 1))
+FINE = list(combinations(range(BYTES), MIN_SHARED))
+#: Fingerprints of one coarse posting that a task holds at most.
+HELD = 1 << 22
 #: Tasks that equal rows are dealt out to.
 SALTS = 32
 #: Shingles hashed at once, so that a very long text needs little memory.
@@ -87,64 +93,118 @@ def _mask(positions: tuple[int, ...]) -> int:
     return mask - (1 << 64) if mask >= 1 << 63 else mask
 
 
-def index(bits: DataFrame) -> DataFrame:
-    """``posting, entry, bits``: each fingerprint under its 56 choices of five positional bytes."""
-    entries = F.array(*[F.col("bits").bitwiseAND(F.lit(_mask(p)).cast("long")) for p in POSITIONS])
+def index(bits: DataFrame, positions: list[tuple[int, ...]] = COARSE) -> DataFrame:
+    """``posting, entry, bits``: each fingerprint under each choice of positional bytes."""
+    entries = F.array(*[F.col("bits").bitwiseAND(F.lit(_mask(p)).cast("long")) for p in positions])
     return bits.select(F.posexplode(entries).alias("posting", "entry"), "bits")
 
 
-def links(bits: DataFrame) -> DataFrame:
+def links(bits: DataFrame, held: int = HELD) -> DataFrame:
     """``a, b``: enough edges to connect all fingerprints that differ in three bits at most.
 
-    ``bits`` holds each fingerprint once.
+    ``bits`` holds each fingerprint once; an edge may come twice.
     """
-    entries = index(bits).repartition("posting", "entry").sortWithinPartitions("posting", "entry", "bits")
-    return entries.mapInArrow(_links_of_postings, "a long, b long").distinct()
+    met = settle(_met(bits, COARSE, held).distinct(), "simhash-met", bits.count())
+    crowded = met.where("b is null").select(F.col("a").alias("bits"))
+    return met.where("b is not null").unionByName(_met(crowded, FINE, None))
 
 
-def _links_of_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _met(bits: DataFrame, positions: list[tuple[int, ...]], held: int | None) -> DataFrame:
+    """``a, b``: edges of the postings; a fingerprint and null from those of more than ``held`` fingerprints."""
+    entries = index(bits, positions).repartition("posting", "entry").sortWithinPartitions("posting", "entry", "bits")
+    return entries.mapInArrow(lambda batches: _links_of_postings(batches, positions, held), "a long, b long")
+
+
+class _Posting:
+    """The posting that may go on in the next batch; its parts are joined once, when it ends."""
+
+    def __init__(self, key: tuple[int, int], positions: list[tuple[int, ...]], held: int | None) -> None:
+        self.key, self.positions, self.held = key, positions[key[0]], held
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(bits)
+        self.size += len(bits)
+        if self.held is not None and self.size > self.held:
+            for part in self.parts:
+                yield _batch(pa.array(part), pa.nulls(len(part), pa.int64()))
+            self.parts = []
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            yield _edge_batch([stars(np.concatenate(self.parts).view(np.uint64), self.positions)])
+
+
+def _links_of_postings(
+    batches: Iterator[pa.RecordBatch], positions: list[tuple[int, ...]], held: int | None
+) -> Iterator[pa.RecordBatch]:
     """Postings arrive sorted; the last one of a batch may go on in the next."""
-    kept = [np.zeros(0, np.int64)] * 3
+    last = None
     for batch in batches:
-        columns = [np.concatenate([k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(kept, batch.columns)]
-        starts = _starts(columns)
-        if len(starts) < 2:
-            kept = columns
+        if not batch.num_rows:
             continue
-        kept = [c[starts[-1] :] for c in columns]
-        yield _edges([c[: starts[-1]] for c in columns])
-    yield _edges(kept)
-
-
-def _starts(columns: list[np.ndarray]) -> np.ndarray:
-    posting, entry = columns[:2]
-    if not len(posting):
-        return np.zeros(0, np.int64)
+        posting, entry, bits = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        starts = _starts(posting, entry)
+        begin = 0
+        if last is not None:
+            if last.key == (posting[0], entry[0]):
+                begin = starts[1] if len(starts) > 1 else len(bits)
+                yield from last.add(bits[:begin])
+            if begin == len(bits):
+                continue
+            yield from last.close()
+        end = starts[-1]
+        if end > begin:
+            yield _edges(posting[begin:end], entry[begin:end], bits[begin:end].view(np.uint64), positions)
+        last = _Posting((posting[end], entry[end]), positions, held)
+        yield from last.add(bits[end:])
+    if last is not None:
+        yield from last.close()
+
+
+def _starts(posting: np.ndarray, entry: np.ndarray) -> np.ndarray:
     new = (posting[1:] != posting[:-1]) | (entry[1:] != entry[:-1])
     return np.concatenate([[0], 1 + np.flatnonzero(new)])
 
 
-def _edges(columns: list[np.ndarray]) -> pa.RecordBatch:
-    bits = columns[2].view(np.uint64)
-    starts = _starts(columns)
+def _edges(
+    posting: np.ndarray, entry: np.ndarray, bits: np.ndarray, positions: list[tuple[int, ...]]
+) -> pa.RecordBatch:
+    """Edges of whole postings that lie within one batch."""
+    starts = _starts(posting, entry)
     sizes = np.diff([*starts, len(bits)])
     # Postings of two, by far the most, all at once.
-    first = starts[sizes == 2].astype(np.int64)
+    first = starts[sizes == 2]
     near = _linked(bits[first], bits[first + 1])
     found = [(bits[first[near]], bits[first[near] + 1])]
     for start, size in zip(starts[sizes > 2], sizes[sizes > 2]):
-        posting = POSITIONS[int(columns[0][start])]
-        found.append(stars(bits[start : start + size], posting))
-    a, b = (np.concatenate(side).view(np.int64) for side in zip(*found))
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        found.append(stars(bits[start : start + size], positions[posting[start]]))
+    return _edge_batch(found)
+
+
+def _edge_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return _batch(*(pa.array(np.concatenate(side).view(np.int64)) for side in zip(*found)))
+
+
+def _batch(a: pa.Array, b: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+
+def tally(differ: np.ndarray) -> np.ndarray:
+    """How many positional bytes a pair shares, from the bits in which it differs."""
+    shared = np.zeros(differ.shape, np.int8)
+    for p in range(BYTES):
+        shared += (differ & np.uint64(0xFF << 8 * p)) == 0
+    return shared
 
 
 def _linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Pairs that share enough positional bytes, and then few enough differing bits."""
+    """Pairs that share the guaranteed minimum of positional bytes, then verified by their bits."""
     differ = x ^ y
-    shared = sum(((differ >> np.uint64(8 * p)) & np.uint64(0xFF)) == 0 for p in range(BYTES))
-    near = shared >= MIN_SHARED
-    return near & (np.bitwise_count(differ) <= MAX_BITS)
+    near = tally(differ) >= MIN_SHARED
+    near[near] = np.bitwise_count(differ[near]) <= MAX_BITS
+    return near
 
 
 def stars(bits: np.ndarray, positions: tuple[int, ...], look_up: int = LOOK_UP) -> tuple[np.ndarray, np.ndarray]:

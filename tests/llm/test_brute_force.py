@@ -7,6 +7,7 @@ from functools import cache
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -68,7 +69,8 @@ def flipped(rng, base, n, most):
     return out
 
 
-def test_links_connect_what_is_near(spark):
+@pytest.mark.parametrize("held", [simhash.HELD, 3])
+def test_links_connect_what_is_near(spark, held):
     rng = np.random.default_rng(5)
     values = np.unique(
         np.concatenate(
@@ -77,7 +79,7 @@ def test_links_connect_what_is_near(spark):
         )
     )
     bits = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "bits long")
-    found = components.components(simhash.links(bits))
+    found = components.components(simhash.links(bits, held))
     roots = {r.node & (2**64 - 1): r.root for r in found.collect()}
     expected = plain_components({int(v): int(v) for v in values})
     ours = defaultdict(set)
@@ -89,6 +91,52 @@ def test_links_connect_what_is_near(spark):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_pairs_that_meet_below_the_minimum_are_dropped_by_count(spark):
+    base = 0x1122334455667788
+    four, five, far = base ^ 0x01010101, base ^ 0x010101, base ^ 0x0F0101
+    assert list(simhash.tally(np.array([base ^ four, base ^ five, base ^ far], np.uint64))) == [4, 5, 5]
+    bits = spark.createDataFrame([(base,), (four,)], "bits long")
+    met = simhash.index(bits).groupBy("posting", "entry").count().where("count = 2")
+    assert met.count() == 1 and simhash.links(bits).isEmpty()
+    for other, linked in ((five, True), (far, False)):
+        assert simhash.links(spark.createDataFrame([(base,), (other,)], "bits long")).isEmpty() != linked
+
+
+def batches_of(posting, entry, bits, size):
+    for i in range(0, len(bits), size):
+        rows = slice(i, i + size)
+        columns = [pa.array(c[rows]) for c in (posting, entry, bits)]
+        yield pa.RecordBatch.from_arrays(columns, ["posting", "entry", "bits"])
+
+
+def test_postings_over_many_batches(monkeypatch):
+    rng = np.random.default_rng(11)
+    sizes = [1, 2, 70, 1, 1, 40, 3, 25]
+    posting = np.repeat([0, 0, 1, 2, 3, 4, 4, 69], sizes).astype(np.int32)
+    entry = np.repeat([0, 1, 0, 0, 0, 5, 6, 7], sizes).astype(np.int64)
+    bits = np.sort(rng.integers(0, 2**10, sum(sizes)))
+
+    def found(size, held):
+        out = simhash._links_of_postings(batches_of(posting, entry, bits, size), simhash.COARSE, held)
+        return [pair for batch in out for pair in zip(*(c.to_pylist() for c in batch.columns))]
+
+    whole = found(len(bits), None)
+    assert whole and all(sorted(found(size, None)) == sorted(whole) for size in (1, 2, 7, 30))
+    # Postings above the limit are passed on, whatever the batches; the others are searched.
+    begins = np.cumsum([0, *sizes])
+    large = [int(b) for i in (2, 5) for b in bits[begins[i] : begins[i + 1]]]
+    for size in (1, 7, 30):
+        some = found(size, 25)
+        assert sorted(a for a, b in some if b is None) == sorted(large)
+    # A hot posting costs its size, not its size times its batches.
+    joined = []
+    monkeypatch.setattr(simhash, "stars", lambda b, p: joined.append(len(b)) or (b[:0], b[:0]))
+    hot = np.arange(200_000, dtype=np.int64)
+    same = np.zeros(len(hot), np.int64)
+    list(simhash._links_of_postings(batches_of(same, same, hot, 100), simhash.FINE, None))
+    assert joined == [len(hot)]
+
+
 def test_large_postings_find_the_same():
     rng = np.random.default_rng(7)
     positions = (0, 1, 2, 3, 4)
