@@ -3,10 +3,11 @@
 Documents are counted into cells of source, language and topic. Raking multiplies the
 cells' token weights so that their sums over each margin meet that margin's targets, one
 margin after the other, round by round. No cell's weight may ask for more tokens than the
-wanted part of all tokens lets its own give: within a margin the cells that would pass that
-bound stay at it, and the others are scaled to make up for them. A document is kept with
-the probability of its cell, its weight over that bound, so the expected tokens of each
-value are its target share of the wanted part.
+wanted part of all tokens lets its own give, so a step looks for the factor that meets a
+value's target with every cell at the smaller of its scaled weight and that bound: the
+cells are ordered by how soon they reach it, and the factor lies between two of them. A
+document is kept with the probability of its cell, its weight over that bound, so the expected
+tokens of each value are its target share of the wanted part.
 
 Only cells are raked: their number is that of the sources times the languages times the
 topics, not of the documents, so a hot source costs nothing after the first aggregation,
@@ -16,17 +17,19 @@ All steps are built-in functions.
 
 Targets are either given per margin, as weights by value, or follow from the data: each
 value's tokens to a power below one, which raises small sources. A value without a given
-target keeps its own share. The topic is the documents' column of that name, if they have one,
-and otherwise follows from what a text contains. A null source, language, topic or text is
-a value of its own; a document without words has no tokens and its cell's probability, zero if
-the cell has no tokens. Margins that cannot all be met at once, as when a value has fewer tokens
-than it should give, end as near as the last round comes, and a warning names the largest miss;
-``misses`` gives each value's. Documents draw by a hash of their id, so repeated ids go together.
+target keeps its own share. A value that has fewer tokens than it should give gives all
+of them, and the others of its margin share the rest in proportion. The topic is the documents'
+column of that name, if they have one, and otherwise follows from what a text contains. A null
+source, language, topic or text is a value of its own; a document without words has no tokens and its
+cell's probability, zero if the cell has no tokens. Targets that are met one by one but not all at once, as
+where a source has one topic only, end as near as the last round comes, and a warning names the largest
+miss; ``misses`` gives each value's. Documents draw by a hash of their id, so repeated ids go together.
 """
 
 from __future__ import annotations
 
 import logging
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +40,10 @@ from lamina.llm.tables import settle
 MARGINS = ("source", "lang", "topic")
 #: Powers of the tokens that the targets are in proportion to.
 FLATTEN = {"source": 0.7, "lang": 0.5, "topic": 0.8}
-#: Rounds over the margins; a round takes about nine tenths of what is missed away.
+#: Rounds over the margins; a round takes about four fifths of what is missed away.
 ROUNDS = 16
+#: How far beyond its bound a cell is set where its value gives all that it has.
+PINNED = 1e6
 #: Rounds between two writes of the cells, and the cells that one task may rake.
 ROUNDS_AT_ONCE, FEW_CELLS = 4, 200_000
 #: Part of all tokens to keep.
@@ -93,65 +98,112 @@ def targets(cells: DataFrame, given: dict[str, dict[str, float]] | None = None)
     return cells
 
 
+def _shares(cells: DataFrame, keep: float) -> DataFrame:
+    """Adds each margin's ``_share``: the target's part of the wanted tokens, or all that the value has if that is less.
+
+    The factor of a margin's targets grows while further values come to give all that they have.
+    Each cell carries its part of its value, so sums over the cells are sums over the values.
+    """
+    tokens = cells.agg(F.sum("tokens")).first()[0]
+    wanted = keep * (tokens or 0.0)
+    part = {m: F.count("*").over(Window.partitionBy(m)) for m in MARGINS}
+    has = {m: F.col(f"{m}_tokens") / F.lit(wanted) if wanted > 0 else F.lit(0.0) for m in MARGINS}
+    cells = cells.withColumn("bound", F.col("tokens") / F.lit(wanted) if wanted > 0 else F.lit(0.0))
+    cells = settle(cells.withColumns({f"{m}_part": part[m] for m in MARGINS}), "cell-parts")
+    factors, given_all = dict.fromkeys(MARGINS, 0.0), None
+    while True:
+        sums = []
+        for m in MARGINS:
+            target, all_given = F.col(f"{m}_target"), _gives_all(has[m], m, factors[m])
+            sums += [
+                F.sum(F.when(all_given, has[m] / F.col(f"{m}_part"))),
+                F.sum(F.when(~all_given, target / F.col(f"{m}_part"))),
+                F.count(F.when(all_given, 1)),
+            ]
+        found = cells.agg(*sums).first()
+        if list(found[2::3]) == given_all:
+            break
+        given_all = list(found[2::3])
+        for m, filled, still_open in zip(MARGINS, found[::3], found[1::3]):
+            factors[m] = max(0.0, 1.0 - (filled or 0.0)) / still_open if still_open else math.inf
+    shares = {
+        f"{m}_share": F.when(_gives_all(has[m], m, factors[m]), has[m]).otherwise(
+            F.col(f"{m}_target") * F.lit(factors[m] if math.isfinite(factors[m]) else 0.0)
+        )
+        for m in MARGINS
+    }
+    return cells.withColumns(shares).drop(*[f"{m}_part" for m in MARGINS])
+
+
+def _gives_all(has: Column, margin: str, factor: float) -> Column:
+    target = F.col(f"{margin}_target")
+    return (target > 0) & (target * F.lit(factor) >= has) if math.isfinite(factor) else target > 0
+
+
 def rake(cells: DataFrame, keep: float = KEEP, rounds: int = ROUNDS) -> DataFrame:
-    """Adds ``weight`` and ``probability`` to cells with targets.
+    """Adds ``weight``, ``probability`` and the margins' ``_share`` to cells with targets.
 
     A cell at its bound remembers the weight that it would have without, so that a later step may take it down again.
     """
-    values = {m: F.count("*").over(Window.partitionBy(m)) for m in MARGINS}
-    ones = cells.select("tokens", *[(F.col(f"{m}_target") / values[m]).alias(m) for m in MARGINS])
-    n, tokens, *totals = ones.agg(F.count("*"), F.sum("tokens"), *[F.sum(m) for m in MARGINS]).first()
-    share = {m: F.col(f"{m}_target") / F.lit(total) if total else F.lit(0.0) for m, total in zip(MARGINS, totals)}
-    bound = F.col("tokens") / F.lit(keep * tokens) if keep * (tokens or 0) > 0 else F.lit(0.0)
-    raked = cells.withColumns({"bound": bound, "free": F.col("tokens")})
+    n = cells.count()
+    raked = _shares(cells, keep).withColumn("free", F.col("tokens"))
     for done in range(0, rounds, ROUNDS_AT_ONCE):
         if n <= FEW_CELLS:
             raked = raked.coalesce(1)
         for _ in range(done, min(done + ROUNDS_AT_ONCE, rounds)):
             for margin in MARGINS:
-                raked = _step(raked, margin, share[margin])
+                raked = _step(raked, margin)
         raked = settle(raked, "raking")
     weight = F.least("bound", "free")
     probability = F.when(F.col("bound") > 0, F.least(F.lit(1.0), weight / F.col("bound"))).otherwise(0.0)
     return raked.withColumns({"weight": weight, "probability": probability}).drop("bound", "free")
 
 
-def _step(raked: DataFrame, margin: str, share: Column) -> DataFrame:
-    """Scales each value's cells so that those below their bounds make up for those at it.
+def _step(raked: DataFrame, margin: str) -> DataFrame:
+    """Scales each value's cells by the factor with which they meet its share, none counted beyond its bound.
 
-    A cell that passes its bound by this, or falls below it, counts as such in the next round.
+    A cell is full if the factor that fills it, applied to all, gives the share at most. Running sums in the order of
+    these factors tell that for every cell at once.
     """
     value = Window.partitionBy(margin)
-    full = F.col("free") >= F.col("bound")
-    filled = F.sum(F.when(full, F.col("bound")).otherwise(0.0)).over(value)
-    still_open = F.sum(F.when(full, 0.0).otherwise(F.col("free"))).over(value)
-    summed = raked.withColumns({"filled": filled, "still_open": still_open})
-    both = F.col("filled") + F.col("still_open")
-    scale = (
-        F.when((F.col("still_open") > 0) & (share > F.col("filled")), (share - F.col("filled")) / F.col("still_open"))
-        .when(both > 0, share / both)
-        .otherwise(0.0)
+    upward = value.orderBy("fills").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = raked.withColumns(
+        {
+            "most": F.when(F.col("free") > 0, F.col("bound")).otherwise(0.0),
+            "fills": F.when(F.col("free") > 0, F.col("bound") / F.col("free")).otherwise(0.0),
+        }
+    )
+    later = F.sum("free").over(value) - F.sum("free").over(upward)
+    given = F.sum("most").over(upward) + F.col("fills") * F.greatest(F.lit(0.0), later)
+    cells = cells.withColumn("full", given <= F.col(f"{margin}_share"))
+    filled = F.sum(F.when(F.col("full"), F.col("most")).otherwise(0.0)).over(value)
+    still_open = F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("free"))).over(value)
+    cells = cells.withColumns({"filled": filled, "still_open": still_open})
+    scaled = F.col("free") * (F.col(f"{margin}_share") - F.col("filled")) / F.col("still_open")
+    free = F.when(F.col("still_open") > 0, scaled).otherwise(F.col("most") * PINNED)
+    return cells.withColumn("free", free).drop("most", "fills", "full", "filled", "still_open")
+
+
+def misses(rated: DataFrame, keep: float = KEEP) -> DataFrame:
+    """``margin, value, target, share, expected``: parts of the wanted tokens as asked, as they can be met, and as drawn."""
+    expected = F.sum(F.col("probability") * F.col("tokens"))
+    of_margins = [
+        rated.groupBy(F.col(m).alias("value"))
+        .agg(F.first(f"{m}_target").alias("target"), F.first(f"{m}_share").alias("share"), expected.alias("expected"))
+        .select(F.lit(m).alias("margin"), "value", "target", "share", "expected")
+        for m in MARGINS
+    ]
+    values = of_margins[0].unionByName(of_margins[1]).unionByName(of_margins[2])
+    asked = values.groupBy("margin").agg(F.sum("target").alias("asked"))
+    # The sum over all cells is one row.
+    known = asked.crossJoin(rated.agg((F.sum("tokens") * keep).alias("wanted")))
+    return values.join(known, "margin").select(
+        "margin",
+        "value",
+        F.when(F.col("asked") > 0, F.col("target") / F.col("asked")).alias("target"),
+        "share",
+        F.when(F.col("wanted") > 0, F.col("expected") / F.col("wanted")).alias("expected"),
     )
-    return summed.withColumn("free", F.col("free") * scale).drop("filled", "still_open")
-
-
-def misses(rated: DataFrame) -> DataFrame:
-    """``margin, value, target, expected``: each value's share of the tokens as wanted and as the probabilities give."""
-    of_margins = []
-    for margin in MARGINS:
-        values = rated.groupBy(F.col(margin).alias("value")).agg(
-            F.first(f"{margin}_target").alias("target"), F.sum(F.col("probability") * F.col("tokens")).alias("expected")
-        )
-        sums = values.agg(F.sum("target").alias("all_target"), F.sum("expected").alias("all_expected"))
-        of_margins.append(
-            values.crossJoin(sums).select(
-                F.lit(margin).alias("margin"),
-                "value",
-                F.when(F.col("all_target") > 0, F.col("target") / F.col("all_target")).alias("target"),
-                F.when(F.col("all_expected") > 0, F.col("expected") / F.col("all_expected")).alias("expected"),
-            )
-        )
-    return of_margins[0].unionByName(of_margins[1]).unionByName(of_margins[2])
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
@@ -171,12 +223,14 @@ def calibrate(cells: DataFrame, keep: float = KEEP, given: dict[str, dict[str, f
     The planner broadcasts it to the documents only if its files are small enough.
     """
     rated = rake(settle(targets(settle(cells, "cells"), given), "cell-targets"), keep)
-    wanted = [f"{margin}_target" for margin in MARGINS]
-    rated = settle(rated.select(*MARGINS, "weight", "probability", "tokens", *wanted), "cell-probabilities")
-    miss = misses(rated).where("target > 0").agg(F.max(F.abs(F.col("expected") / F.col("target") - 1))).first()[0]
-    if miss is not None and miss > MISS:
-        logging.getLogger(__name__).warning("a value's expected share misses its target by %.3g of it", miss)
-    return rated.drop("tokens", *wanted)
+    parts = [f"{margin}_{part}" for margin in MARGINS for part in ("target", "share")]
+    rated = settle(rated.select(*MARGINS, "weight", "probability", "tokens", *parts), "cell-probabilities")
+    off = [F.max(F.when(F.col(c) > 0, F.abs(F.col("expected") / F.col(c) - 1))) for c in ("target", "share")]
+    of_target, of_share = misses(rated, keep).agg(*off).first()
+    if of_target is not None and of_target > MISS:
+        text = "a value's expected share misses its target by %.3g of it, and what its tokens allow by %.3g"
+        logging.getLogger(__name__).warning(text, of_target, of_share)
+    return rated.drop("tokens", *parts)
 
 
 def _with_cell(marked: DataFrame, cells: DataFrame) -> DataFrame:
@@ -205,6 +259,20 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+def _share_sql(m: str) -> list[str]:
+    """The margin's shares by running sums over its values, in the order in which they come to give all that they have."""
+    upward = "over (order by gives rows between unbounded preceding and current row)"
+    return [
+        f"{m}_values as (select {m}, any_value({m}_target) target, sum(tokens) / (select wanted from total) has, "
+        f"case when any_value({m}_target) > 0 then sum(tokens) / (select wanted from total) / any_value({m}_target) "
+        f"else 0 end gives from wanted group by {m})",
+        f"{m}_given as (select *, sum(has) {upward} + gives * greatest(0, sum(target) over () - sum(target) {upward}) <= 1 "
+        f"gives_all from {m}_values)",
+        f"{m}_shares as (select {m}, case when gives_all then has else target * (1 - sum(case when gives_all then has else 0 end) "
+        f"over ()) / sum(case when gives_all then 0 else target end) over () end {m}_share from {m}_given)",
+    ]
+
+
 def sql(table: str, keep: float = KEEP, rounds: int = ROUNDS) -> str:
     """``mix`` for DuckDB, with the rounds written out; ``table`` is a query or name with the columns of documents."""
     cases = " ".join(
@@ -218,23 +286,26 @@ def sql(table: str, keep: float = KEEP, rounds: int = ROUNDS) -> str:
         "wanted as (select *, "
         + ", ".join(f"pow(sum(tokens) over (partition by {m}), {FLATTEN[m]}) {m}_target" for m in MARGINS)
         + " from cells)",
-        *[
-            f"{m}_total as (select sum(t) t from (select {m}, any_value({m}_target) t from wanted group by {m}))"
-            for m in MARGINS
-        ],
-        f"w0 as materialized (select source, lang, topic, tokens free, tokens / ({keep} * sum(tokens) over ()) bound, "
-        + ", ".join(f"{m}_target / (select t from {m}_total) {m}_share" for m in MARGINS)
-        + " from wanted)",
+        f"total as (select {keep} * sum(tokens) wanted from cells)",
+        *[sql for m in MARGINS for sql in _share_sql(m)],
+        "w0 as materialized (select w.source, w.lang, w.topic, tokens free, tokens / (select wanted from total) bound, "
+        + ", ".join(f"{m}_share" for m in MARGINS)
+        + " from wanted w "
+        + " ".join(f"join {m}_shares on w.{m} is not distinct from {m}_shares.{m}" for m in MARGINS)
+        + ")",
     ]
     n = 0
     for _ in range(rounds):
         for m in MARGINS:
+            upward = f"over (partition by {m} order by fills rows between unbounded preceding and current row)"
             steps.append(
-                f"w{n + 1} as materialized (select * exclude (filled, still_open) replace (free * case when still_open > 0 and "
-                f"{m}_share > filled then ({m}_share - filled) / still_open when filled + still_open > 0 then {m}_share / "
-                "(filled + still_open) else 0 end as free) from (select *, "
-                f"sum(case when free >= bound then bound else 0 end) over (partition by {m}) filled, "
-                f"sum(case when free >= bound then 0 else free end) over (partition by {m}) still_open from w{n}))"
+                f"w{n + 1} as materialized (select * exclude (most, fills, is_full, filled, still_open) replace (case when "
+                f"still_open > 0 then free * ({m}_share - filled) / still_open else most * {PINNED} end as free) from (select *, "
+                f"sum(case when is_full then most else 0 end) over (partition by {m}) filled, "
+                f"sum(case when is_full then 0 else free end) over (partition by {m}) still_open from (select *, "
+                f"sum(most) {upward} + fills * greatest(0, sum(free) over (partition by {m}) - sum(free) {upward}) "
+                f"<= {m}_share is_full from (select *, case when free > 0 then bound else 0 end most, "
+                f"case when free > 0 then bound / free else 0 end fills from w{n}))))"
             )
             n += 1
     steps.append(

@@ -348,23 +348,49 @@ def test_margins_meet_their_targets(spark):
     assert max(missed(raked, margin, 0.4) for margin in mixing.MARGINS) < 1e-6
 
 
-def test_the_query_s_probabilities_meet_all_targets_but_those_beyond_the_tokens(spark, sf_dir):
+def attainable(tokens, power, keep):
+    """Shares in proportion to a power of the tokens, none beyond what its value has."""
+    wanted, shares = {k: n**power for k, n in tokens.items()}, {}
+    everything = sum(tokens.values())
+    while True:
+        left = {k: w for k, w in wanted.items() if k not in shares}
+        factor = (1 - sum(shares.values())) / sum(left.values())
+        beyond = {k: tokens[k] / (keep * everything) for k, w in left.items() if w * factor > tokens[k] / (keep * everything)}
+        if not beyond:
+            return shares | {k: w * factor for k, w in left.items()}
+        shares |= beyond
+
+
+def test_the_query_s_probabilities_meet_all_targets(spark, sf_dir):
     rows = QUERIES["op2_target_mix"](spark, sf_dir).collect()
-    tokens, expected = Counter(), Counter()
-    for r in rows:
-        for margin in mixing.MARGINS:
-            tokens[margin, r[margin]] += r.tokens
-            expected[margin, r[margin]] += r.probability * r.tokens
-    everything = sum(r.tokens for r in rows)
+    everything, short = sum(r.tokens for r in rows), 0
     for margin, power in mixing.FLATTEN.items():
-        wanted = {k: n**power for k, n in tokens.items() if k[0] == margin}
-        for key, share in wanted.items():
-            target = mixing.KEEP * everything * share / sum(wanted.values())
-            assert expected[key] == pytest.approx(min(target, expected[key]) if target > tokens[key] else target, rel=0.11)
-    assert sum(r.probability * r.tokens for r in rows) == pytest.approx(mixing.KEEP * everything, rel=0.02)
+        tokens, expected = Counter(), Counter()
+        for r in rows:
+            tokens[r[margin]] += r.tokens
+            expected[r[margin]] += r.probability * r.tokens
+        shares = attainable(tokens, power, mixing.KEEP)
+        plain = {k: n**power / sum(n**power for n in tokens.values()) for k, n in tokens.items()}
+        short += sum(shares[k] < plain[k] * (1 - 1e-9) for k in shares)
+        for key, share in shares.items():
+            assert expected[key] == pytest.approx(mixing.KEEP * everything * share, rel=1e-6)
+    assert short
     assert sum(r.tokens for r in rows if r.sampled) == pytest.approx(sum(r.probability * r.tokens for r in rows), rel=0.1)
 
 
+def test_targets_of_zero_values_without_tokens_and_all_tokens_wanted(spark):
+    rows = [("a", "x", "t", 10.0), ("a", "y", "t", 30.0), ("b", "x", "t", 60.0), ("c", None, "t", 0.0), (None, "x", "u", 20.0)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    raked = mixing.rake(mixing.targets(cells, {"source": {"b": 0.0}}), keep=0.3).collect()
+    assert {(r.source, r.lang): r.probability for r in raked}["b", "x"] == 0
+    assert {(r.source, r.lang): r.probability for r in raked}["c", None] == 0
+    assert sum(r.probability * r.tokens for r in raked if r.source != "b") > 0
+    everything = mixing.rake(mixing.targets(cells), keep=1.0).collect()
+    assert all(r.probability == pytest.approx(1) for r in everything if r.tokens)
+    assert all(r.probability == pytest.approx(1) for r in mixing.rake(mixing.targets(cells), keep=2.0).collect() if r.tokens)
+    assert mixing.rake(mixing.targets(cells.limit(0))).isEmpty()
+
+
 def test_given_topics_and_many_cells(spark, sf_dir, monkeypatch):
     docs = table(spark, sf_dir, "documents").withColumn("topic", F.concat(F.lit("t"), F.col("doc_id") % 3))
     cells = mixing.cells_of(mixing._marked(docs))
