@@ -1,14 +1,16 @@
 """Chat formatting: tool calls linked to their results.
 
 Calls and results of a conversation meet by a hash join on the conversation and the
-call's identifier. Calls may wait for others; peeling the calls whose waits are over,
+call's identifier. Calls may wait for others; taking away the calls whose waits are over,
 level by level, orders them topologically: by level, then turn, then identifier. Their
 arguments are validated against the tool's schema, and each linked call is serialised
 as canonical JSON: keys sorted, no spaces, no escapes that are not needed, whole numbers
 without a fraction; half a surrogate pair stays an escape.
 
-No conversation is gathered in one task: all joins are by conversation and identifier,
-and peeling costs as many rounds as the longest chain of waits, not the calls.
+Joins are by conversation and identifier. Calls are ordered in one pass over the rows sorted by
+conversation, which holds the identifiers of one conversation at a time, AT_ONCE of them with
+their waits at most. A conversation of more is never gathered in one task: its calls are peeled
+by joins, in as many rounds as its longest chain of waits.
 
 Edge cases: of several calls, or results, with one identifier the first by turn is linked
 and has the number of the others; each of these has a row of its own, as ``repeated_call``
@@ -27,15 +29,21 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.tables import settle
 
 LONE = re.compile("[\ud800-\udfff]")
+#: Calls and waits of one conversation that one task orders; those of a larger one are peeled.
+AT_ONCE = 200_000
 CALL = "conv_id, call_id, turn, name, arguments, after"
 #: Kinds of rows that hold a result and no call.
 OF_RESULTS = ("no_call", "repeated_result", "result_no_id")
@@ -174,8 +182,62 @@ def _others_of_each(rows: DataFrame, fields: list[str], firsts: DataFrame) -> Da
     return counted.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """``link, level`` for calls ``link, waits`` (keys that each waits for); none for calls in or behind cycles."""
+def levels(calls: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """``link, level`` for calls ``conv_id, link, waits`` (keys that each waits for, in its conversation).
+
+    There is none for calls in or behind cycles.
+    """
+    calls = calls.select(F.to_json(F.struct("conv_id")).alias("conv"), "link", "waits")
+    sizes = calls.groupBy("conv").agg(F.sum(F.size("waits") + 1).alias("size"))
+    large = settle(sizes.where(F.col("size") > at_once).select("conv"), "large-conversations")
+    if large.isEmpty():
+        return _ordered(calls)
+    peeled = _peeled(calls.join(large, "conv", "left_semi").select("link", "waits"))
+    return _ordered(calls.join(large, "conv", "left_anti")).unionByName(peeled)
+
+
+def _ordered(calls: DataFrame) -> DataFrame:
+    """``link, level`` by one pass over the conversations, each of which fits a task."""
+    rows = calls.select("conv", "link", "waits").repartition("conv").sortWithinPartitions("conv")
+    return rows.mapInArrow(_levels_of_conversations, "link string, level int")
+
+
+def _levels_of_conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = chain.from_iterable(zip(*(c.to_pylist() for c in batch.columns)) for batch in batches)
+    links, found = [], []
+    for _, calls in groupby(rows, key=lambda row: row[0]):
+        for link, level in levels_of({link: waits for _, link, waits in calls}).items():
+            links.append(link)
+            found.append(level)
+        if len(links) >= 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(links), pa.array(found, pa.int32())], ["link", "level"])
+            links, found = [], []
+    if links:
+        yield pa.RecordBatch.from_arrays([pa.array(links), pa.array(found, pa.int32())], ["link", "level"])
+
+
+def levels_of(waits: dict[str, list[str]]) -> dict[str, int]:
+    """The level of each call that is not in or behind a cycle; waits for calls that do not exist are over."""
+    left = {link: sum(w in waits for w in those) for link, those in waits.items()}
+    waiting = defaultdict(list)
+    for link, those in waits.items():
+        for w in those:
+            waiting[w].append(link)
+    found, done, level = {}, [link for link, n in left.items() if not n], 0
+    while done:
+        following = []
+        for link in done:
+            found[link] = level
+            for other in waiting[link]:
+                left[other] -= 1
+                if not left[other]:
+                    following.append(other)
+        done, level = following, level + 1
+    return found
+
+
+def _peeled(calls: DataFrame) -> DataFrame:
+    """``link, level`` of calls ``link, waits`` whose conversations fit no task, level by level."""
     nodes = calls.select("link")
     waits = calls.select("link", F.explode("waits").alias("wait")).distinct()
     waits = settle(waits.join(nodes.withColumnRenamed("link", "wait"), "wait", "left_semi"), "waits")
@@ -227,7 +289,7 @@ def linked(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Da
         F.col("others").alias("other_results"),
     )
     met = asked.join(found.hint("shuffle_hash"), "link", "full")
-    order = levels(asked.select("link", "waits"))
+    order = levels(asked.select("conv_id", "link", "waits"))
     present = asked.select(F.col("link").alias("wait"), F.lit(1).alias("there"))
     missing = (
         asked.select("link", F.explode("waits").alias("wait"))

@@ -1,6 +1,7 @@
 """Operators that SQL cannot express, against plain versions over the whole small tables."""
 
 import hashlib
+import time
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
@@ -690,6 +691,33 @@ def test_calls_that_cannot_be_ordered_or_linked(spark):
     assert found["c", None].status == "no_id"
 
 
+def test_conversations_of_any_size_are_ordered_alike(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for conv in ("a", "b", None):
+        for i in range(12):
+            waits = {f"{conv}{j}" for j in rng.integers(-1, 13 if conv == "b" else i + 1, 2) if conv == "b" or j < i}
+            rows.append((conv, f"{conv}{i}", sorted(waits)))
+    calls = spark.createDataFrame(rows, "conv_id string, link string, waits array<string>").repartition(3)
+    known = {link: [w for w in waits if w in {r[1] for r in rows}] for _, link, waits in rows}
+    expected = {link: level for link, level in plain_levels(known).items() if level is not None}
+    assert max(expected.values()) > 1 and len(expected) < len(rows)
+    for at_once in (1, 20, toolcalls.AT_ONCE):
+        assert {r.link: r.level for r in toolcalls.levels(calls, at_once).collect()} == expected
+
+
+def test_calls_in_a_row_take_one_pass(spark):
+    n = 5000
+    calls = spark.range(n).selectExpr(
+        "'c' as conv_id", "cast(id as string) as call_id", "id as turn", "'f' as name", "'{}' as arguments",
+        "array(cast(id - 1 as string)) as after",
+    )
+    results = spark.createDataFrame([], "conv_id string, call_id string, turn long, content string")
+    began = time.monotonic()
+    found = {r.turn: r.level for r in toolcalls.linked(calls, results, {}).collect()}
+    assert found == {i: i for i in range(n)} and time.monotonic() - began < 30
+
+
 def test_every_call_and_result_has_a_row(spark):
     calls = [(None, "0", 0, "f", '{"n": 1}', None)] * 3 + [(None, "0", 0, "f", '{"n": "x"}', None), (None, "0", 4, "f", '{"n": 2}', ["0"])]
     calls += [("c", "1", None, "f", "{}", None), ("c", None, 2, "f", "{}", None)]
